@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import decontam, mixing, ngram_join, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Shards that op6 places documents on.
+SHARD_NAMES = tuple(f"shard-{i:03d}" for i in range(64))
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,7 +24,33 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), ngram_join.Jaccard(3, 9, 10))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for each vector whose vec_id is divisible by 50."""
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and shard of every document by its doc_id."""
+    return sharding.place(spark, _table(spark, sf_dir, "documents"), "doc_id", SHARD_NAMES)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside occurrences of 10-word benchmark windows."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 10)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix of sources by weights 5, 2, 1 takes."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def queries() -> dict[str, Query]:
+    """Every query by name."""
     return {
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_exact_top_k": op4_exact_top_k,
+        "op6_sharding": op6_sharding,
+        "op7_decontamination": op7_decontamination,
+        "op8_mixing": op8_mixing,
     }
