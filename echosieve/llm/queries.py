@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, ngram_join, sharding, topk
+from . import decontam, mixing, ngram_join, pii, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a lexicon learned from the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), ngram_join.Jaccard(3, 9, 10))
@@ -29,6 +40,11 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, read back from deduplicated archives."""
+    return warc.archived(_table(spark, sf_dir, "pages"), 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot and shard of every document by its doc_id."""
     return sharding.place(spark, _table(spark, sf_dir, "documents"), "doc_id", SHARD_NAMES)
@@ -48,8 +64,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """Every query by name."""
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_pii": op2_pii,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_warc": op5_warc,
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,

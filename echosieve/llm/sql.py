@@ -40,6 +40,19 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY rank <= 5
 """
 
+OP5 = r"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS original, count(*) AS n FROM p GROUP BY 1)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31))::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n > 1 AND page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM p JOIN g USING (h)
+"""
+
 _OP7_WORDS = r"""list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
@@ -74,5 +87,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_ngram_jaccard_join": OP3,
         "op4_exact_top_k": OP4,
+        "op5_warc": OP5,
         "op7_decontamination": OP7,
     }
