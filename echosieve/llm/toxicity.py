@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 8000
 #: Terms of the lexicon at most, those of highest evidence.
 LEXICON_TERMS = 4000
+#: Evidence that a term needs, as a G statistic: 22 is about three chances in a million.
+MIN_EVIDENCE = 22.0
 
 #: Terms that count without labels; whole words.
 SEED_TERMS = ("idiot", "moron", "imbecile", "scumbag", "scum", "worthless", "pathetic", "disgusting", "stupid", "loser", "dumbass", "retard", "trash")
@@ -83,7 +85,7 @@ class Lexicon:
 
     terms: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: tuple[float, ...] = (-4.0, 1.0, 0.4, 0.6)
+    curve: tuple[float, ...] = (-4.0, 1.0, 1.0)
     _built: list = field(default_factory=list, compare=False, repr=False)
 
     def __getstate__(self) -> dict:
@@ -121,34 +123,45 @@ class Lexicon:
 
 
 def inputs(lexicon: Lexicon, text: str | None) -> list[float]:
-    """What the curve weighs: one, the sum of weights, the sum for each 100 words, the largest."""
+    """What the curve weighs: one, the sum of weights, the sum for each 100 words."""
     folded = fold(text)
     weights = lexicon.weights(folded)
     total, n = sum(weights), max(1, folded.count(" ") - 1)
-    return [1.0, math.log1p(total), math.log1p(100 * total / n), max(weights, default=0.0) ** 0.5]
+    return [1.0, math.log1p(total), math.log1p(100 * total / n)]
+
+
+def _evidence(hit: int, other: int, rows: tuple[int, int]) -> float:
+    """The G statistic of a term's rows among toxic and other rows."""
+    share = rows[0] / sum(rows)
+    parts = ((hit, (hit + other) * share), (other, (hit + other) * (1 - share)))
+    return 2 * sum(n * math.log(n / e) for n, e in parts if n)
 
 
 def learn_terms(counts: Iterable[tuple[str, int, int, int, int]], words: tuple[int, int], rows: tuple[int, int]) -> dict[str, float]:
     """Weigh terms by the logarithm of their rates among words of toxic and of other rows.
 
-    ``counts``: (term, occurrences in toxic, in other, toxic rows, other rows). A term needs three toxic
-    rows and three times the rate; those of highest evidence stay. A longer word beginning stays only
+    ``counts``: (term, occurrences in toxic, in other, toxic rows, other rows). A term needs twice the
+    share of rows, three times the rate of occurrences, and evidence beyond chance. A word beginning
+    that one longer term accounts for nearly always gives way to that one, and a longer term stays only
     where its weight differs from that of the term it lengthens.
     """
-    found = []
+    found: dict[str, tuple[int, float, float]] = {}
     for term, t, o, dt, do in counts:
         rate = (t + 0.5) / (words[0] + 1) / ((o + 0.5) / (words[1] + 1))
         share = (dt + 0.5) / (rows[0] + 1) / ((do + 0.5) / (rows[1] + 1))
-        if dt >= 3 and rate > 3 and share > 2:
-            weight = math.log(rate)
-            found.append((t * weight, term, weight))
-    found.sort(key=lambda x: (-x[0], x[1]))
+        if rate > 3 and share > 2 and (sure := _evidence(dt, do, rows)) > MIN_EVIDENCE:
+            found[term] = (t, math.log(rate), sure)
+    longest: dict[str, int] = {}
+    for term, (t, _, _) in found.items():
+        for k in range(4, len(term)):
+            longest[term[:k]] = max(longest.get(term[:k], 0), t)
+    found = {x: v for x, v in found.items() if longest.get(x, 0) < 0.9 * v[0]}
+    best = sorted(found, key=lambda x: (-found[x][2], x))[:LEXICON_TERMS]
     kept: dict[str, float] = {}
-    for _, term, weight in sorted(found[:LEXICON_TERMS], key=lambda x: (len(x[1]), x[1])):
-        body = term.rstrip()
-        base = next((kept[body[:k]] for k in range(len(body) - (body == term), 3, -1) if body[:k] in kept), None)
-        if base is None or abs(weight - base) > 0.25:
-            kept[term] = weight
+    for term in sorted(best, key=lambda x: (len(x), x)):
+        base = next((kept[term[:k]] for k in range(len(term) - 1, 3, -1) if term[:k] in kept), None)
+        if base is None or abs(found[term][1] - base) > 0.25:
+            kept[term] = found[term][1]
     return kept
 
 
@@ -203,11 +216,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([inputs(lexicon, t.as_py()) for t in b.column("text")]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, i]) for i in range(4))], ["toxic", *"abcd"])
+            x = np.array([inputs(lexicon, t.as_py()) for t in b.column("text")]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(x[:, i]) for i in range(3))], ["toxic", *"abc"])
 
-    table = rows.mapInArrow(measure, "toxic int, a double, b double, c double, d double").toPandas().sort_values(["b", "c", "d", "toxic"])
-    return Lexicon(terms, curve=fit_curve(table[list("abcd")].to_numpy(), table["toxic"].to_numpy()))
+    table = rows.mapInArrow(measure, "toxic int, a double, b double, c double").toPandas().sort_values(["b", "c", "toxic"])
+    return Lexicon(terms, curve=fit_curve(table[list("abc")].to_numpy(), table["toxic"].to_numpy()))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -220,7 +233,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([inputs(lexicon, t.as_py()) for t in b.column("text")]).reshape(-1, 4)
+            x = np.array([inputs(lexicon, t.as_py()) for t in b.column("text")]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.curve), -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
@@ -235,7 +248,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, most: float = 0.5) -> DataFrame:
         at = None
         for b in batches:
             at = b.schema.get_field_index("text") if at is None else at
-            x = np.array([inputs(lexicon, t.as_py()) for t in b.column(at)]).reshape(-1, 4)
+            x = np.array([inputs(lexicon, t.as_py()) for t in b.column(at)]).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.curve), -500, 500)))
             yield b.filter(pa.array(score < most))
 
