@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, mixing, ngram_join, pii, sharding, topk, toxicity, warc
+from . import decontam, lm, mixing, ngram_join, packing, pii, sharding, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in packed rows."""
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     return lm.scores(_table(spark, sf_dir, "documents"))
@@ -77,5 +82,6 @@ def queries() -> dict[str, Query]:
         "op6_sharding": op6_sharding,
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
+        "op9_packing": op9_packing,
         "op10_lm_scoring": op10_lm_scoring,
     }

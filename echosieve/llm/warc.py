@@ -198,7 +198,7 @@ def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return index.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return index.select("path").repartition(max(1, index.count()), "path").mapInArrow(run, schema)
 
 
 def archived(pages: DataFrame, least_bytes: int = 0, out: str | None = None) -> DataFrame:
