@@ -1,0 +1,15 @@
+"""Schemas of the engine's tables."""
+
+from __future__ import annotations
+
+IMAGES = (
+    "path string, folder_path string, archive_path string, inner_path string, size bigint, mtime timestamp, ctime timestamp, "
+    "width int, height int, phash bigint, phash_rot map<int,bigint>, grid array<bigint>, grid_rot map<int,array<bigint>>, "
+    "phash_256 binary, phash_1024 binary, whash bigint, hsv struct<h:float,s:float,v:float>, is_colorful boolean, "
+    "qr_points array<array<struct<x:double,y:double>>>, qd64 string, features_at int, last_ad_digest string, error string"
+)
+FOLDER_STATE = "path string, mtime timestamp, ctime timestamp, scanned_count int, is_empty boolean"
+SKELETONS = "path string, skeleton string, vol_num int, mtime timestamp"
+MATCHES = "leader string, item string, d_p int, d_w int, sim double, label string, tag string"
+INVENTORY = "path string, folder string, name string, ext string, length bigint, mtime timestamp, ctime timestamp"
+PENDING = "batch_id int, path string"
