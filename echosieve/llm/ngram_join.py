@@ -2,18 +2,21 @@
 
 The named method compares sets inside size-banded tiles: a bitmap of hashed shingles per set, bit
 counts that bound the overlap from above, then an exact intersection of sorted arrays. Tiles made of
-size bands alone would hold every pair of documents of similar length, so a tile is narrowed first:
+size bands alone would hold every pair of documents of similar length, so they are narrowed first:
 
 1. A pair with ``den*I >= num*U`` differs in at most ``H = (den-num)(r+s)/(den+num)`` shingles. The
    hash space of a tile is cut into more than H equal ranges, so the two sets agree wholly in some
    range. Each set emits the digest of each range; sets that share one are candidates. The shuffle
    carries two integers a range; sets that share nothing meet nowhere.
-2. Candidates fall into clusters (connected components of a star for each shared digest). No link
-   leaves a cluster, so each candidate's text moves once, to its cluster.
-3. In a cluster the size-banded tiles are compared: bitmaps first, exact intersection for what is
-   left, and pairs that earlier links already connect are skipped. A tile over ``tile_shingles`` is
-   cut into blocks and every pair of blocks is a task of its own.
-4. Links between tiles become components.
+2. Candidates fall into clusters (connected components of a star for each shared digest). In each
+   size-banded tile of a cluster the bitmaps alone are compared; what they can't tell apart stays
+   together, which leaves small clusters. No link leaves one.
+3. Only then texts move, each once unless its cluster is large, and each tile is compared exactly:
+   bitmaps again, sorted-array intersections for what is left, and pairs that earlier links already
+   connect are skipped.
+4. Links become components.
+
+A tile over its bound is cut into blocks, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,13 +43,15 @@ _U = np.uint64
 class Jaccard:
     """``words`` in a shingle, and the least similarity ``num / den`` of a link.
 
-    ``tile_shingles`` bounds the shingles that one comparing task holds for a tile.
+    ``tile_shingles`` bounds the shingles of a tile that is compared exactly, ``tile_rows`` the sets of
+    one whose bitmaps are compared.
     """
 
     words: int = 5
     num: int = 4
     den: int = 5
     tile_shingles: int = 1_000_000
+    tile_rows: int = 8192
     ratio: float = 1.4
 
     def differ(self, r: int, s: int) -> int:
@@ -111,23 +116,40 @@ def range_digests(shingles: np.ndarray, how: Jaccard) -> np.ndarray:
     return np.concatenate(out)
 
 
-_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long"
+_FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bits binary"
+#: Widths of bitmaps; a set has the width next above its size.
+NARROWEST, WIDEST = 256, 8192
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The bits that the hashes of a set name, as 64-bit words; as wide as the set is large."""
+    bits = min(WIDEST, max(NARROWEST, 1 << (len(shingles) - 1).bit_length()))
+    flags = np.zeros(bits, dtype=np.uint8)
+    flags[mix(shingles) & _U(bits - 1)] = 1
+    return np.packbits(flags, bitorder="little").view(_U)
+
+
+def same_width(bitmaps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps folded to the width of the narrowest, as a matrix."""
+    least = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(b.reshape(-1, least), axis=0) for b in bitmaps])
 
 
 def set_features(docs: DataFrame, how: Jaccard) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: size and digest of its shingle set."""
+    """Per row of ``docs(doc_id, text)``: size, digest and bitmap of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, d1, d2 = [], [], []
+            sizes, d1, d2, bits = [], [], [], []
             for s in shingle_sets(b.column("text"), how.words):
                 x, y = digest(s) if len(s) else (0, 0)
                 sizes.append(len(s))
                 d1.append(x)
                 d2.append(y)
+                bits.append(bitmap(s).tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, d1, d2))],
-                ["doc_id", "n_shingles", "d1", "d2"],
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, d1, d2)), pa.array(bits, pa.binary())],
+                ["doc_id", "n_shingles", "d1", "d2", "bits"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FEATURES)
@@ -184,99 +206,135 @@ def _stars(keys: DataFrame) -> DataFrame:
     return by_tile.mapInArrow(run, "u long, v long").distinct()
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 64), dtype=_U)
-    for i, s in enumerate(sets):
-        at = mix(s) & _U(bits - 1)
-        flags = np.zeros(bits, dtype=np.uint8)
-        flags[at] = 1
-        out[i] = np.packbits(flags, bitorder="little").view(_U)
+class _Sweep:
+    """Sets in order of size, joined to groups; for each the later ones that its bitmap allows."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], how: Jaccard) -> None:
+        self.order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+        self.sizes = np.array([sizes[i] for i in self.order], dtype=np.int64)
+        self.maps = same_width([bitmaps[i] for i in self.order])
+        self.group, self.how = np.arange(len(sizes)), how
+
+    def join(self, i: int, j: int) -> tuple[int, int]:
+        self.group[self.group == self.group[j]] = self.group[i]
+        return self.order[i], self.order[j]
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        how = self.how
+        for i in range(len(self.order) - 1):
+            r = int(self.sizes[i])
+            end = int(np.searchsorted(self.sizes, how.partner(r), side="right"))
+            rest = np.flatnonzero(self.group[i + 1 : end] != self.group[i]) + i + 1
+            if len(rest):
+                # Each bit that only one bitmap has set stands for a shingle that only that set has.
+                apart = np.bitwise_count(self.maps[rest] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+                rest = rest[apart * (how.den + how.num) <= (how.den - how.num) * (self.sizes[rest] + r)]
+                yield i, rest
+
+
+def alike(sizes: list[int], bitmaps: list[np.ndarray], how: Jaccard) -> list[tuple[int, int]]:
+    """Pairs that connect all that bitmaps can't tell apart."""
+    out, sweep = [], _Sweep(sizes, bitmaps, how)
+    for i, rest in sweep:
+        for j in rest.tolist():
+            if sweep.group[i] != sweep.group[j]:
+                out.append(sweep.join(i, j))
     return out
 
 
 def linked(sets: list[np.ndarray], how: Jaccard) -> list[tuple[int, int]]:
-    """Links between sorted sets that span all that links connect; exact, in size order."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sets = [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    widest = int(sizes.max(initial=1))
-    maps = _bitmaps(sets, min(4096, max(256, 1 << (widest - 1).bit_length())))
-    group, links = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        r = int(sizes[i])
-        end = int(np.searchsorted(sizes, how.partner(r), side="right"))
-        rest = np.flatnonzero(group[i + 1 : end] != group[i]) + i + 1
-        if not len(rest):
-            continue
-        # Each bit that only one bitmap has set stands for a shingle that only that set has.
-        apart = np.bitwise_count(maps[rest] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        rest = rest[apart * (how.den + how.num) <= (how.den - how.num) * (sizes[rest] + r)]
+    """Links between sorted sets that connect all that links connect; exact."""
+    out, sweep = [], _Sweep([len(s) for s in sets], [bitmap(s) for s in sets], how)
+    for i, rest in sweep:
+        a = sets[sweep.order[i]]
         for j in rest.tolist():
-            if group[i] == group[j]:
+            if sweep.group[i] == sweep.group[j]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if how.den * both >= how.num * (r + int(sizes[j]) - both):
-                group[group == group[j]] = group[i]
-                links.append((order[i], order[j]))
-    return links
+            b = sets[sweep.order[j]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if how.den * both >= how.num * (len(a) + len(b) - both):
+                out.append(sweep.join(i, j))
+    return out
+
+
+_KEYS = ["cluster", "band", "lo", "hi"]
 
 
-def _links(placed: DataFrame, how: Jaccard) -> DataFrame:
-    """Links inside each tile (cluster, band, lo, hi) of ``placed``; rows of a tile stand together."""
+def _edges(nodes: list[int], found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        columns = [pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+
+def _alike(tiled: DataFrame, how: Jaccard) -> DataFrame:
+    """Edges between sets of a tile that their bitmaps can't tell apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, nodes, sets = None, [], []
+        tile, nodes, sizes, maps = None, [], [], []
+        for b in batches:
+            for *own, node, n, bits in zip(*(b.column(c).to_pylist() for c in (*_KEYS, "node", "n_shingles", "bits")), strict=True):
+                if own != tile:
+                    if len(nodes) > 1:
+                        yield from _edges(nodes, alike(sizes, maps, how))
+                    tile, nodes, sizes, maps = own, [], [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sizes.append(n)
+                    maps.append(np.frombuffer(bits, dtype=_U))
+        if len(nodes) > 1:
+            yield from _edges(nodes, alike(sizes, maps, how))
+
+    by_tile = tiled.select(*_KEYS, "node", "n_shingles", "bits").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
+    return by_tile.mapInArrow(run, "u long, v long")
+
 
-        def ended() -> Iterator[pa.RecordBatch]:
-            if len(nodes) > 1 and (found := linked(sets, how)):
-                u = pa.array([nodes[i] for i, _ in found], pa.int64())
-                v = pa.array([nodes[j] for _, j in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+def _links(tiled: DataFrame, how: Jaccard) -> DataFrame:
+    """Links inside each tile of ``tiled``, which has the texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, nodes, sets = None, [], []
         for b in batches:
-            keys = zip(*(b.column(c).to_pylist() for c in ("cluster", "band", "lo", "hi", "node")), strict=True)
+            keys = zip(*(b.column(c).to_pylist() for c in (*_KEYS, "node")), strict=True)
             for (*own, node), s in zip(keys, shingle_sets(b.column("text"), how.words), strict=True):
                 if own != tile:
-                    yield from ended()
+                    if len(nodes) > 1:
+                        yield from _edges(nodes, linked(sets, how))
                     tile, nodes, sets = own, [], []
                 # A row that merely shares its doc_id with the wanted text has another digest.
                 if (not nodes or nodes[-1] != node) and digest(s)[0] == node:
                     nodes.append(node)
                     sets.append(s)
-        yield from ended()
+        if len(nodes) > 1:
+            yield from _edges(nodes, linked(sets, how))
 
-    keys = ["cluster", "band", "lo", "hi"]
-    by_tile = placed.repartition(*keys).sortWithinPartitions(*keys, "node")
+    by_tile = tiled.select(*_KEYS, "node", "text").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
     return by_tile.mapInArrow(run, "u long, v long")
 
 
-def _placed(docs: DataFrame, wanted: DataFrame, how: Jaccard) -> DataFrame:
-    """Send each wanted text to every tile it takes part in."""
-    weights = wanted.groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
-    weights = written(weights.where(F.col("weight") > how.tile_shingles), "weights")
-    starts, _ = _bands(how)
+def _tiled(wanted: DataFrame, how: Jaccard, weight: Column, most: int) -> DataFrame:
+    """Send the rows of ``wanted(cluster, node, n_shingles, ...)`` to every tile they take part in.
+
+    A cluster of at most ``most`` in ``weight`` is one tile. A larger one has a tile for each size band,
+    with the sets of the band and those larger ones that can link with them, cut into blocks.
+    """
+    sums = wanted.groupBy("cluster").agg(F.sum(weight).alias("weight"))
+    large = written(sums.where(F.col("weight") > most).select("cluster", F.lit(True).alias("large")), "large")
+    starts = _bands(how)[0]
     starts = starts[: np.searchsorted(starts, 1 << 33)].tolist()
-    band = sum((F.when(F.col("n_shingles") >= s, 1).otherwise(0) for s in starts), F.lit(-1)).cast("long")
-    joined = wanted.join(weights, "cluster", "left")
-    one = joined.where("weight is null").select(
-        *(F.lit(0).cast("long").alias(c) for c in ("band", "lo", "hi")), "cluster", "node", "rep"
-    )
-    # A large cluster: one tile a size band, holding the band and what its sets can link with.
-    many = joined.where("weight is not null").withColumn("own", band)
-    many = many.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band")).where("band >= 0")
-    many = written(many.drop("weight"), "bands")
-    blocks = many.groupBy("cluster", "band").agg(F.ceil(F.sum("n_shingles") / how.tile_shingles).alias("blocks"))
+    own = sum((F.when(F.col("n_shingles") >= s, 1).otherwise(0) for s in starts), F.lit(-1)).cast("long")
+    joined = wanted.join(large, "cluster", "left")
+    none = F.lit(0).cast("long")
+    one = joined.where("large is null").select(*wanted.columns, none.alias("band"), none.alias("lo"), none.alias("hi"))
+    many = joined.where("large").withColumn("own", own).withColumn("first", F.element_at(F.array(*map(F.lit, starts)), (F.col("own") + 1).cast("int")))
+    many = many.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
+    reached = F.col("n_shingles") * how.num <= (F.col("first") - 1) * how.den
+    many = written(many.where((F.col("band") == F.col("own")) | (F.col("band") >= 0) & reached).select(*wanted.columns, "band"), "bands")
+    blocks = many.groupBy("cluster", "band").agg(F.ceil(F.sum(weight) / most).alias("blocks"))
     many = many.join(written(blocks, "blocks"), ["cluster", "band"])
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    many = many.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select(
-        "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "cluster", "node", "rep"
-    )
-    places = one.unionByName(many)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select(
-        "cluster", "band", "lo", "hi", "node", "text"
-    )
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    many = many.withColumn("mine", mine).withColumn("other", other)
+    many = many.select(*wanted.columns, "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return one.unionByName(many)
 
 
 def ngram_components(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  # noqa: B008
@@ -292,10 +350,17 @@ def ngram_components(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  #
     docs = docs.select("doc_id", "text")
     rows = written(set_features(docs, how), "features")
     copies = rows.where("n_shingles > 0").groupBy("n_shingles", "d1").agg(F.min("doc_id").alias("rep"))
-    edges = _stars(_tile_keys(docs, how))
-    clusters = written(components(edges).select("node", F.col("label").alias("cluster")), "clusters")
-    wanted = copies.join(clusters, copies.d1 == clusters.node).select("node", "cluster", "n_shingles", "rep")
-    links = _links(_placed(docs, written(wanted, "wanted"), how), how)
+    near = written(components(_stars(_tile_keys(docs, how))).select("node", F.col("label").alias("cluster")), "near")
+    wanted = copies.join(near, copies.d1 == near.node).select("node", "cluster", "n_shingles", "rep")
+    first = rows.select(F.col("doc_id").alias("id"), F.col("d1").alias("d"), "bits")
+    signed = wanted.join(first, F.col("rep").eqNullSafe(F.col("id")) & (F.col("node") == F.col("d"))).drop("id", "d", "rep")
+    found = _alike(_tiled(written(signed, "signed"), how, F.lit(1), how.tile_rows), how)
+    closer = written(components(found).select("node", F.col("label").alias("cluster")), "closer")
+    wanted = written(copies.join(closer, copies.d1 == closer.node).select("node", "cluster", "n_shingles", "rep"), "wanted")
+    tiled = _tiled(wanted, how, F.col("n_shingles"), how.tile_shingles)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with_text = texts.join(tiled.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
+    links = _links(with_text, how)
     labels = components(links).select(F.col("node").alias("d1"), "label")
     names = copies.join(written(labels, "labels"), "d1", "left").withColumn("label", F.coalesce("label", "d1"))
     least = names.groupBy("label").agg(F.min("rep").alias("component_id"))
