@@ -45,7 +45,7 @@ class Tree:
 
 
 #: Bytes of text in a block that is scored with a dictionary of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 #: Tokens that a counting task holds before it sums and passes them on.
 HELD_TOKENS = 1 << 21
 
@@ -56,13 +56,14 @@ def unseen_fold(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def _summed(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the columns and how often each occurs."""
-    order = np.lexsort(columns)
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(order)))
+    """Distinct rows of the columns and how often each occurs; rows are told apart by a 64-bit mix."""
+    key = columns[0].view(_U)
+    for c in columns[1:]:
+        key = mix(key * _STEP + c.astype(_U))
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return [c[order[at]] for c in columns], np.diff(np.append(at, len(order)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
