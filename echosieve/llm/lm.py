@@ -122,16 +122,35 @@ def context_key(last_first: tuple[int, ...]) -> int:
     return int(key[0])
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys stand in a sorted table, and whether they do."""
-    if not len(table):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+class Index:
+    """Where distinct hashes stand in an array: open addressing, half filled at most, in whole arrays."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask, self.slots = _U(size - 1), np.full(size, -1, dtype=np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + _U(1)) & self.mask
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash; -1 for those that aren't there."""
+        out, left, at = np.full(len(wanted), -1, dtype=np.int64), np.arange(len(wanted)), wanted & self.mask
+        while len(left):
+            got = self.slots[at]
+            used = got >= 0
+            left, at, got = left[used], at[used], got[used]
+            same = self.keys[got] == wanted[left]
+            out[left[same]] = got[same]
+            left, at = left[~same], (at[~same] + _U(1)) & self.mask
+        return out
 
 
 def next_counts(docs: DataFrame, contexts: np.ndarray, length: int) -> DataFrame:
-    """How often each symbol follows each of the contexts (sorted keys of one length) in training texts."""
+    """How often each symbol follows each of the contexts (keys of one length) in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -139,12 +158,13 @@ def next_counts(docs: DataFrame, contexts: np.ndarray, length: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array(ix.astype(np.int32)), pa.array(x), pa.array(counts)], ["ix", "x", "n"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        index = Index(contexts)
         for b in batches:
             for _, words, at in word_hashes(b.column("text")):
                 flat, starts = _sequences(words, at)
                 *_, (place, keys) = _contexts(flat, starts, length)
-                ix, known = _find(contexts, keys)
-                held.append((ix[known], flat[place[known]]))
+                ix = index.find(keys)
+                held.append((ix[ix >= 0], flat[place[ix >= 0]]))
                 if sum(len(p[0]) for p in held) > HELD_TOKENS:
                     yield summed(held)
                     held = []
@@ -156,16 +176,16 @@ def next_counts(docs: DataFrame, contexts: np.ndarray, length: int) -> DataFrame
 
 @dataclass
 class Model:
-    """A learned tree: sorted keys of states and of (state, symbol), with log10 values."""
+    """A learned tree: keys of states and of (state, symbol), with log10 values."""
 
     tokens: int
     different: int
     unseen: float
     discount: float
-    states: np.ndarray
+    states: Index
     parent: np.ndarray
     rest: np.ndarray
-    entries: np.ndarray
+    entries: Index
     values: np.ndarray
     depth: int
 
@@ -179,12 +199,13 @@ class Model:
         """log10 of each symbol's chance after its longest state; ``root``: its chance without context."""
         state = np.full(len(flat), -1, dtype=np.int64)
         for at, keys in _contexts(flat, starts, self.depth):
-            ix, known = _find(self.states, keys)
-            state[at[known]] = ix[known]
+            ix = self.states.find(keys)
+            state[at[ix >= 0]] = ix[ix >= 0]
         out, left = root.copy(), np.flatnonzero(state >= 0)
         out[left] = 0.0
         while len(left):
-            at, known = _find(self.entries, mix(self.states[state[left]] * _STEP ^ flat[left]))
+            at = self.entries.find(mix(self.states.keys[state[left]] * _STEP ^ flat[left]))
+            known = at >= 0
             out[left[known]] += self.values[at[known]]
             left = left[~known]
             out[left] += self.rest[state[left]]
@@ -263,11 +284,10 @@ def learn(rows: DataFrame, words: DataFrame, how: Tree) -> Model:
     keys = np.array([context_key(t) for t in states], dtype=_U)
     pairs = [(i, x, p) for t, i in ix.items() for x, p in smooth[t][0].items()]
     entries = mix(keys[[i for i, _, _ in pairs]] * _STEP ^ np.array([x for _, x, _ in pairs], dtype=_U)) if pairs else np.zeros(0, _U)
-    order = np.argsort(entries)
     return Model(
-        tokens, different, unseen, discount, keys, np.array(parent, dtype=np.int64),
+        tokens, different, unseen, discount, Index(keys), np.array(parent, dtype=np.int64),
         np.log10(np.array([max(smooth[t][1], 1e-300) for t in states], dtype=np.float64)),
-        entries[order], np.log10(np.array([p for _, _, p in pairs], dtype=np.float64))[order], how.depth,
+        Index(entries), np.log10(np.array([p for _, _, p in pairs], dtype=np.float64)), how.depth,
     )
 
 
@@ -303,15 +323,13 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
         return pa.table({"block": pa.array(block), "h": pa.array(own)})
 
     def score(part: pa.Table, held: pa.Table) -> pa.Table:
-        h, c = held.column("h").to_numpy().view(_U), held.column("c").to_numpy()
-        order = np.argsort(h)
-        h, c = np.append(h[order], 0), np.append(c[order], texts)
+        index = Index(np.append(held.column("h").to_numpy().view(_U), END))
+        c = np.append(held.column("c").to_numpy(), texts)
         base, root = np.log10((c + 1) / divisor), model.value.root(c)
         sums: list[list[np.ndarray]] = [[], [], [], []]
         for _, words, at in word_hashes(part.column("text")):
             flat, starts = _sequences(words, at)
-            ix = np.searchsorted(h[:-1], flat)
-            ix[flat == END] = len(h) - 1
+            ix = index.find(flat)
             ix[starts] = 0
             ones = np.ones(len(flat))
             ones[starts] = 0.0
