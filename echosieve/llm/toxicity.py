@@ -48,9 +48,15 @@ _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _FOLD |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _FOLD |= {c: "" for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD)}
 _SUBST = str.maketrans(SUBSTITUTES)
-_INSIDE = re.compile(r"(?<![^\W\d_])[0-9@$]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_])[0-9@$!|]{1,3}(?=[^\W\d_])")
+_INSIDE = re.compile(r"(?<!\w)[0-9@$]{1,2}(?=[^\W\d_]\w)|(?<=[^\W\d_])[0-9@$!|]{1,3}(?=[^\W\d_])")
 _APART = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*][^\W_]){3,}(?![^\W_])")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Cheap looks that tell whether the steps above have anything to do; most texts need none of them.
+_ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+_SIGNS = re.compile(r"[0-9@$!|]")
+_DOTTED = re.compile(r"[.\-_*]\w[.\-_*]")
+_FAR_GAPS = re.compile(r"[^\x00-\x7F\w]|[^\x00-\x7F\D]")
+_GAPS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def fold(text: str | None) -> str:
@@ -62,11 +68,16 @@ def fold(text: str | None) -> str:
     if not text:
         return " "
     low = text.lower()
-    if not low.isascii():
+    if not low.isascii() and _ODD.search(low):
         low = low.translate(_FOLD)
-    low = _INSIDE.sub(lambda m: m.group().translate(_SUBST), low)
-    low = _APART.sub(lambda m: re.sub(r"[.\-_*]", "", m.group()).translate(_SUBST), low)
-    return f" {_NOT_LETTERS.sub(' ', low).strip()} ".replace("  ", " ")
+    if _SIGNS.search(low):
+        low = _INSIDE.sub(lambda m: m.group().translate(_SUBST), low)
+    if _DOTTED.search(low):
+        low = _APART.sub(lambda m: re.sub(r"[.\-_*]", "", m.group()).translate(_SUBST), low)
+    if not low.isascii() and _FAR_GAPS.search(low):
+        low = _NOT_LETTERS.sub(" ", low)
+    words = low.encode("utf-8", "surrogatepass").translate(_GAPS).split()
+    return f" {b' '.join(words).decode('utf-8', 'surrogatepass')} " if words else " "
 
 
 def features(folded: str) -> Counter:
