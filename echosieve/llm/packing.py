@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a shard, which one task packs, and tokens that it packs together at most.
 SHARD_BYTES, WINDOW_TOKENS = 8 << 20, 1 << 22
+#: Partitions at most; beyond, a task packs several shards one after the other, with the same rows.
+MOST_TASKS = 100_000
 
 
 @dataclass(frozen=True)
@@ -147,7 +149,7 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:  # noqa: B00
         if items:
             yield from window(now, count, items)
 
-    dealt = rows.withColumn("shard", shard).repartition(int(shards), "shard")
+    dealt = rows.withColumn("shard", shard).repartition(min(int(shards), MOST_TASKS), "shard")
     return dealt.sortWithinPartitions("shard", "doc_id", F.char_length("text"), F.xxhash64("text")).mapInArrow(run, _SCHEMA)
 
 
