@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,5 +87,7 @@ def simhash(docs: DataFrame, key: str, text: str, **starts: int) -> DataFrame:
     hashed = words.select(key, *(word_hash(F.col("w"), s).alias(c) for c, s in starts.items()))
     sums = [F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1)).cast("int") * 2 - 1).alias(f"{c}_{i}") for c in starts for i in range(60)]
     voted = hashed.groupBy(key).agg(*sums)
-    bits = lambda c: reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(f"{c}_{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(60)))
+    one = lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    # Higher-order functions keep the expression small, however often the planner repeats it.
+    bits = lambda c: F.aggregate(F.transform(F.array(*(f"{c}_{i}" for i in range(60))), one), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
     return voted.select(key, *(bits(c).alias(c) for c in starts))

@@ -20,6 +20,11 @@ IGNORED_TAGS = ("chinese", "dl", "dl版", "中国翻訳", "翻訳", "uncensored"
 #: Words that announce a volume number, and those of them that a number is read after.
 VOLUME_WORDS = ("vol", "ch", "chapter", "ep", "page", "book", "v", "第", "卷", "巻", "話", "话", "集", "冊", "册", "号", "號")
 NUMBERED_WORDS = ("vol", "v", "第", "ch", "集", "冊", "卷")
+#: Patterns of bracketed remarks, of a last number, of separators, and of a title's tags.
+BRACKETED = r"\[.*?\]|\(.*?\)|【.*?】|（.*?）"
+LAST_NUMBER = r"\s+#?\d+\s*$"
+SEPARATORS = r"[-_\s.]+"
+TAG = r"\[([^\]]+)\]"
 
 
 @F.pandas_udf(StringType())
@@ -44,10 +49,10 @@ def skeleton(name: Column) -> Column:
     A name of which less than two letters are left is kept whole, in lower case.
     """
     words = "|".join(VOLUME_WORDS)
-    bare = F.regexp_replace(name, r"\[.*?\]|\(.*?\)|【.*?】|（.*?）", " ")
+    bare = F.regexp_replace(name, BRACKETED, " ")
     bare = F.regexp_replace(bare, rf"(?i)({words})\.?\s*\d+", " ")
-    bare = F.regexp_replace(bare, r"\s+#?\d+\s*$", " ")
-    bare = F.lower(F.trim(F.regexp_replace(bare, r"[-_\s.]+", " ")))
+    bare = F.regexp_replace(bare, LAST_NUMBER, " ")
+    bare = F.lower(F.trim(F.regexp_replace(bare, SEPARATORS, " ")))
     return F.when(F.length(bare) >= 2, bare).otherwise(F.lower(F.trim(name)))
 
 
@@ -74,7 +79,7 @@ def is_ascii(text: Column) -> Column:
 
 def title_tags(title: Column) -> Column:
     """The bracketed tags of a title that may name an artist or a group, in order."""
-    found = F.transform(F.regexp_extract_all(title, F.lit(r"\[([^\]]+)\]"), 1), lambda x: F.trim(x))
+    found = F.transform(F.regexp_extract_all(title, F.lit(TAG), 1), lambda x: F.trim(x))
     return F.filter(found, lambda x: ~F.lower(x).isin(*IGNORED_TAGS))
 
 

@@ -93,8 +93,8 @@ def grid_rescues(pairs: DataFrame) -> DataFrame:
 def grid_votes(ads: DataFrame, gallery: DataFrame, found: DataFrame) -> DataFrame:
     """For ads without a pair in ``found(ad)``: targets that share at least 12 equal grid cells.
 
-    Cells that more than 1,000 gallery items share don't vote. The limits are the reference semantics: 200
-    targets an ad and 5,000 in all, by votes and then path.
+    Cells that more than 1,000 gallery items share don't vote. The limits belong to the result:
+    200 targets an ad and 5,000 in all, by votes and then path.
     """
     cell = lambda df, key: df.select(key, F.posexplode("grid").alias("pos", "cell")).where("cell is not null and cell <> 0")
     left = cell(ads.join(found.select("ad").distinct(), "ad", "left_anti"), "ad")

@@ -139,3 +139,23 @@ def folder_signature(children: DataFrame) -> DataFrame:
     """SHA-1 of each folder's direct children, by name and time: (folder, signature)."""
     line = F.concat_ws("|", F.lower("name"), F.unix_micros("mtime"))
     return children.groupBy("folder").agg(F.sha1(F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("signature"))
+
+
+def protect_root(to_scan: DataFrame, root: str, files: DataFrame) -> DataFrame:
+    """Folders to scan without the root, unless pictures lie in the root itself."""
+    loose = files.where(F.col("folder") == root).select(F.lit(root).alias("path")).limit(1)
+    return to_scan.where(F.col("path") != root).unionByName(to_scan.where(F.col("path") == root).join(F.broadcast(loose), "path", "left_semi"))
+
+
+def with_new_children(to_scan: DataFrame, new: DataFrame, live: DataFrame, window: Column) -> DataFrame:
+    """Folders to scan and the live folders below new ones whose own time (``ts``) the window holds."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    below = live.where(window).select("path", F.explode(ups).alias("up")).join(new.select(F.col("path").alias("up")), "up", "left_semi").select("path")
+    return to_scan.select("path").union(below).distinct()
+
+
+def fallback_folders(unchanged: DataFrame, cached: DataFrame) -> DataFrame:
+    """Unchanged leaf folders of which nothing is cached: they must be scanned after all."""
+    missing = unchanged.select("path").join(cached.select(F.col("folder_path").alias("path")).distinct(), "path", "left_anti")
+    return leaves(missing)

@@ -133,6 +133,23 @@ def folder_signature(spark: SparkSession, d: str) -> DataFrame:
     return diff.folder_signature(children)
 
 
+def root_protection(spark: SparkSession, d: str) -> DataFrame:
+    f = _folders(spark, d)
+    files = table(spark, d, "events").where("event_id = 0").select(F.lit("root").alias("folder")).where("false")
+    return diff.protect_root(f.select("path"), "root", files)
+
+
+def new_folder_expansion(spark: SparkSession, d: str) -> DataFrame:
+    f = _folders(spark, d)
+    new = f.where("path in ('root/g3', 'root/g7/17')").select("path")
+    return diff.with_new_children(f.where("path like '%click'").select("path"), new, f, dates.in_window(F.col("ts").cast("timestamp"), "2024-01-10", "2024-01-30"))
+
+
+def empty_cache_fallback(spark: SparkSession, d: str) -> DataFrame:
+    f = _folders(spark, d)
+    return diff.fallback_folders(f.where("path <> 'root'"), f.where("path like '%view'").select(F.col("path").alias("folder_path")))
+
+
 def empty_folders(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("day(ts) = 7")
     name = F.when(F.col("event_type").isin("view", "click", "error"), "Thumbs.db").otherwise(F.concat(F.col("event_id"), F.lit(".png")))
@@ -222,7 +239,7 @@ def date_functions(spark: SparkSession, d: str) -> DataFrame:
 
 _Q = (
     tail_pages, archive_tail_plan, natural_sort, excluded_folders, date_window, subtree_time_prune, leaf_only_folders, folder_state_diff,
-    ghost_cleanup, restore_cached, quarantine_anti, cache_work_plan, cache_plan_counts, digest_incremental_skip, content_digest,
+    ghost_cleanup, root_protection, new_folder_expansion, empty_cache_fallback, restore_cached, quarantine_anti, cache_work_plan, cache_plan_counts, digest_incremental_skip, content_digest,
     folder_signature, empty_folders, snapshot_merge, prefix_delete, vpath_parse, normalized_paths, hex_fingerprints, backup_retention,
     unique_ad_names, undo_pending, commit_pending, selection_invert, feature_bits, date_functions,
 )
@@ -262,6 +279,11 @@ SELECT * FROM f WHERE NOT list_contains(string_split(lower(folder), '/'), 'de')
   AND NOT EXISTS (SELECT 1 FROM folders u WHERE u.path <> 'root' AND starts_with(f.path, u.path || '/') AND u.ts < TIMESTAMP '2024-01-10'))""",
     "leaf_only_folders": f"WITH {_FOLDERS} SELECT DISTINCT path FROM folders f WHERE NOT EXISTS (SELECT 1 FROM folders u WHERE starts_with(u.path, f.path || '/'))",
     "folder_state_diff": f"WITH {_STATE} SELECT path, kind FROM changes",
+    "root_protection": f"WITH {_FOLDERS} SELECT path FROM folders WHERE path <> 'root'",
+    "new_folder_expansion": f"""WITH {_FOLDERS} SELECT DISTINCT path FROM folders WHERE path LIKE '%click' OR (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-31'
+  AND (path IN ('root/g3', 'root/g7/17') OR starts_with(path, 'root/g3/') OR starts_with(path, 'root/g7/17/')))""",
+    "empty_cache_fallback": f"""WITH {_FOLDERS}, m AS (SELECT path FROM folders WHERE path <> 'root' AND NOT (path LIKE '%view'))
+SELECT path FROM m f WHERE NOT EXISTS (SELECT 1 FROM m u WHERE starts_with(u.path, f.path || '/'))""",
     "ghost_cleanup": f"WITH {_STATE} SELECT path, 'drop_state' AS action FROM changes WHERE kind = 'ghost'",
     "restore_cached": f"WITH {_STATE} SELECT event_id AS path, user_id AS folder_path FROM events WHERE user_id IN (SELECT path FROM changes WHERE kind = 'unchanged')",
     "quarantine_anti": "SELECT event_id AS path FROM events WHERE (event_id % 2 = 0 OR user_id % 3 = 0) AND NOT (event_type = 'error' AND value > 5)",

@@ -10,6 +10,7 @@ from ..functions import hashing as H
 from ..functions.labels import label
 from ..operators import band_join as B
 from ..operators import funnel, groups, selection
+from ..sources import index
 from .tables import ADS, IMAGES, PAIRS, ads, grids, hashes, images, sql_probe, table
 
 LOOSE = Settings(similarity_threshold=75.0, inter_folder_only=False)
@@ -45,6 +46,15 @@ def rotation_max_similarity(spark: SparkSession, d: str) -> DataFrame:
     return B.rotation_pairs(left, hashes(spark, d).withColumnRenamed("path", "target"))
 
 
+def band_index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents looked up in the index of ads with three turned variants each."""
+    h = F.col("phash")
+    turn = lambda k: F.shiftleft(h.bitwiseAND(F.lit((1 << (60 - k)) - 1)), k).bitwiseOR(F.shiftright(h, 60 - k))
+    turned = F.create_map(F.lit(90), turn(15), F.lit(180), turn(30), F.lit(270), turn(45))
+    known = index.entries(ads(spark, d).select("path", "phash", turned.alias("phash_rot")))
+    return index.lookup(known, hashes(spark, d).withColumnRenamed("path", "target"), 19)
+
+
 def grid_rescue(spark: SparkSession, d: str) -> DataFrame:
     g = grids(spark, d)
     near = B.band_pairs(hashes(spark, d), 3).select("a", "b")
@@ -173,7 +183,7 @@ def qr_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = (
-    hamming_similarity, lsh_buckets, near_duplicate_pairs, ad_match_pairs, rotation_max_similarity, grid_rescue, grid_vote_fallback,
+    hamming_similarity, lsh_buckets, near_duplicate_pairs, ad_match_pairs, rotation_max_similarity, band_index_lookup, grid_rescue, grid_vote_fallback,
     color_gate_filter, dual_hash_verdict, mutual_comparison, best_member_per_leader, ranked_targets, ad_leader_groups, duplicate_components,
     qr_groups, qr_hybrid_first_match, ad_like_groups, targeted_best_match, inter_folder_only, funnel_stats, select_ad, folder_scores,
     select_mutual, protected_filter, select_exact, group_sort_keys, qr_summary,
@@ -269,6 +279,9 @@ SQL = {
 turned AS (SELECT path, phash AS h, [{", ".join(_ROT.format(a=60 - k, b=k) for k in (15, 30, 45))}] AS turns FROM (SELECT path, phash, phash AS h FROM ads))
 SELECT * FROM (SELECT p.ad, p.target, p.d AS d0, least(p.d, list_min(list_transform(t.turns, lambda z: bit_count(xor(CASE WHEN z <> 0 THEN z ELSE t.h END, y.phash))))::INTEGER) AS d
 FROM probe p JOIN turned t ON t.path = p.ad JOIN images y ON y.path = p.target) WHERE d <= 19""",
+    "band_index_lookup": f"""WITH {IMAGES}, {ADS}, v AS MATERIALIZED (SELECT path, unnest([h, {", ".join(_ROT.format(a=60 - k, b=k) for k in (15, 30, 45))}]) AS phash FROM (SELECT path, phash AS h FROM ads))
+SELECT y.path AS target, x.path, min(bit_count(xor(x.phash, y.phash)))::INTEGER AS d FROM v x JOIN images y ON x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 19
+  AND len(list_filter(range(0, 8), lambda i: (xor(x.phash, y.phash) >> (8 * i)) & 255 = 0)) > 0 GROUP BY 1, 2""",
     "grid_rescue": f"""WITH {IMAGES}, {PAIRS}, {_GRID},
 c AS (SELECT a, b, bit_count(xor(x.phash, y.phash))::INTEGER AS d,
     len(list_filter(list_zip(x.grid, y.grid), lambda z: z[1] <> 0 AND z[2] <> 0 AND bit_count(xor(z[1], z[2])) <= 3))::INTEGER AS cells

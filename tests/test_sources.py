@@ -10,7 +10,7 @@ import numpy as np
 
 from echosieve.functions import pictures as P
 from echosieve.queries.media import png, sample_picture
-from echosieve.sources import archives, catalogues, inventory, pictures, snapshots
+from echosieve.sources import archives, catalogues, exports, index, inventory, pictures, snapshots
 from echosieve.streaming import incremental
 
 
@@ -80,9 +80,9 @@ def test_inventory(spark, tmp_path):
 
 def test_catalogue_files(spark, tmp_path):
     with sqlite3.connect(tmp_path / "c.db") as c:
-        c.execute("create table Mangas (id integer, title text)")
-        c.execute("insert into Mangas values (1, 'x'), (2, null)")
-    assert sorted((r.id, r.title) for r in catalogues.sqlite_table(spark, str(tmp_path / "c.db"), "Mangas").collect()) == [(1, "x"), (2, None)]
+        c.execute("create table records (id integer, title text)")
+        c.execute("insert into records values (1, 'x'), (2, null)")
+    assert sorted((r.id, r.title) for r in catalogues.sqlite_table(spark, str(tmp_path / "c.db"), "records").collect()) == [(1, "x"), (2, None)]
     (tmp_path / "d.json").write_text(json.dumps([{"Name": "a/b", "Url": "http://h/1", "Command": "Completed"}, {"Name": "c", "Url": "http://h/2", "Command": "x"}]))
     assert [tuple(r) for r in catalogues.download_urls(spark, f"file://{tmp_path}/d.json", "h/").collect()] == [("a_b", "http://h/1")]
     tree = {"data": [{"namespace": "artist", "data": {"foo_bar": {"name": [{"x": 1, "text": "ＡＢ"}]}}}, {"namespace": "other", "data": {}}]}
@@ -108,3 +108,26 @@ def test_snapshots_and_stream(spark, tmp_path):
     assert s.read().count() == 2 and s.versions() == [1, 2, 3]
     s.roll_back()
     assert s.read().count() == 3
+
+
+def test_band_index_is_rebuilt_only_when_ads_change(spark, tmp_path):
+    schema = "path string, phash long, phash_rot map<int,long>"
+    ads = spark.createDataFrame([("a", 0xFF00, {90: 1 << 40, 180: 0}), ("b", None, None)], schema)
+    root = f"file://{tmp_path}/index"
+    assert index.rebuild(spark, ads, root) and not index.rebuild(spark, ads, root)
+    probes = spark.createDataFrame([("x", 0xFF01), ("y", 1 << 40), ("z", 0)], "target string, phash long")
+    assert {tuple(r) for r in index.lookup(index.stored(spark, root), probes, 3).collect()} == {("x", "a", 1), ("y", "a", 0)}
+    assert index.rebuild(spark, ads.where("path = 'b'"), root) and index.stored(spark, root).count() == 0
+
+
+def test_exports_and_digests(spark, tmp_path):
+    import xxhash
+
+    rows = spark.createDataFrame([("u1", "a"), ("u2", "b")], "url string, name string")
+    exports.to_csv(rows, f"file://{tmp_path}/r")
+    assert sorted(map(tuple, catalogues.csv_rows(spark, f"file://{tmp_path}/r", ["url", "name"]).collect())) == [("u1", "a"), ("u2", "b")]
+    exports.queue(spark.createDataFrame([("u2", "c"), ("u3", "d")], "url string, name string"), f"file://{tmp_path}/q")
+    assert sorted(map(tuple, exports.flushed(spark, rows, f"file://{tmp_path}/q", "url").collect())) == [("u1", "a", "same"), ("u2", "c", "changed"), ("u3", "d", "added")]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"ab" * 50_000)
+    assert exports.quick_digests(spark, f"file://{tmp_path}/f").first().qd64 == xxhash.xxh64_hexdigest((b"ab" * 50_000)[: 64 << 10])
