@@ -4,54 +4,64 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import STRICT_D, TARGET_FLOOR, Settings, most_distance
+from ..conf import RESCUED, STRICT_D, TARGET_FLOOR, Settings, most_distance
 from ..functions import color
 from ..functions import hashing as H
 from ..functions.labels import label
 from .band_join import BROADCAST_ROWS, band_pairs, probe_pairs, small
 
 
-def color_stage(pairs: DataFrame, images: DataFrame, settings: Settings, left: str = "a", right: str = "b") -> DataFrame:
-    """Pairs with ``d`` (and ``rescue``) whose colours agree. ``images`` needs path and hsv."""
+def attributed(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs with what the stages compare, as structs ``x`` and ``y``; each side is joined once for all stages."""
+    if "x" in pairs.columns:
+        return pairs
+    of = lambda t, key, to: t.select(F.col("path").alias(key), F.struct(*(c for c in ("folder_path", "hsv", "whash") if c in t.columns)).alias(to))
+    return pairs.join(of(left, a, "x"), a).join(of(right, b, "y"), b)
+
+
+def _rescue(pairs: DataFrame) -> Column:
+    return F.col("rescue") if "rescue" in pairs.columns else F.lit(False)
+
+
+def _whash_distance() -> Column:
+    """The distance of the wavelet hashes of both sides; null where either is invalid."""
+    x, y = F.col("x.whash"), F.col("y.whash")
+    return F.when(H.valid(x) & H.valid(y), H.hamming(x, y))
+
+
+def color_stage(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Attributed pairs with ``d`` (and ``rescue``) whose colours agree."""
     if not settings.use_color_filter:
         return pairs
-    of = images.select("path", "hsv")
-    rescue = F.col("rescue") if "rescue" in pairs.columns else F.lit(False)
-    joined = pairs.join(of.select(F.col("path").alias(left), F.col("hsv").alias("hsv_a")), left).join(of.select(F.col("path").alias(right), F.col("hsv").alias("hsv_b")), right)
-    return joined.where(color.passes(F.col("hsv_a"), F.col("hsv_b"), F.col("d"), rescue, settings.gate)).drop("hsv_a", "hsv_b")
-
-
-def verdict_stage(pairs: DataFrame, images: DataFrame, settings: Settings, left: str = "a", right: str = "b") -> DataFrame:
-    """Pairs that the wavelet hash accepts, with ``d_w`` and the final ``sim`` over the threshold."""
-    of = images.select("path", "whash")
-    joined = pairs.join(of.select(F.col("path").alias(left), F.col("whash").alias("w_a")), left).join(of.select(F.col("path").alias(right), F.col("whash").alias("w_b")), right)
-    rescue = F.col("rescue") if "rescue" in pairs.columns else F.lit(False)
-    d_w = F.when(H.valid(F.col("w_a")) & H.valid(F.col("w_b")), H.hamming(F.col("w_a"), F.col("w_b")))
-    judged = joined.withColumn("d_w", d_w)
+    return pairs.where(color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), _rescue(pairs), settings.gate))
+
+
+def verdict_stage(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Attributed pairs that the wavelet hash accepts, with ``d_w`` and the final ``sim`` over the threshold."""
+    rescue = _rescue(pairs)
+    judged = pairs.withColumn("d_w", _whash_distance())
     if settings.use_whash:
         accept, final = H.accepted(F.col("d"), F.col("d_w"), rescue), H.final_similarity(F.col("d"), F.col("d_w"), rescue)
     else:
         accept = rescue | (F.col("d") <= settings.distance)
-        final = F.when(rescue, F.greatest(H.similarity(F.col("d")), F.lit(0.95))).otherwise(H.similarity(F.col("d")))
-    return judged.withColumn("sim", final).where(accept & (F.col("sim") >= settings.similarity)).drop("w_a", "w_b")
+        final = F.when(rescue, F.greatest(H.similarity(F.col("d")), F.lit(RESCUED))).otherwise(H.similarity(F.col("d")))
+    return judged.withColumn("sim", final).where(accept & (F.col("sim") >= settings.similarity))
 
 
-def other_folders(pairs: DataFrame, images: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """Pairs whose items lie in different folders."""
-    of = images.select("path", "folder_path")
-    joined = pairs.join(of.select(F.col("path").alias(left), F.col("folder_path").alias("f_a")), left).join(of.select(F.col("path").alias(right), F.col("folder_path").alias("f_b")), right)
-    return joined.where(~F.col("f_a").eqNullSafe(F.col("f_b"))).drop("f_a", "f_b")
+def other_folders(pairs: DataFrame) -> DataFrame:
+    """Attributed pairs whose items lie in different folders."""
+    return pairs.where(~F.col("x.folder_path").eqNullSafe(F.col("y.folder_path")))
 
 
 def mutual_matches(images: DataFrame, settings: Settings) -> DataFrame:
     """The gallery against itself: accepted pairs (a, b, d, d_w, sim)."""
-    pairs = band_pairs(images.select("path", "phash"))
+    pairs = attributed(band_pairs(images.select("path", "phash")), images, images)
     if settings.inter_folder_only:
-        pairs = other_folders(pairs, images)
-    return verdict_stage(color_stage(pairs, images, settings), images, settings)
+        pairs = other_folders(pairs)
+    return verdict_stage(color_stage(pairs, settings), settings).drop("x", "y")
 
 
 def ad_matches(ads: DataFrame, leaders: DataFrame, gallery: DataFrame, settings: Settings) -> DataFrame:
@@ -61,9 +71,8 @@ def ad_matches(ads: DataFrame, leaders: DataFrame, gallery: DataFrame, settings:
     Every member is compared; of equal similarities the first member in path order counts.
     """
     pairs = probe_pairs(ads.select(F.col("path").alias("ad"), "phash"), gallery.select(F.col("path").alias("target"), "phash"))
-    pairs = pairs.where("ad <> target")
-    both = ads.select("path", "whash", "hsv").unionByName(gallery.select("path", "whash", "hsv")).dropDuplicates(["path"])
-    kept = verdict_stage(color_stage(pairs, both, settings, "ad", "target"), both, settings, "ad", "target")
+    pairs = attributed(pairs.where("ad <> target"), ads, gallery, "ad", "target")
+    kept = verdict_stage(color_stage(pairs, settings), settings)
     named = kept.join(small(leaders.select(F.col("path").alias("ad"), "leader")), "ad")
     best = named.groupBy("leader", F.col("target").alias("item")).agg(F.min_by(F.struct("ad", "d", "d_w", "sim"), F.struct(-F.col("sim"), "ad")).alias("m"))
     return best.select("leader", "item", F.col("m.ad").alias("member"), F.col("m.d").alias("d_p"), F.col("m.d_w").alias("d_w"), F.col("m.sim").alias("sim"), label(F.col("m.sim")).alias("label"))
@@ -75,13 +84,12 @@ def ad_like(items: DataFrame, ads: DataFrame, settings: Settings) -> DataFrame:
     Strict matches with a missing wavelet hash count here. Returns the items' paths.
     """
     pairs = probe_pairs(ads.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"))
-    a = small(ads.select(F.col("path").alias("ad"), F.col("whash").alias("w_a"), F.col("hsv").alias("hsv_a")))
-    joined = pairs.join(items.select(F.col("path").alias("target"), F.col("whash").alias("w_b"), F.col("hsv").alias("hsv_b")), "target").join(a, "ad")
+    pairs = attributed(pairs, ads, items, "ad", "target")
     if settings.use_color_filter:
-        joined = joined.where(color.passes(F.col("hsv_a"), F.col("hsv_b"), F.col("d"), F.lit(False), settings.gate, missing_fails=True))
-    d_w = F.when(H.valid(F.col("w_a")) & H.valid(F.col("w_b")), H.hamming(F.col("w_a"), F.col("w_b")))
+        pairs = pairs.where(color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), F.lit(False), settings.gate, missing_fails=True))
+    d_w = _whash_distance()
     alike = H.passes_whash(F.col("d"), d_w) | (d_w.isNull() & (F.col("d") <= STRICT_D)) if settings.use_whash else F.col("d") <= settings.distance
-    return joined.where(alike).select(F.col("target").alias("path")).distinct()
+    return pairs.where(alike).select(F.col("target").alias("path")).distinct()
 
 
 def targeted(ads: DataFrame, gallery: DataFrame) -> DataFrame:
@@ -108,22 +116,21 @@ def targeted(ads: DataFrame, gallery: DataFrame) -> DataFrame:
 def qr_first_match(pages: DataFrame, ads: DataFrame, settings: Settings) -> DataFrame:
     """For each page with a code the first ad with a code that accepts it: (page, ad, sim)."""
     pairs = probe_pairs(ads.select(F.col("path").alias("ad"), "phash"), pages.select(F.col("path").alias("target"), "phash"))
-    both = ads.select("path", "whash").unionByName(pages.select("path", "whash")).dropDuplicates(["path"])
-    w = both.select("path", "whash")
-    joined = pairs.join(small(w.join(ads.select("path"), "path", "left_semi")).select(F.col("path").alias("ad"), F.col("whash").alias("w_a")), "ad")
-    joined = joined.join(w.select(F.col("path").alias("target"), F.col("whash").alias("w_b")), "target")
-    d_w = F.when(H.valid(F.col("w_a")) & H.valid(F.col("w_b")), H.hamming(F.col("w_a"), F.col("w_b")))
-    passes, strict = H.passes_whash(F.col("d"), d_w), F.col("d") <= STRICT_D
-    final = F.when(~strict & passes, H.similarity(F.least(F.col("d"), d_w))).otherwise(H.similarity(F.col("d")))
-    kept = joined.withColumn("sim", final).where((strict | passes) & (F.col("sim") >= settings.similarity))
+    pairs = attributed(pairs, ads, pages, "ad", "target").withColumn("d_w", _whash_distance())
+    passes, strict = H.passes_whash(F.col("d"), F.col("d_w")), F.col("d") <= STRICT_D
+    final = F.when(~strict & passes, H.similarity(F.least("d", "d_w"))).otherwise(H.similarity(F.col("d")))
+    kept = pairs.withColumn("sim", final).where((strict | passes) & (F.col("sim") >= settings.similarity))
     return kept.groupBy(F.col("target").alias("page")).agg(F.min(F.struct("ad", "sim")).alias("m")).select("page", F.col("m.ad").alias("ad"), F.col("m.sim").alias("sim"))
 
 
 def counters(images: DataFrame, settings: Settings) -> DataFrame:
-    """How many pairs each stage of the mutual funnel keeps: one row."""
-    coarse = band_pairs(images.select("path", "phash"))
-    outer = other_folders(coarse, images) if settings.inter_folder_only else coarse
-    colored = color_stage(outer, images, settings)
-    final = verdict_stage(colored, images, settings)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(coarse, "passed_phash").crossJoin(count(outer, "passed_folder")).crossJoin(count(colored, "passed_color")).crossJoin(count(final, "accepted"))
+    """How many pairs each stage of the mutual funnel keeps, as one row from one pass over the pairs."""
+    pairs = attributed(band_pairs(images.select("path", "phash")), images, images).withColumn("d_w", _whash_distance())
+    apart = ~F.col("x.folder_path").eqNullSafe(F.col("y.folder_path")) if settings.inter_folder_only else F.lit(True)
+    gate = color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), F.lit(False), settings.gate) if settings.use_color_filter else F.lit(True)
+    no = F.lit(False)
+    final = H.accepted(F.col("d"), F.col("d_w"), no) & (H.final_similarity(F.col("d"), F.col("d_w"), no) >= settings.similarity)
+    return pairs.agg(
+        F.count(F.lit(1)).alias("passed_phash"), F.count_if(apart).alias("passed_folder"), F.count_if(apart & gate).alias("passed_color"),
+        F.count_if(apart & gate & (final if settings.use_whash else F.col("d") <= settings.distance)).alias("accepted"),
+    )

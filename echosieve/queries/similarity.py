@@ -73,12 +73,12 @@ def grid_vote_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 def color_gate_filter(spark: SparkSession, d: str) -> DataFrame:
     x = images(spark, d)
-    return funnel.color_stage(B.band_pairs(x), x, STANDARD).select("a", "b", "d")
+    return funnel.color_stage(funnel.attributed(B.band_pairs(x), x, x), STANDARD).select("a", "b", "d")
 
 
 def dual_hash_verdict(spark: SparkSession, d: str) -> DataFrame:
     x = images(spark, d)
-    return funnel.verdict_stage(B.band_pairs(x), x, LOOSE).select("a", "b", "d", "d_w", "sim")
+    return funnel.verdict_stage(funnel.attributed(B.band_pairs(x), x, x), LOOSE).select("a", "b", "d", "d_w", "sim")
 
 
 def mutual_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +86,9 @@ def mutual_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ad_matches(spark: SparkSession, d: str) -> DataFrame:
-    known = _coded(spark, d, 1)
+    known, gallery = _coded(spark, d)
     leaders = known.select("path", (F.col("path") - F.pmod("path", F.lit(40))).alias("leader"))
-    return funnel.ad_matches(known, leaders, _coded(spark, d, 0), LOOSE)
+    return funnel.ad_matches(known, leaders, gallery, LOOSE)
 
 
 def best_member_per_leader(spark: SparkSession, d: str) -> DataFrame:
@@ -107,21 +107,23 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return groups.duplicate_groups(hashes(spark, d), STANDARD.distance)
 
 
-def _coded(spark: SparkSession, d: str, toxic: int) -> DataFrame:
-    marked = table(spark, d, "labels").where(F.col("toxic") == toxic).select(F.col("doc_id").alias("path")).distinct()
-    return images(spark, d).join(marked, "path", "left_semi")
+def _coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents: the toxic ones, as pages with codes or as known ads, and the others."""
+    x, labels = images(spark, d), table(spark, d, "labels")
+    return tuple(x.join(labels.where(F.col("toxic") == t).select(F.col("doc_id").alias("path")).distinct(), "path", "left_semi") for t in (1, 0))
 
 
 def qr_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.qr_groups(_coded(spark, d, 1), STANDARD.distance)
+    return groups.qr_groups(_coded(spark, d)[0], STANDARD.distance)
 
 
 def qr_hybrid_first_match(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.qr_first_match(_coded(spark, d, 1), _coded(spark, d, 0), LOOSE)
+    return funnel.qr_first_match(*_coded(spark, d), LOOSE)
 
 
 def ad_like_groups(spark: SparkSession, d: str) -> DataFrame:
-    return funnel.ad_like(_coded(spark, d, 0), _coded(spark, d, 1), LOOSE)
+    known, items = _coded(spark, d)
+    return funnel.ad_like(items, known, LOOSE)
 
 
 def targeted_best_match(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +132,7 @@ def targeted_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 def inter_folder_only(spark: SparkSession, d: str) -> DataFrame:
     x = images(spark, d)
-    return funnel.other_folders(B.band_pairs(x, 12), x)
+    return funnel.other_folders(funnel.attributed(B.band_pairs(x, 12), x, x)).select("a", "b", "d")
 
 
 def funnel_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -142,8 +144,8 @@ def select_ad(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, d: str) -> DataFrame:
-    x = images(spark, d).select("path", "folder_path", "size")
-    pairs = B.band_pairs(hashes(spark, d), 0)
+    x = images(spark, d).select("path", "phash", "folder_path", "size")
+    pairs = B.band_pairs(x, 0)
     of = lambda k: x.select(F.col("path").alias(k), F.col("folder_path").alias(f"folder_{k}"), F.col("size").alias(f"size_{k}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select(
         *(F.concat_ws("/", F.col(f"folder_{k}"), F.col(k).cast("string")).alias(k) for k in "ab"), "folder_a", "folder_b", "size_a", "size_b"

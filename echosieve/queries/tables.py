@@ -1,4 +1,8 @@
-"""Engine tables made from the given ones: a text stands for a page, its words for the picture."""
+"""Engine tables made from the given ones: a text stands for a page, its words for the picture.
+
+Fingerprints are the dear part, so each table of them is made once and stored, as a scan stores features;
+joins then read few narrow columns however often they need them.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..operators.tables import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +26,19 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hashes = H.simhash(docs, "doc_id", "text", phash=2, whash=17)
     rest = docs.select(F.col("doc_id").alias("path"), F.col("source").alias("folder_path"), F.col("n_chars").alias("size"), _hsv(F.col("doc_id"), F.col("n_chars")).alias("hsv"))
-    return hashes.withColumnRenamed("doc_id", "path").join(rest, "path")
+    return stored(hashes.withColumnRenamed("doc_id", "path").join(rest, "path"))
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' coarse fingerprints alone: path, phash."""
-    return H.simhash(table(spark, sf_dir, "documents"), "doc_id", "text", phash=2).withColumnRenamed("doc_id", "path")
+    return stored(H.simhash(table(spark, sf_dir, "documents"), "doc_id", "text", phash=2).withColumnRenamed("doc_id", "path"))
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as known ads, with paths below zero."""
     items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("path"), "text", "item_id")
     found = H.simhash(items, "path", "text", phash=2, whash=17)
-    return found.join(items.select("path", _hsv(F.col("item_id"), F.char_length("text")).alias("hsv")), "path")
+    return stored(found.join(items.select("path", _hsv(F.col("item_id"), F.char_length("text")).alias("hsv")), "path"))
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("length(text) >= 16")
     step = F.floor(F.length("text") / 16).cast("int")
     cells = F.array(*(H.word_hash(F.substring(F.col("text"), F.lit(i) * step + 1, step)) for i in range(16)))
-    return docs.select(F.col("doc_id").alias("path"), H.word_hash(F.col("doc_id").cast("string")).alias("phash"), cells.alias("grid"))
+    return stored(docs.select(F.col("doc_id").alias("path"), H.word_hash(F.col("doc_id").cast("string")).alias("phash"), cells.alias("grid")))
 
 
 _HASH = "('0x' || substr(md5({x}), {i}, 15))::BIGINT"
