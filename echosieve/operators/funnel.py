@@ -19,7 +19,7 @@ def attributed(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a"
     if "x" in pairs.columns:
         return pairs
     of = lambda t, key, to: t.select(F.col("path").alias(key), F.struct(*(c for c in ("folder_path", "hsv", "whash") if c in t.columns)).alias(to))
-    return pairs.join(of(left, a, "x"), a).join(of(right, b, "y"), b)
+    return pairs.join(small(of(left, a, "x")), a).join(small(of(right, b, "y")), b)
 
 
 def _rescue(pairs: DataFrame) -> Column:
