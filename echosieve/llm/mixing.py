@@ -6,6 +6,7 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,9 +116,12 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.n for r in found]
     wanted = targets(sizes, how)
-    table = [(r.source, i, r.n, t, -(-r.rows // how.shard_rows)) for i, (r, t) in enumerate(zip(found, wanted, strict=True))]
-    sources = spark.createDataFrame(table, "name string, ix int, source_size long, target double, shards long")
-    sources = F.broadcast(sources) if len(table) <= BROADCAST_SOURCES else sources
+    sources = spark.createDataFrame(pa.table({
+        "name": pa.array([r.source for r in found], pa.string()), "ix": pa.array(range(len(found)), pa.int32()),
+        "source_size": pa.array(sizes, pa.int64()), "target": pa.array(wanted, pa.float64()),
+        "shards": pa.array([-(-r.rows // how.shard_rows) for r in found], pa.int64()),
+    }))
+    sources = F.broadcast(sources) if len(found) <= BROADCAST_SOURCES else sources
     rows = sized.join(sources, sized.source.eqNullSafe(sources.name))
     rows = rows.withColumn("shard", F.pmod("turn", "shards").cast("int"))
 
@@ -129,7 +133,8 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
         n = own["n"].to_numpy()
         got = apportion(n, -(-how.repeats * n // block), int(per_source[ix]))
         parts.loc[own.index, "quota"] = np.minimum(got * block, how.repeats * n)
-    quotas = spark.createDataFrame(parts, "ix int, shard int, n long, quota long")
+    columns = {c: pa.array(parts[c], t) for c, t in (("ix", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("quota", pa.int64()))}
+    quotas = spark.createDataFrame(pa.table(columns))
 
     order = Window.partitionBy("ix", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(quotas, ["ix", "shard"]).withColumn("start", F.sum("size").over(order) - F.col("size"))

@@ -167,7 +167,7 @@ def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
                 keys.append(k := range_digests(s, how))
                 nodes.append(np.full(len(k), d, dtype=np.int64))
                 count += len(k)
-                if count > 1 << 19:
+                if count > 1 << 17:
                     yield _pair(keys, nodes)
                     keys, nodes, count = [], [], 0
             if keys:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,6 @@ def place(spark: SparkSession, rows: DataFrame, key: str, shards: Sequence[str],
     hash. An empty table gives no rows. Only the table is broadcast: ``slots`` rows of two integers.
     """
     table = lookup_table(shards, slots)
-    held = spark.createDataFrame(list(enumerate(table.tolist())), "slot int, shard int")
+    held = spark.createDataFrame(pa.table({"slot": pa.array(range(slots), pa.int32()), "shard": pa.array(table)}))
     placed = rows.select(F.col(key).alias("key"), slot_of(F.col(key), slots).alias("slot"))
     return placed.join(F.broadcast(held), "slot").select(F.col("key").alias(key), "slot", "shard")

@@ -11,7 +11,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of text that are hashed at once; a longer text is hashed by itself, whole.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
