@@ -6,6 +6,9 @@ a pass over the corpus for each length, and one becomes a state where what follo
 its parent, the context without its first word, predicts; all suffixes of a state are states. Frequent
 symbols after a state keep their discounted share, and the rest is shared as the parent shares it; at the
 root, unseen words are one symbol with the share that discounting words leaves. The longest state predicts.
+
+A window is a run of symbols of one text, named by a hash; without its last symbol it is the context of that
+symbol, without its first one it is the same symbol after the context's parent. The tree is a table of windows.
 """
 
 from __future__ import annotations
@@ -31,15 +34,15 @@ _STEP = _U(0x9FB21C651E98DF25)
 class Tree:
     """How a tree is learned.
 
-    ``depth``: words in a context at most. ``rare``: share of all training tokens that a context needs,
-    and 16 times less a symbol after it to be kept; so there are at most ``depth / rare`` states and
-    ``16 * depth / rare`` symbols after them at any size of corpus, which bounds what is broadcast.
-    ``gain``: nats by which a state must describe the kept symbols better than its parent does, for
+    ``depth``: words in a context at most. ``least``: how often a context, and a symbol after it, must occur
+    to be kept, at any size of corpus. ``rare``: if given, a share of all training tokens that a context
+    needs besides, and 16 times less a symbol after it. ``gain``: nats by which a state must describe the kept symbols better than its parent does, for
     itself and for each of them. ``discount`` is taken off the count of a kept symbol.
     """
 
     depth: int = 3
-    rare: float = 1e-5
+    least: int = 2
+    rare: float = 0.0
     gain: float = 4.0
     discount: float = 0.75
 
@@ -103,25 +106,21 @@ def _sequences(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return flat, starts
 
 
-def _contexts(flat: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1: the positions whose text reaches back that far, and their contexts' keys."""
+def _windows(flat: np.ndarray, starts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1: the positions where a window of it ends, and the windows' keys.
+
+    A window of one symbol is named by the symbol.
+    """
     back = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
-    at, key = np.flatnonzero(back), np.zeros(int((back > 0).sum()), dtype=_U)
-    for n in range(1, depth + 1):
-        far = back[at] >= n
+    at, key = np.arange(len(flat)), flat
+    yield at, key
+    for n in range(2, longest + 1):
+        far = back[at] >= n - 1
         at, key = at[far], key[far]
-        key = mix(key * _STEP + flat[at - n] + _U(n))
+        key = mix(key * _STEP + flat[at - n + 1] + _U(n))
         yield at, key
 
 
-def context_key(last_first: tuple[int, ...]) -> int:
-    """The key of a context, its last word first."""
-    key = np.zeros(1, dtype=_U)
-    for n, word in enumerate(last_first, 1):
-        key = mix(key * _STEP + np.array([word], dtype=_U) + _U(n))
-    return int(key[0])
-
-
 class Index:
     """Where distinct hashes stand in an array: open addressing, half filled at most, in whole arrays."""
 
@@ -149,146 +148,147 @@ class Index:
         return out
 
 
-def next_counts(docs: DataFrame, contexts: np.ndarray, length: int) -> DataFrame:
-    """How often each symbol follows each of the contexts (keys of one length) in training texts."""
+def window_counts(docs: DataFrame, longest: int) -> DataFrame:
+    """How often training texts have each window of 2 to ``longest`` symbols: (n, g, ctx, low, c).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            (x, ix), counts = _summed(np.concatenate([p[1] for p in parts]).view(np.int64), np.concatenate([p[0] for p in parts]))
-            return pa.RecordBatch.from_arrays([pa.array(ix.astype(np.int32)), pa.array(x), pa.array(counts)], ["ix", "x", "n"])
+    ``ctx`` is the window without its last symbol, ``low`` without its first one.
+    """
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        index = Index(contexts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(n: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            none = np.zeros(0, dtype=_U)
+            g, ctx, low = (np.concatenate([none, *(p[i] for p in parts)]).view(np.int64) for i in range(3))
+            order = np.argsort(g)
+            g = g[order]
+            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), dtype=bool), g[1:] != g[:-1])))
+            first, counts = order[at], np.diff(np.append(at, len(g)))
+            length = np.full(len(at), n, dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (length, g[at], ctx[first], low[first], counts)], ["n", "g", "ctx", "low", "c"])
+
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in range(2, longest + 1)}
         for b in batches:
             for _, words, at in word_hashes(b.column("text")):
                 flat, starts = _sequences(words, at)
-                *_, (place, keys) = _contexts(flat, starts, length)
-                ix = index.find(keys)
-                held.append((ix[ix >= 0], flat[place[ix >= 0]]))
-                if sum(len(p[0]) for p in held) > HELD_TOKENS:
-                    yield summed(held)
-                    held = []
-        if sum(len(p[0]) for p in held):
-            yield summed(held)
-
-    return docs.where("not held_out").select("text").mapInArrow(run, "ix int, x long, n long").groupBy("ix", "x").agg(F.sum("n").alias("n"))
+                before = flat
+                for n, (place, keys) in enumerate(_windows(flat, starts, longest), 1):
+                    full = np.zeros(len(flat), dtype=_U)
+                    full[place] = keys
+                    if n > 1:
+                        held[n].append((keys, before[place - 1], before[place]))
+                    before = full
+                if sum(len(p[0]) for p in held.get(2, [])) > HELD_TOKENS:
+                    yield from map(summed, held, held.values())
+                    held = {n: [] for n in held}
+        yield from map(summed, held, held.values())
+
+    found = docs.where("not held_out").select("text").mapInArrow(run, "n int, g long, ctx long, low long, c long")
+    return found.groupBy("n", "g").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("c").alias("c"))
 
 
-@dataclass
-class Model:
-    """A learned tree: keys of states and of (state, symbol), with log10 values."""
+@dataclass(frozen=True)
+class Root:
+    """The sizes of the training texts, and what the tree's root says."""
 
+    texts: int
     tokens: int
     different: int
     unseen: float
     discount: float
-    states: Index
-    parent: np.ndarray
-    rest: np.ndarray
-    entries: Index
-    values: np.ndarray
-    depth: int
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
+    def chances(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the chance of symbols by their training counts; 0 is the unseen word."""
         with np.errstate(divide="ignore"):
             known = np.log10(np.maximum(counts - self.discount, 1e-9) / max(1, self.tokens))
         return np.where(counts > 0, known, np.log10(self.unseen))
 
+
+class Model:
+    """The part of a tree that some texts need: log10 values of windows after states, and of states' rests."""
+
+    def __init__(self, start: Root, facts: pa.Table, depth: int) -> None:
+        g, p, rest = (facts.column(c).to_numpy() for c in ("g", "p", "rest"))
+        g, entry, state = g.view(_U), ~np.isnan(p), ~np.isnan(rest)
+        self.start, self.depth = start, depth
+        self.entries, self.values = Index(g[entry]), p[entry]
+        self.states, self.rest = Index(g[state]), rest[state]
+
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        return self.start.chances(counts)
+
     def predict(self, flat: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
         """log10 of each symbol's chance after its longest state; ``root``: its chance without context."""
-        state = np.full(len(flat), -1, dtype=np.int64)
-        for at, keys in _contexts(flat, starts, self.depth):
-            ix = self.states.find(keys)
-            state[at[ix >= 0]] = ix[ix >= 0]
-        out, left = root.copy(), np.flatnonzero(state >= 0)
-        out[left] = 0.0
-        while len(left):
-            at = self.entries.find(mix(self.states.keys[state[left]] * _STEP ^ flat[left]))
+        entry, state = ([np.full(len(flat), -1, dtype=np.int64) for _ in range(self.depth + 2)] for _ in range(2))
+        for n, (at, keys) in enumerate(_windows(flat, starts, self.depth + 1), 1):
+            entry[n][at] = self.entries.find(keys)
+            state[n][at] = self.states.find(keys)
+        out, open_ = np.zeros(len(flat)), np.ones(len(flat), dtype=bool)
+        open_[starts] = False
+        for n in range(self.depth, 0, -1):
+            left = np.flatnonzero(open_)
+            left = left[state[n][left - 1] >= 0]
+            at = entry[n + 1][left]
             known = at >= 0
             out[left[known]] += self.values[at[known]]
+            open_[left[known]] = False
             left = left[~known]
-            out[left] += self.rest[state[left]]
-            state[left] = self.parent[state[left]]
-            bare = state[left] < 0
-            out[left[bare]] += root[left[bare]]
-            left = left[~bare]
-        out[starts] = 0.0
+            out[left] += self.rest[state[n][left - 1]]
+        out[open_] += root[open_]
         return out
 
 
-def learn(rows: DataFrame, words: DataFrame, how: Tree) -> Model:
-    """Learn the tree from the training texts of ``rows(held_out, text)`` and the counts of all words."""
+def tree(rows: DataFrame, words: DataFrame, how: Tree) -> tuple[Root, DataFrame]:
+    """Learn from the training texts of ``rows(held_out, text)`` and the counts of all words.
+
+    Returns the root and a row for each word and each window that the tree needs: (g, c, p, rest), with
+    the count of a word, log10 of the last symbol's chance after a state, and log10 of a state's rest. A
+    value that isn't there is null, or 0 for c. The table is as large as the corpus makes it and stays in parts.
+    """
+    spark = rows.sparkSession
     texts = rows.where("not held_out").count()
     found = words.where("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     tokens, different = (found.n or 0) + texts, found.v + bool(texts)
     discount = min(0.95, max(0.05, found.one / max(1, found.one + 2 * found.two)))
-    unseen = discount * different / tokens if tokens else 1.0
-    least, floor = max(2.0, how.rare * tokens), max(2.0, how.rare / 16 * tokens)
-
-    often = words.where(F.col("c") >= floor).toPandas()
-    counts = dict(zip(often["h"].to_numpy(np.int64).view(_U).tolist(), often["c"].tolist(), strict=True))
-    counts[int(END)] = texts
-    chance = {x: (c - discount) / tokens for x, c in counts.items() if c > 0}
-
-    after: dict[tuple[int, ...], dict[int, int]] = {}
-    totals: dict[tuple[int, ...], int] = {(x,): c for x, c in counts.items() if c >= least and x != int(END)}
-    if texts >= least:
-        totals[(int(START),)] = texts
-    level = list(totals)
-    for n in range(1, how.depth + 1):
-        if not level:
-            break
-        level = sorted(level, key=context_key)
-        keys = np.array([context_key(t) for t in level], dtype=_U)
-        kept = next_counts(rows, keys, n).where(F.col("n") >= floor).toPandas()
-        longer = []
-        for ix, x, c in zip(kept["ix"].tolist(), kept["x"].to_numpy(np.int64).view(_U).tolist(), kept["n"].tolist(), strict=True):
-            context = level[ix]
-            after.setdefault(context, {})[x] = c
-            if c >= least and x != int(END):
-                totals[(x, *context)] = c
-                longer.append((x, *context))
-        level = longer
-
-    # Smoothed chances, shorter contexts first; a context without a state passes its parent's on.
-    smooth: dict[tuple[int, ...], tuple[dict[int, float], float]] = {}
-    keep: set[tuple[int, ...]] = set()
-
-    def of(context: tuple[int, ...], x: int) -> float:
-        factor = 1.0
-        while context:
-            own, rest = smooth.get(context, ({}, 1.0))
-            if x in own:
-                return factor * own[x]
-            factor, context = factor * rest, context[:-1]
-        return factor * chance.get(x, unseen)
-
-    for context in sorted(after, key=lambda t: (len(t), t)):
-        own, total = after[context], totals[context]
-        gain = sum(c * np.log(c / total / of(context[:-1], x)) for x, c in own.items())
-        rest = (total - sum(own.values()) + how.discount * len(own)) / total
-        smooth[context] = ({x: (c - how.discount) / total + rest * of(context[:-1], x) for x, c in own.items()}, rest)
-        if gain > how.gain * (1 + len(own)):
-            for n in range(1, len(context) + 1):
-                keep.add(context[:n])
-    # A suffix that is kept for a longer state's sake alone has a smoothed distribution too.
-    states = sorted(keep & set(smooth), key=context_key)
-    ix = {t: i for i, t in enumerate(states)}
-    parent = []
-    for t in states:
-        up = t[:-1]
-        while up and up not in ix:
-            up = up[:-1]
-        parent.append(ix.get(up, -1))
-    keys = np.array([context_key(t) for t in states], dtype=_U)
-    pairs = [(i, x, p) for t, i in ix.items() for x, p in smooth[t][0].items()]
-    entries = mix(keys[[i for i, _, _ in pairs]] * _STEP ^ np.array([x for _, x, _ in pairs], dtype=_U)) if pairs else np.zeros(0, _U)
-    return Model(
-        tokens, different, unseen, discount, Index(keys), np.array(parent, dtype=np.int64),
-        np.log10(np.array([max(smooth[t][1], 1e-300) for t in states], dtype=np.float64)),
-        Index(entries), np.log10(np.array([p for _, _, p in pairs], dtype=np.float64)), how.depth,
-    )
+    start = Root(texts, tokens, different, discount * different / tokens if tokens else 1.0, discount)
+    least, floor = max(how.least, how.rare * tokens), max(how.least, how.rare / 16 * tokens)
+
+    edges = spark.createDataFrame([(int(x.view(np.int64)), texts) for x in (START, END)], "g long, c long")
+    single = words.select(F.col("h").alias("g"), "c").unionByName(edges).where("c > 0")
+    level = single.select("g", "c", ((F.col("c") - discount) / max(1, tokens)).alias("p"))
+    counted = written(window_counts(rows, how.depth + 1).where(F.col("c") >= floor), "windows")
+    levels, grown = [], []
+    for n in range(2, how.depth + 2):
+        total = level.where(F.col("c") >= least).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
+        parent = level.select(F.col("g").alias("low"), F.col("p").alias("up"))
+        own = written(counted.where(F.col("n") == n).drop("n").join(total, "ctx").join(parent, "low"), "own")
+        c, t = F.col("c"), F.col("total")
+        sums = own.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("s"), F.max("total").alias("t"), F.sum(c * F.log(c / t / F.col("up"))).alias("gain"))
+        rest = ((F.col("t") - F.col("s") + how.discount * F.col("m")) / F.col("t")).alias("rest")
+        sums = written(sums.select("ctx", rest, (F.col("gain") > how.gain * (1 + F.col("m"))).alias("state")), "contexts")
+        smooth = ((c - how.discount) / t + F.col("rest") * F.col("up")).alias("p")
+        level = written(own.join(sums, "ctx").select("g", "ctx", "low", "c", smooth), "level")
+        levels.append(level)
+        grown.append(sums)
+    # All suffixes of a state are states; longest first.
+    null = F.lit(None).cast("double")
+    facts = single.select("g", "c", null.alias("p"), null.alias("rest"))
+    longer = None
+    for i in range(len(levels) - 1, -1, -1):
+        states = grown[i].where("state").select("ctx")
+        if longer is not None:
+            states = states.unionByName(longer)
+        states = written(states.distinct(), "states")
+        rests = grown[i].join(states, "ctx", "left_semi").select(F.col("ctx").alias("g"), F.lit(0).cast("long").alias("c"), null.alias("p"), F.log10("rest").alias("rest"))
+        entries = levels[i].join(states, "ctx", "left_semi").select("g", F.lit(0).cast("long").alias("c"), F.log10("p").alias("p"), null.alias("rest"))
+        facts = facts.unionByName(entries).unionByName(rests)
+        if i:
+            longer = levels[i - 1].join(states.select(F.col("ctx").alias("g")), "g", "left_semi").select(F.col("low").alias("ctx"))
+    return start, written(facts.groupBy("g").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("rest").alias("rest")), "tree")
+
+
+def learn(rows: DataFrame, words: DataFrame, how: Tree) -> Model:
+    """The whole tree of a small corpus, held here."""
+    start, facts = tree(rows, words, how)
+    return Model(start, facts.toArrow(), how.depth)
 
 
 def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
@@ -301,39 +301,38 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
     known, ``train_tokens`` is 0 and all scores are 0. No rows, none.
 
     Counts are summed in each task before they are shuffled. Texts are dealt once into blocks of about
-    ``BLOCK_BYTES``; a block's different words fetch their counts by a join on the word, so neither a
-    vocabulary nor a text is broadcast, only the tree, whose size ``Tree.rare`` bounds.
+    ``BLOCK_BYTES``; a block's different windows fetch their part of the tree by a join on the window, so
+    neither a vocabulary nor a text nor the tree is broadcast or held whole.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), unseen_fold(F.col("doc_id")).alias("held_out"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = written(word_counts(rows.select("held_out", "text")), "words")
-    learned = learn(rows.select("held_out", "text"), words, how)
-    texts = np.array([rows.where("not held_out").count()])
-    tokens, divisor = learned.tokens, float(learned.tokens + learned.different + 1)
-    model = spark.sparkContext.broadcast(learned)
+    start, facts = tree(rows.select("held_out", "text"), words, how)
+    tokens, divisor, longest = start.tokens, float(start.tokens + start.different + 1), how.depth + 1
     key = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int")
     dealt = rows.withColumn("block", key).groupBy("block")
 
-    def different_words(table: pa.Table) -> pa.Table:
-        own = [np.unique(h) for _, h, _ in word_hashes(table.column("text"))]
-        own = np.unique(np.concatenate(own)).view(np.int64)
-        block = np.full(len(own), table.column("block")[0].as_py(), dtype=np.int32)
-        return pa.table({"block": pa.array(block), "h": pa.array(own)})
+    def different_windows(table: pa.Table) -> pa.Table:
+        own: list[list[np.ndarray]] = [[] for _ in range(longest)]
+        for _, words, at in word_hashes(table.column("text")):
+            for into, (_, keys) in zip(own, _windows(*_sequences(words, at), longest), strict=True):
+                into.append(np.unique(keys))
+        keys = np.concatenate([np.unique(np.concatenate(x)) for x in own]).view(np.int64)
+        block = np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int32)
+        return pa.table({"block": pa.array(block), "g": pa.array(keys)})
 
     def score(part: pa.Table, held: pa.Table) -> pa.Table:
-        index = Index(np.append(held.column("h").to_numpy().view(_U), END))
-        c = np.append(held.column("c").to_numpy(), texts)
-        base, root = np.log10((c + 1) / divisor), model.value.root(c)
+        model, c = Model(start, held, how.depth), held.column("c").to_numpy()
+        index, c = Index(held.column("g").to_numpy()[c > 0].view(_U)), np.append(c[c > 0], 0)
         sums: list[list[np.ndarray]] = [[], [], [], []]
         for _, words, at in word_hashes(part.column("text")):
             flat, starts = _sequences(words, at)
-            ix = index.find(flat)
-            ix[starts] = 0
+            counts = c[index.find(flat)]
             ones = np.ones(len(flat))
             ones[starts] = 0.0
-            values = (ones, ones * (c[ix] > 0), ones * base[ix], model.value.predict(flat, starts, root[ix]))
+            base = np.log10((counts + 1) / divisor)
+            values = (ones, ones * (counts > 0), ones * base, model.predict(flat, starts, model.root(counts)))
             for into, of in zip(sums, values, strict=True):
                 into.append(np.add.reduceat(of, starts))
         n, known, b, p = (np.concatenate(s) for s in sums)
@@ -346,7 +345,7 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
             }
         )
 
-    wanted = dealt.applyInArrow(different_words, "block int, h long")
-    got = wanted.join(words, "h").select("block", "h", "c")
+    wanted = dealt.applyInArrow(different_windows, "block int, g long")
+    got = wanted.join(facts, "g").select("block", "g", "c", "p", "rest")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.cogroup(got.groupBy("block")).applyInArrow(score, schema)

@@ -83,3 +83,30 @@ def test_edge_tables(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0.0, 0.0)
     r = lm.scores(spark.createDataFrame([(0, None, "", None, 0)], DOCS)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (1, 1, 1)
+
+
+def test_contexts_that_are_rare_in_a_large_corpus(spark):
+    """What occurs five times in 600,000 tokens is learned, as in a small corpus."""
+    rng = np.random.default_rng(1)
+    rows = [" ".join(f"w{i}" for i in rng.integers(0, 1000, 6000)) for _ in range(100)] + ["alpha beta gamma"] * 5
+    model, counts = _learned(spark, rows, lm.Tree())
+    key = [int(h) for h in next(lm.word_hashes(pa.array(["alpha beta gamma"])))[1]]
+    flat = np.array([int(lm.START), *key], dtype=np.uint64)
+    root = model.root(np.array([0, *(counts[np.uint64(k).view(np.int64)] for k in key)]))
+    assert model.predict(flat, np.array([0]), root)[-1] > math.log10(0.8)
+
+
+def test_blocks_score_as_the_whole_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 4096)
+    rows = [r for r in corpus(5) if r[1]]
+    docs = frame(spark, rows)
+    model, counts = _learned(spark, [t for i, t, *_ in rows if not held(i)], lm.Tree(gain=0.5))
+    texts = sum(not held(i) for i, *_ in rows)
+    counts[int(lm.END.view(np.int64))] = texts
+    assert len(model.states.keys) > 10
+    got = {r.doc_id: r.score for r in lm.scores(docs, lm.Tree(gain=0.5)).collect()}
+    for i, text, *_ in rows:
+        words = next(lm.word_hashes(pa.array([text])))[1]
+        flat = np.concatenate(([lm.START], words, [lm.END])).astype(np.uint64)
+        root = model.root(np.array([counts.get(int(h), 0) for h in flat.view(np.int64)]))
+        assert abs(model.predict(flat, np.array([0]), root).sum() - got[i]) < 1e-6
