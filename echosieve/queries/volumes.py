@@ -61,7 +61,7 @@ def volume_match_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def series_components(spark: SparkSession, d: str) -> DataFrame:
     f = _sources(spark, d)
-    return volume.series(f, volume.cross_pairs(_pages(spark, d, 10_000), f).where("a > 'src15'"))
+    return volume.series(f, volume.cross_pairs(_pages(spark, d, 10_000), f))
 
 
 def series_rows(spark: SparkSession, d: str) -> DataFrame:
