@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,19 @@ def probe_pairs(ads: DataFrame, gallery: DataFrame, most: int = COARSE_D) -> Dat
     return joined.select("x.ad", "y.target", d.alias("d"))
 
 
+def all_pairs(ads: DataFrame, gallery: DataFrame, most: int) -> DataFrame:
+    """Pairs of ``ads(ad, phash)`` and ``gallery(target, phash)`` within ``most`` bits, whatever bytes they share.
+
+    All are compared: the ads meet the gallery in blocks of a size that a broadcast may hold.
+    """
+    left = ads.where(H.valid(F.col("phash"))).select("ad", F.col("phash").alias("h"))
+    right = gallery.where(H.valid(F.col("phash"))).select("target", "phash")
+    blocks = -(-left.count() // BROADCAST_ROWS) or 1
+    d = H.hamming(F.col("h"), F.col("phash"))
+    parts = (left.where(F.pmod(F.xxhash64("ad"), F.lit(blocks)) == i) for i in range(blocks))
+    return reduce(DataFrame.unionByName, (right.join(F.broadcast(p), d <= most).select("ad", "target", d.alias("d")) for p in parts))
+
+
 def rotation_pairs(ads: DataFrame, gallery: DataFrame, most: int = COARSE_D) -> DataFrame:
     """As :func:`probe_pairs` by the upright fingerprint, judged by the nearest of ``turns`` (an array).
 

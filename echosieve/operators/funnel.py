@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import RESCUED, STRICT_D, TARGET_FLOOR, Settings, most_distance
+from ..conf import COARSE_D, RESCUED, STRICT_D, TARGET_FLOOR, Settings, most_distance
 from ..functions import color
 from ..functions import hashing as H
 from ..functions.labels import label
-from .band_join import BROADCAST_ROWS, band_pairs, probe_pairs, small
+from .band_join import BROADCAST_ROWS, all_pairs, band_pairs, probe_pairs, small
 
 
 def attributed(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -81,9 +81,10 @@ def ad_matches(ads: DataFrame, leaders: DataFrame, gallery: DataFrame, settings:
 def ad_like(items: DataFrame, ads: DataFrame, settings: Settings) -> DataFrame:
     """Items that some ad accepts: by colour, then by the wavelet hash, whatever the user's threshold.
 
-    Strict matches with a missing wavelet hash count here. Returns the items' paths.
+    Each item is compared with every ad, not only with those that share a byte. Strict matches with a
+    missing wavelet hash count here. Returns the items' paths.
     """
-    pairs = probe_pairs(ads.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"))
+    pairs = all_pairs(ads.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"), COARSE_D)
     pairs = attributed(pairs, ads, items, "ad", "target")
     if settings.use_color_filter:
         pairs = pairs.where(color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), F.lit(False), settings.gate, missing_fails=True))

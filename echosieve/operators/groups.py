@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..conf import CELL_D
 from ..functions import hashing as H
-from .band_join import band_pairs
+from .band_join import all_pairs, band_pairs
 from .tables import stored
 
 
@@ -64,8 +64,16 @@ def duplicate_groups(items: DataFrame, most: int) -> DataFrame:
 
 
 def qr_groups(items: DataFrame, most: int) -> DataFrame:
-    """Items grouped by fingerprint with the group's size; an item alone is its own group."""
-    own = items.select("path").join(connected(band_pairs(items.select("path", "phash"), most).select("a", "b")), F.col("path") == F.col("node"), "left")
+    """Items grouped by fingerprint with the group's size; an item alone is its own group.
+
+    All pairs within ``most`` bits link. Up to 7 bits they share a byte; beyond, all are compared.
+    """
+    if most <= 7:
+        pairs = band_pairs(items.select("path", "phash"), most)
+    else:
+        pairs = all_pairs(items.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"), most).where("ad < target")
+        pairs = pairs.select(F.col("ad").alias("a"), F.col("target").alias("b"))
+    own = items.select("path").join(connected(pairs.select("a", "b")), F.col("path") == F.col("node"), "left")
     own = own.select(F.coalesce("leader", "path").alias("leader"), "path")
     return own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leader")))
 

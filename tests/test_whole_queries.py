@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from echosieve.conf import Settings
+from echosieve.operators import funnel, groups
 from echosieve.queries import volumes
 
 
@@ -14,3 +16,13 @@ def test_series_are_joined_by_any_folder(spark, tmp_path):
     d = _documents(spark, tmp_path, [(1, "one two three four five", "src0"), (2, "one two three four five", "src11"), (3, "quite another text", "src27")])
     got = {r.skeleton: r.series for r in volumes.series_components(spark, d).collect()}
     assert got == {"src": "src", "src1": "src", "src2": "src2"}
+
+
+def test_ad_like_needs_no_common_byte(spark):
+    """Eight bits apart, one in each byte."""
+    rows = [(1, 2**62 - 1, 7), (2, (2**62 - 1) ^ 0x0101010101010101, 7), (3, 1, 7)]
+    df = spark.createDataFrame(rows, "path long, phash long, whash long")
+    got = funnel.ad_like(df.where("path > 1"), df.where("path = 1"), Settings(use_color_filter=False))
+    assert [r.path for r in got.collect()] == [2]
+    assert {r.path: r.leader for r in groups.qr_groups(df, 8).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.path: r.leader for r in groups.qr_groups(df, 7).collect()} == {1: 1, 2: 2, 3: 3}
