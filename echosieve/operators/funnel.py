@@ -7,21 +7,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import COARSE_D, RESCUED, STRICT_D, TARGET_FLOOR, Settings, most_distance
+from ..conf import COARSE_D, HASH_BITS, RESCUE_CELLS, RESCUE_D, RESCUED, STRICT_D, TARGET_FLOOR, Settings, most_distance
 from ..functions import color
 from ..functions import hashing as H
 from ..functions.labels import label
-from .band_join import BROADCAST_ROWS, all_pairs, band_pairs, probe_pairs, small
+from .band_join import BROADCAST_ROWS, all_pairs, band_pairs, check_grid, grid_votes, probe_pairs, small
 
 
-def attributed(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: What pairs are judged by, and what turns and grids add to it where features have them.
+_COMPARED = ("folder_path", "hsv", "whash")
+_TURNED = ("phash", "phash_rot", "grid", "grid_rot")
+TURNS = (90, 180, 270)
+
+
+def attributed(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b", columns: tuple[str, ...] = _COMPARED) -> DataFrame:
     """Pairs with what the stages compare, as structs ``x`` and ``y``; each side is joined once for all stages."""
     if "x" in pairs.columns:
         return pairs
-    of = lambda t, key, to: t.select(F.col("path").alias(key), F.struct(*(c for c in ("folder_path", "hsv", "whash") if c in t.columns)).alias(to))
+    of = lambda t, key, to: t.select(F.col("path").alias(key), F.struct(*(c for c in columns if c in t.columns)).alias(to))
     return pairs.join(small(of(left, a, "x")), a).join(small(of(right, b, "y")), b)
 
 
+def _has_turns(items: DataFrame) -> bool:
+    return "phash_rot" in items.columns or "grid" in items.columns
+
+
+def _nearest(left: DataFrame, right: DataFrame) -> Column:
+    """The least distance over the turns of ``x``; a turn that is missing or zero counts as upright."""
+    x, y = F.col("x.phash"), F.col("y.phash")
+    turns = [F.element_at("x.phash_rot", F.lit(t)) for t in TURNS] if "phash_rot" in left.columns else []
+    return F.least(H.hamming(x, y), *(H.hamming(F.when(H.valid(t), t).otherwise(x), y) for t in turns), F.lit(HASH_BITS))
+
+
+def _cells(left: DataFrame, right: DataFrame) -> Column:
+    """The most grid cells that agree over the turns of ``x``."""
+    if "grid" not in left.columns or "grid" not in right.columns:
+        return F.lit(0)
+    grids = [F.col("x.grid"), *(F.element_at("x.grid_rot", F.lit(t)) for t in TURNS if "grid_rot" in left.columns)]
+    return F.greatest(F.lit(0), *(H.cells_alike(check_grid(g), check_grid(F.col("y.grid"))) for g in grids))
+
+
+def _within_reach(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Attributed candidates whose nearest turn is within the coarse distance or whose grids rescue them."""
+    near = attributed(pairs.select(a, b), left, right, a, b, _COMPARED + _TURNED).withColumn("d", _nearest(left, right))
+    rescue = (F.col("d") > COARSE_D) & (F.col("d") <= RESCUE_D) & (_cells(left, right) >= RESCUE_CELLS)
+    return near.withColumn("rescue", rescue).where((F.col("d") <= COARSE_D) | F.col("rescue"))
+
+
 def _rescue(pairs: DataFrame) -> Column:
     return F.col("rescue") if "rescue" in pairs.columns else F.lit(False)
 
@@ -57,8 +89,15 @@ def other_folders(pairs: DataFrame) -> DataFrame:
 
 
 def mutual_matches(images: DataFrame, settings: Settings) -> DataFrame:
-    """The gallery against itself: accepted pairs (a, b, d, d_w, sim)."""
-    pairs = attributed(band_pairs(images.select("path", "phash")), images, images)
+    """The gallery against itself: accepted pairs (a, b, d, d_w, sim).
+
+    Where ``images`` has turns or grids, candidates share a byte upright and are judged by ``a``'s nearest
+    turn or rescued by the grids; a column ``rescue`` then tells which.
+    """
+    if _has_turns(images):
+        pairs = _within_reach(band_pairs(images.select("path", "phash"), HASH_BITS), images, images)
+    else:
+        pairs = attributed(band_pairs(images.select("path", "phash")), images, images)
     if settings.inter_folder_only:
         pairs = other_folders(pairs)
     return verdict_stage(color_stage(pairs, settings), settings).drop("x", "y")
@@ -68,10 +107,19 @@ def ad_matches(ads: DataFrame, leaders: DataFrame, gallery: DataFrame, settings:
     """Known ads against the gallery: for each (leader, item) its best member.
 
     ``ads`` and ``gallery`` have path, phash, whash, hsv; ``leaders`` maps each ad's path to its leader.
-    Every member is compared; of equal similarities the first member in path order counts.
+    Every member is compared; of equal similarities the first member in path order counts. Where ``ads``
+    has turns or grids, pairs are judged by the nearest turn or rescued by the grids, and ads that share no
+    byte with any item get the items that their grid cells vote for.
     """
-    pairs = probe_pairs(ads.select(F.col("path").alias("ad"), "phash"), gallery.select(F.col("path").alias("target"), "phash"))
-    pairs = attributed(pairs.where("ad <> target"), ads, gallery, "ad", "target")
+    left, right = ads.select(F.col("path").alias("ad"), "phash"), gallery.select(F.col("path").alias("target"), "phash")
+    if _has_turns(ads):
+        pairs = probe_pairs(left, right, HASH_BITS).select("ad", "target")
+        if "grid" in ads.columns and "grid" in gallery.columns:
+            cells = lambda t, key: t.where(H.valid(F.col("phash"))).select(F.col("path").alias(key), check_grid(F.col("grid")).alias("grid"))
+            pairs = pairs.unionByName(grid_votes(cells(ads, "ad"), cells(gallery, "target"), pairs).select("ad", "target"))
+        pairs = _within_reach(pairs.where("ad <> target"), ads, gallery, "ad", "target")
+    else:
+        pairs = attributed(probe_pairs(left, right).where("ad <> target"), ads, gallery, "ad", "target")
     kept = verdict_stage(color_stage(pairs, settings), settings)
     named = kept.join(small(leaders.select(F.col("path").alias("ad"), "leader")), "ad")
     best = named.groupBy("leader", F.col("target").alias("item")).agg(F.min_by(F.struct("ad", "d", "d_w", "sim"), F.struct(-F.col("sim"), "ad")).alias("m"))
@@ -82,15 +130,21 @@ def ad_like(items: DataFrame, ads: DataFrame, settings: Settings) -> DataFrame:
     """Items that some ad accepts: by colour, then by the wavelet hash, whatever the user's threshold.
 
     Each item is compared with every ad, not only with those that share a byte. Strict matches with a
-    missing wavelet hash count here. Returns the items' paths.
+    missing wavelet hash count here. Where ``ads`` has turns or grids, the nearest turn counts, and grids
+    that agree rescue at any distance. Returns the items' paths.
     """
-    pairs = all_pairs(ads.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"), COARSE_D)
-    pairs = attributed(pairs, ads, items, "ad", "target")
+    left, right = ads.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash")
+    if _has_turns(ads):
+        pairs = attributed(all_pairs(left, right, HASH_BITS).drop("d"), ads, items, "ad", "target", _COMPARED + _TURNED)
+        pairs = pairs.withColumn("d", _nearest(ads, items)).withColumn("rescue", _cells(ads, items) >= RESCUE_CELLS)
+        pairs = pairs.where((F.col("d") <= COARSE_D) | F.col("rescue"))
+    else:
+        pairs = attributed(all_pairs(left, right, COARSE_D), ads, items, "ad", "target")
     if settings.use_color_filter:
-        pairs = pairs.where(color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), F.lit(False), settings.gate, missing_fails=True))
+        pairs = pairs.where(color.passes(F.col("x.hsv"), F.col("y.hsv"), F.col("d"), _rescue(pairs), settings.gate, missing_fails=True))
     d_w = _whash_distance()
     alike = H.passes_whash(F.col("d"), d_w) | (d_w.isNull() & (F.col("d") <= STRICT_D)) if settings.use_whash else F.col("d") <= settings.distance
-    return pairs.where(alike).select(F.col("target").alias("path")).distinct()
+    return pairs.where(_rescue(pairs) | alike).select(F.col("target").alias("path")).distinct()
 
 
 def targeted(ads: DataFrame, gallery: DataFrame) -> DataFrame:

@@ -26,3 +26,34 @@ def test_ad_like_needs_no_common_byte(spark):
     assert [r.path for r in got.collect()] == [2]
     assert {r.path: r.leader for r in groups.qr_groups(df, 8).collect()} == {1: 1, 2: 1, 3: 3}
     assert {r.path: r.leader for r in groups.qr_groups(df, 7).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def _features(spark):
+    """1: the ad; 2: turned by 90; 3: 20 bits away with equal grids; 4: no common byte, equal grids; 5: 20 bits away, other grids."""
+    base, turn = 2**62 - 1, 0x0F0F0F0F0F0F0FFF
+    grid, other = [1 << 40 | i for i in range(1, 17)], [1 << 20 | i << 50 for i in range(1, 17)]
+    far = base ^ 0xFFFFF00
+    rows = [
+        (1, "f1", base, {90: turn}, grid), (2, "f2", turn, None, other), (3, "f3", far, None, grid),
+        (4, "f4", base ^ 0x0303030303030303, None, grid), (5, "f5", far, None, other),
+    ]
+    df = spark.createDataFrame(rows, "path long, folder_path string, phash long, phash_rot map<int,bigint>, grid array<bigint>")
+    return df.withColumns({"whash": F.lit(7).cast("long"), "hsv": F.expr("named_struct('h', 0D, 's', 0D, 'v', 0.5D)")})
+
+
+def test_modes_see_turns_and_rescues(spark):
+    df = _features(spark)
+    settings = Settings(similarity_threshold=70.0)
+    got = {(r.a, r.b) for r in funnel.mutual_matches(df, settings).collect()}
+    assert {(1, 2), (1, 3)} <= got and (1, 5) not in got
+    ads, rest = df.where("path = 1"), df.where("path > 1")
+    leaders = ads.select("path", F.col("path").alias("leader"))
+    assert {r.item: r.d_p for r in funnel.ad_matches(ads, leaders, rest, settings).collect()} == {2: 0, 3: 20}
+    assert {r.path for r in funnel.ad_like(rest, ads, settings).collect()} == {2, 3, 4}
+
+
+def test_grids_vote_for_ads_without_candidates(spark):
+    df = _features(spark).where("path in (1, 4)")
+    ads = df.where("path = 1")
+    got = funnel.ad_matches(ads, ads.select("path", F.col("path").alias("leader")), df.where("path = 4"), Settings(similarity_threshold=70.0))
+    assert [(r.item, r.d_p) for r in got.collect()] == [(4, 16)]
