@@ -161,8 +161,10 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         return out
     past = dict.fromkeys(out, 0)
     low = text.lower()
-    # A few capitals change length in lower case; cues are then sought in the text as it is.
-    for last, (cue, length) in _cues().iter(low if len(low) == len(text) else text):
+    if len(low) != len(text):
+        # A few capitals grow in lower case and stay as they are, so that positions match.
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    for last, (cue, length) in _cues().iter(low):
         at = last - length + 1
         if cue == "digit":
             if at >= past["card"]:

@@ -65,3 +65,13 @@ def test_query_columns(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in pii.BASE_KINDS]
     assert next(r.redacted for r in got if r.doc_id == 100).startswith("[email], [phone]")
     assert pii.personal_data(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("İstanbul: SSN 123-456789", "account", "123-456789"),
+    ("İ Account Number: 1234-567890", "account", "1234-567890"),
+    ("İİ HTTPS://bob:secret@host.org/x", "userinfo", "bob:secret"),
+    ("İ JO [AT] mail [DOT] example [DOT] com", "obfuscated", "JO [AT] mail [DOT] example [DOT] com"),
+])
+def test_capital_cues_beside_a_letter_that_grows(text, kind, span):
+    assert [text[a:b] for a, b in pii.find(text)[kind]] == [span]
