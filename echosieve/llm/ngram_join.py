@@ -347,6 +347,11 @@ def ngram_components(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  #
     Repeated rows are equal texts and link. An empty table gives no rows. Sets are compared by
     64-bit hashes of shingles and named by the first half of a 128-bit digest.
     """
+    return _labelled(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, how: Jaccard) -> DataFrame:
+    """The rows of :func:`ngram_components` with ``d1``, the name of a row's set."""
     docs = docs.select("doc_id", "text")
     rows = written(set_features(docs, how), "features")
     copies = rows.where("n_shingles > 0").groupBy("n_shingles", "d1").agg(F.min("doc_id").alias("rep"))
@@ -366,7 +371,7 @@ def ngram_components(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  #
     least = names.groupBy("label").agg(F.min("rep").alias("component_id"))
     names = names.join(written(least, "least"), "label").select("n_shingles", "d1", "component_id")
     out = rows.join(written(names, "names"), ["n_shingles", "d1"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "d1")
 
 
 def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  # noqa: B008
@@ -374,10 +379,18 @@ def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  # noqa: B
 
     Rows without a doc_id or without shingles stay. Of rows that repeat doc_id and text one stays.
     """
-    found = written(ngram_components(docs, how).where("n_shingles > 0 and doc_id is not null"), "found")
-    losers = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "losers")
-    kept = docs.join(losers, "doc_id", "left_anti")
-    again = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    single = kept.join(again, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated.select(*single.columns))
+    found = written(_labelled(docs, how).where("n_shingles > 0 and doc_id is not null"), "found")
+    # Texts without shingles count here: a doc_id may have one besides.
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    losers = written(found.where("doc_id <> component_id").select("doc_id").distinct().join(again, "doc_id", "left_anti"), "losers")
+    single = docs.join(losers, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
+    if not again.limit(1).count():
+        return single
+    # Rows that repeat a doc_id are told apart by their sets, found by the texts' hashes.
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+    sets = set_features(repeated.select(F.col("_text").alias("doc_id"), "text").dropDuplicates(["doc_id"]), how)
+    sets = sets.select(F.col("doc_id").alias("_text"), F.col("n_shingles").alias("_n"), F.col("d1").alias("_d1"))
+    lost = found.where("doc_id <> component_id").select("doc_id", F.col("n_shingles").alias("_n"), F.col("d1").alias("_d1")).distinct()
+    kept = repeated.join(sets, "_text").join(lost, ["doc_id", "_n", "_d1"], "left_anti")
+    bare = kept.where("_n = 0").unionByName(kept.where("_n > 0").dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(bare.select(*single.columns))

@@ -106,3 +106,9 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(range(51), 0) | {100: 100, 101: 100}
+
+
+def test_keep_one_tells_rows_that_repeat_a_doc_id_apart(spark):
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "quite another clean text here now"), (7, "quite another clean text here now"), (7, ""), (9, "x y z u v w"), (None, "a b c d e f")]
+    kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted({rows[0], rows[2], rows[4], rows[5], rows[6]}, key=str)
