@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import dropped, written
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,20 @@ def _lowest(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_lowest(both), "u").withColumn("m", F.least("u", "m"))
-    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = _lowest(both)
+    joined = both.join(lowest, "u").withColumn("m", F.least("u", "m"))
+    out = written(joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    dropped(lowest)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    joined = edges.join(_lowest(edges), "u")
+    lowest = _lowest(edges)
+    joined = edges.join(lowest, "u")
     down = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.union(joined.select("u", F.col("m").alias("v"))).distinct()
+    out = written(down.union(joined.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    dropped(lowest)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -43,7 +49,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(now.distinct(), "edges")
     mark = _mark(now)
     for _ in range(most_rounds if mark[0] else 0):
-        now = written(_small_star(written(_large_star(now), "edges")), "edges")
+        large = _large_star(now)
+        dropped(now)
+        now = _small_star(large)
+        dropped(large)
         if mark == (mark := _mark(now)):
             break
     else:
