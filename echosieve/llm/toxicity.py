@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import dropped, written
+
 #: Labelled rows that are learned from at most, those of least hash; the classifier's sample bound.
 TRAIN_ROWS = 8000
-#: Terms of the lexicon at most, those of highest evidence.
-LEXICON_TERMS = 4000
 #: Evidence that a term needs, as a G statistic: 22 is about three chances in a million.
 MIN_EVIDENCE = 22.0
+#: What a term needs besides: times the rate among words, and times the share of rows, of the other texts.
+MIN_RATE, MIN_SHARE = 3.0, 2.0
+#: The curve before any row is seen, and how strongly a fit is drawn to it.
+START_CURVE, RIDGE = (-4.0, 1.0, 1.0), 0.05
 
 #: Terms that count without labels; whole words.
 SEED_TERMS = ("idiot", "moron", "imbecile", "scumbag", "scum", "worthless", "pathetic", "disgusting", "stupid", "loser", "dumbass", "retard", "trash")
@@ -96,7 +100,7 @@ class Lexicon:
 
     terms: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: tuple[float, ...] = (-4.0, 1.0, 1.0)
+    curve: tuple[float, ...] = START_CURVE
     _built: list = field(default_factory=list, compare=False, repr=False)
 
     def __getstate__(self) -> dict:
@@ -130,7 +134,17 @@ class Lexicon:
                 spared.append((start, last))
             elif start not in best or best[start][0] < length:
                 best[start] = (length, weight)
-        return [w for at, (_, w) in sorted(best.items()) if not any(a <= at < b for a, b in spared)]
+        if not spared:
+            return [w for _, (_, w) in sorted(best.items())]
+        spared.sort()
+        out, i, until = [], 0, -1
+        for at, (_, w) in sorted(best.items()):
+            while i < len(spared) and spared[i][0] <= at:
+                until = max(until, spared[i][1])
+                i += 1
+            if at >= until:
+                out.append(w)
+        return out
 
 
 def inputs(lexicon: Lexicon, text: str | None) -> list[float]:
@@ -141,48 +155,49 @@ def inputs(lexicon: Lexicon, text: str | None) -> list[float]:
     return [1.0, math.log1p(total), math.log1p(100 * total / n)]
 
 
-def _evidence(hit: int, other: int, rows: tuple[int, int]) -> float:
-    """The G statistic of a term's rows among toxic and other rows."""
-    share = rows[0] / sum(rows)
-    parts = ((hit, (hit + other) * share), (other, (hit + other) * (1 - share)))
-    return 2 * sum(n * math.log(n / e) for n, e in parts if n)
+def _telling(counts: DataFrame, words: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
+    """The rows of ``counts(term, t, o, dt, do)`` whose rate, share of rows and evidence suffice: (term, t, rate, sure).
+
+    ``t`` and ``o`` are occurrences in toxic and in other texts, ``dt`` and ``do`` the texts that have the
+    term, ``rate`` the logarithm of the quotient of the rates, ``sure`` the G statistic of the texts.
+    """
+    t, o, dt, do = (F.col(c).cast("double") for c in ("t", "o", "dt", "do"))
+    rate = (t + 0.5) / (words[0] + 1) / ((o + 0.5) / (words[1] + 1))
+    share = (dt + 0.5) / (rows[0] + 1) / ((do + 0.5) / (rows[1] + 1))
+    toxic = rows[0] / max(1, sum(rows))
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    sure = 2 * (part(dt, (dt + do) * toxic) + part(do, (dt + do) * (1 - toxic)))
+    found = counts.select("term", "t", F.log(rate).alias("rate"), share.alias("share"), sure.alias("sure"))
+    return found.where((F.col("rate") > math.log(MIN_RATE)) & (F.col("share") > MIN_SHARE) & (F.col("sure") > MIN_EVIDENCE)).select("term", "t", "rate", "sure")
 
 
-def learn_terms(counts: Iterable[tuple[str, int, int, int, int]], words: tuple[int, int], rows: tuple[int, int]) -> dict[str, float]:
-    """Weigh terms by the logarithm of their rates among words of toxic and of other rows.
+def chosen_terms(found: Iterable[tuple[str, int, float, float]]) -> dict[str, float]:
+    """Weigh the telling terms (term, occurrences, rate, evidence) by their rates.
 
-    ``counts``: (term, occurrences in toxic, in other, toxic rows, other rows). A term needs twice the
-    share of rows, three times the rate of occurrences, and evidence beyond chance. A word beginning
-    that one longer term accounts for nearly always gives way to that one, and a longer term stays only
-    where its weight differs from that of the term it lengthens.
+    A word beginning that one longer term accounts for nearly always gives way to that one, and a longer
+    term stays only where its weight differs from that of the term it lengthens.
     """
-    found: dict[str, tuple[int, float, float]] = {}
-    for term, t, o, dt, do in counts:
-        rate = (t + 0.5) / (words[0] + 1) / ((o + 0.5) / (words[1] + 1))
-        share = (dt + 0.5) / (rows[0] + 1) / ((do + 0.5) / (rows[1] + 1))
-        if rate > 3 and share > 2 and (sure := _evidence(dt, do, rows)) > MIN_EVIDENCE:
-            found[term] = (t, math.log(rate), sure)
+    known = {term: (t, rate) for term, t, rate, _ in found}
     longest: dict[str, int] = {}
-    for term, (t, _, _) in found.items():
+    for term, (t, _) in known.items():
         for k in range(4, len(term)):
             longest[term[:k]] = max(longest.get(term[:k], 0), t)
-    found = {x: v for x, v in found.items() if longest.get(x, 0) < 0.9 * v[0]}
-    best = sorted(found, key=lambda x: (-found[x][2], x))[:LEXICON_TERMS]
     kept: dict[str, float] = {}
-    for term in sorted(best, key=lambda x: (len(x), x)):
+    for term in sorted((x for x, v in known.items() if longest.get(x, 0) < 0.9 * v[0]), key=lambda x: (len(x), x)):
         base = next((kept[term[:k]] for k in range(len(term) - 1, 3, -1) if term[:k] in kept), None)
-        if base is None or abs(found[term][1] - base) > 0.25:
-            kept[term] = found[term][1]
+        if base is None or abs(known[term][1] - base) > 0.25:
+            kept[term] = known[term][1]
     return kept
 
 
 def fit_curve(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton's method with a small ridge."""
-    weights = np.zeros(rows.shape[1])
+    """Logistic regression by Newton's method, drawn to ``START_CURVE`` by a small ridge; no rows give that curve."""
+    start = np.array(START_CURVE)
+    weights = start.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
-        gradient = rows.T @ (p - toxic) + 0.05 * weights
-        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + 0.05 * np.eye(len(weights))
+        gradient = rows.T @ (p - toxic) + RIDGE * (weights - start)
+        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + RIDGE * np.eye(len(weights))
         step = np.linalg.solve(hessian, gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-9:
@@ -196,7 +211,13 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learn a lexicon and its curve from labelled rows that aren't held out, ``TRAIN_ROWS`` at most."""
+    """Learn a lexicon and its curve from labelled rows that aren't held out, ``TRAIN_ROWS`` at most.
+
+    ``docs`` needs ``doc_id`` and ``text``, ``labels`` ``doc_id`` and ``toxic``; other columns are ignored.
+    Labels without doc_id or value don't count; of labels that repeat a doc_id the highest counts, and of
+    documents that repeat one each is a row. Null and empty texts have no terms. Without such rows, or with an
+    empty table, the lexicon has its fixed terms and the curve its start.
+    """
     wanted = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic"))
     wanted = wanted.where("key is not null and toxic is not null").where(~held_out(F.col("key")))
     wanted = wanted.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(TRAIN_ROWS)
@@ -216,14 +237,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["term", "t", "o", "dt", "do"])
 
     counts = rows.mapInArrow(count, "term string, t long, o long, dt long, do long")
-    counts = counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("t", "o", "dt", "do"))).where("dt >= 3 or term = ''")
-    found = [tuple(r) for r in counts.collect()]
-    total = next((r for r in found if r[0] == ""), ("", 0, 0, 0, 0))
+    counts = written(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("t", "o", "dt", "do"))), "terms")
+    total = counts.where("term = ''").first() or ("", 0, 0, 0, 0)
     terms = {f" {w} ": SEED_WEIGHT for w in SEED_TERMS}
-    terms |= learn_terms((r for r in found if r[0]), total[1:3], total[3:5])
+    terms |= chosen_terms(map(tuple, _telling(counts.where("term <> ''"), tuple(total[1:3]), tuple(total[3:5])).collect()))
+    dropped(counts)
     lexicon = Lexicon(terms)
-    if min(total[3:5]) < 20:
-        return lexicon
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,7 +272,11 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, most: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score under ``most``, with all columns as they are."""
+    """The rows of ``docs`` that score under ``most``, with all columns as they are.
+
+    Null and empty texts score as texts without terms and stay; rows that repeat share their fate; an empty
+    table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None

@@ -1,5 +1,12 @@
+import math
+import re
+import time
+
+import numpy as np
 import pytest
 from helpers import DOCS, frame
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from echosieve.llm import toxicity as T
 
@@ -25,9 +32,58 @@ def test_length_normalises(lexicon):
     assert dense[1] == thin[1] and dense[2] > thin[2]
 
 
-def test_terms_are_closed_and_significant():
+def test_terms_are_closed_and_significant(spark):
     counts = [(" idi", 40, 0, 40, 0), (" idio", 40, 0, 40, 0), (" idiot", 40, 0, 40, 0), (" idiot ", 39, 0, 39, 0), (" the ", 500, 4000, 50, 400), (" rar", 3, 0, 3, 0)]
-    assert list(T.learn_terms(counts, (5000, 40000), (50, 400))) == [" idiot "]
+    found = T._telling(spark.createDataFrame(counts, "term string, t long, o long, dt long, do long"), (5000, 40000), (50, 400))
+    assert list(T.chosen_terms(map(tuple, found.collect()))) == [" idiot "]
+
+
+def test_no_bound_on_terms(spark):
+    """More telling terms than any fixed number are all kept."""
+    counts = [(f" term{i} ", 40, 0, 40, 0) for i in range(6000)]
+    found = T._telling(spark.createDataFrame(counts, "term string, t long, o long, dt long, do long"), (500_000, 4_000_000), (50, 400))
+    assert len(T.chosen_terms(map(tuple, found.collect()))) == 6000
+
+
+def brute_inputs(lexicon, text):
+    """What the curve weighs, word by word and phrase by phrase, without an automaton."""
+    folded = T.fold(text)
+    words, at, weights = folded.split(), 1, []
+    spared = [(m.start(), m.start() + len(T.fold(p)) - 1) for p in lexicon.exceptions for m in re.finditer(f"(?={re.escape(T.fold(p))})", folded)]
+    for word in words:
+        hits = [t for t in lexicon.terms if f" {word} ".startswith(t)]
+        if hits and not any(a <= at - 1 < b for a, b in spared):
+            weights.append(lexicon.terms[max(hits, key=len)])
+        at += len(word) + 1
+    total, n = sum(weights), max(1, len(words))
+    return [1.0, math.log1p(total), math.log1p(100 * total / n)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["clown", "fish", "clownish", "idiot", "idiots", "1diot", "réeuxment", "proof", "a", "II", "trash", "can", "trash can", "pond scum"]), max_size=30))
+def test_scores_against_brute_force(words):
+    lexicon = T.Lexicon({" idiot ": 5.0, " idio": 2.0, " clown ": 4.0, " réeux": 4.5, " trash ": 3.0, " scum ": 2.5, " can ": 1.5, " fish": 1.0})
+    got, want = (f(lexicon, " ".join(words)) for f in (T.inputs, brute_inputs))
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_many_exceptions_take_one_pass(lexicon):
+    text = "trash can clown fish " * 100_000
+    began = time.perf_counter()
+    assert T.Lexicon({" trash ": 4.0, " clown ": 4.0, " fish ": 1.0}).weights(T.fold(text)) == []
+    assert time.perf_counter() - began < 10
+
+
+def test_few_labels_keep_near_the_first_curve():
+    assert T.fit_curve(np.zeros((0, 3)), np.zeros(0)) == T.START_CURVE
+    one = T.fit_curve(np.array([[1.0, 0.0, 0.0]]), np.array([0]))
+    assert max(abs(a - b) for a, b in zip(one, T.START_CURVE, strict=True)) < 0.5
+
+
+def test_null_ids(spark, lexicon):
+    docs = spark.createDataFrame([(None, "you idiot", "", None, 1), (None, None, None, None, None)], DOCS)
+    assert [r.doc_id for r in T.scored(docs, lexicon).collect()] == [None, None]
+    assert T.learn(docs, spark.createDataFrame([(None, 1)], "doc_id long, toxic int")).curve == T.START_CURVE
 
 
 def test_learning_and_edge_cases(spark, lexicon):
