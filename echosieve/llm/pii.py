@@ -14,13 +14,20 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of reports: the base kinds, then what the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "account", "userinfo", "obfuscated")
+ADDED_KINDS = ("iban", "account", "userinfo", "obfuscated", "secret")
 
 #: Cues that announce an account or identity number, in lower case.
 ACCOUNT_CUES = (
     "account number", "account no", "account #", "acct no", "acct #", "acct.", "routing number", "passport no",
     "passport number", "social security number", "ssn", "tax id", "kontonummer", "numéro de compte", "número de cuenta",
 )
+#: Cues that announce a value to keep secret, in lower case.
+SECRET_CUES = (
+    "token", "secret", "password", "passwd", "pwd", "passphrase", "api key", "api_key", "api-key", "apikey",
+    "access key", "access_key", "accesskey", "private key", "private_key", "credential", "bearer",
+)
+#: Characters of a secret: fewer are none, and a quoted one ends after as many.
+SECRET_LEAST, SECRET_MOST = 8, 4096
 #: Schemes whose address may carry a user and a password.
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://", "postgres://", "postgresql://", "mysql://", "mongodb://", "redis://", "amqp://")
 #: Spellings of the at-sign that avoid it.
@@ -43,6 +50,8 @@ def _cues() -> ahocorasick.Automaton:
         out.add_word(cue, ("scheme", len(cue)))
     for cue in ACCOUNT_CUES:
         out.add_word(cue, ("account", len(cue)))
+    for cue in SECRET_CUES:
+        out.add_word(cue, ("secret", len(cue)))
     for cue in AT_SPELLINGS:
         out.add_word(cue, ("spelled", len(cue)))
     out.make_automaton()
@@ -134,6 +143,7 @@ def _phone(text: str, at: int) -> int:
 
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"[\s:#=]{0,4}([0-9][0-9-]{5,18}[0-9])(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"""["'`]?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}""")
 _USER = re.compile(r"([^\s/@:]+:[^\s/@]+)@")
 _DOT = re.compile(r"\s?(?:[\[({]dot[\])}]| dot |\.)\s?", re.IGNORECASE)
 
@@ -151,6 +161,27 @@ def _spelled_email(text: str, start: int, end: int) -> tuple[int, int] | None:
     return (left, stop) if labels > 1 and bracketed else None
 
 
+def _secret(text: str, at: int, bearer: bool) -> tuple[int, int] | None:
+    """The value assigned by a cue that ends at ``at``: up to its closing quote, or bare with a digit in it."""
+    sign = _ASSIGNED.match(text, at)
+    if not sign:
+        if not bearer or text[at : at + 1] != " ":
+            return None
+        start = at + 1
+    else:
+        start = sign.end()
+    quote = text[start : start + 1]
+    if quote and quote in "\"'`":
+        start += 1
+        end = text.find(quote, start, start + SECRET_MOST + 1)
+        return (start, end) if end - start >= SECRET_LEAST and "\n" not in text[start:end] else None
+    end = start
+    while end < len(text) and not text[end].isspace() and text[end] not in "\"'`,;<>()[]{}":
+        end += 1
+    found = text[start:end]
+    return (start, end) if end - start >= SECRET_LEAST and any(c in _DIGIT for c in found) else None
+
+
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in a whole text, in code points, end exclusive; a null text is empty.
 
@@ -174,6 +205,10 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                     past["card"] = end
                     if 16 <= len(digits) <= 19 and luhn(digits):
                         out["card"].append((at, end))
+            if at >= past["iban"] + 2 and (m := _IBAN.match(text, at - 2)):
+                past["iban"] = m.end()
+                if 15 <= len(bare := m.group().replace(" ", "")) <= 34 and iban_valid(bare):
+                    out["iban"].append(m.span())
             if at >= past["ip"]:
                 if four := _four_numbers(text, at):
                     past["ip"] = four[0]
@@ -199,14 +234,15 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if last + 1 >= past["userinfo"] and (m := _USER.match(text, last + 1)):
                 out["userinfo"].append(m.span(1))
                 past["userinfo"] = m.end(1)
+        elif cue == "secret":
+            edge = at == 0 or not text[at - 1].isalnum()
+            if edge and last + 1 >= past["secret"] and (span := _secret(text, last + 1, low.startswith("bearer", at))):
+                out["secret"].append(span)
+                past["secret"] = span[1]
         elif at >= past["obfuscated"] and (span := _spelled_email(text, at, last + 1)):
             if span[0] >= past["obfuscated"]:
                 out["obfuscated"].append(span)
                 past["obfuscated"] = span[1]
-    if any(c in _DIGIT for c in text):
-        for m in _IBAN.finditer(text):
-            if 15 <= len(bare := m.group().replace(" ", "")) <= 34 and iban_valid(bare):
-                out["iban"].append(m.span())
     return out
 
 
@@ -228,36 +264,38 @@ def redact(text: str | None, found: dict[str, list[tuple[int, int]]]) -> str | N
     return "".join([*out, text[at:]])
 
 
-_COUNTS = "n_email long, n_ip long, n_card long, n_phone long"
+_COUNTS = ", ".join(f"n_{k} long" for k in BASE_KINDS)
+_MORE = ", ".join(f"n_{k} long" for k in ADDED_KINDS)
 
 
 def personal_data(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Find personal data in every whole text of ``docs``.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Returns a row per row: doc_id,
-    the base kinds' counts, ``base_sha256`` and ``spans``, and with ``with_text`` the ``redacted`` text.
+    the base kinds' counts, ``base_sha256``, ``spans`` and the added kinds' counts, and with ``with_text`` the ``redacted`` text.
     A null text counts as empty and has no spans (its redacted text is null); rows that repeat get
     equal rows; null doc_ids stay null; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, hashes, spans, texts = [[], [], [], []], [], [], []
+            counts, hashes, spans, texts = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}, [], [], []
             for value in b.column("text"):
                 text = value.as_py()
                 found = find(text)
-                for i, k in enumerate(BASE_KINDS):
-                    counts[i].append(len(found[k]))
+                for k, into in counts.items():
+                    into.append(len(found[k]))
                 hashes.append(hashlib.sha256(joined(found, BASE_KINDS).encode()).hexdigest())
                 spans.append(joined(found, (*BASE_KINDS, *ADDED_KINDS)))
                 if with_text:
                     texts.append(redact(text, found))
-            columns = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(spans, pa.string())]
-            names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+            number = lambda kinds: [pa.array(counts[k], pa.int64()) for k in kinds]
+            columns = [b.column("doc_id"), *number(BASE_KINDS), pa.array(hashes, pa.string()), pa.array(spans, pa.string()), *number(ADDED_KINDS)]
+            names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", *(f"n_{k}" for k in ADDED_KINDS)]
             if with_text:
                 columns.append(pa.array(texts, pa.string()))
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"doc_id long, {_COUNTS}, base_sha256 string, spans string" + ", redacted string" * with_text
+    schema = f"doc_id long, {_COUNTS}, base_sha256 string, spans string, {_MORE}" + ", redacted string" * with_text
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -41,12 +41,18 @@ def test_base_kinds_against_patterns(text):
     ("see https://bob:secret@host.org/x", "userinfo", "bob:secret"),
     ("IBAN GB82 WEST 1234 5698 7654 32.", "iban", "GB82 WEST 1234 5698 7654 32"),
     ("Account number: 1234-567890", "account", "1234-567890"),
+    ('x token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" y', "secret", "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"),
+    ("client_secret: 's3cr3t-value'", "secret", "s3cr3t-value"),
+    ("API_KEY=abcd1234efgh, next", "secret", "abcd1234efgh"),
+    ("Authorization: Bearer abc.def-123456", "secret", "abc.def-123456"),
+    ('"password": "correct horse battery"', "secret", "correct horse battery"),
+    ("a (GB82WEST12345698765432)", "iban", "GB82WEST12345698765432"),
 ])
 def test_added_kinds(text, kind, span):
     assert [text[a:b] for a, b in pii.find(text)[kind]] == [span]
 
 
-@pytest.mark.parametrize("text", ["meet at noon. or at dot com times", "GB82 WEST 1234 5698 7654 33", "The assn 12 met", "http://host/path", "look at example.com today"])
+@pytest.mark.parametrize("text", ["meet at noon. or at dot com times", "GB82 WEST 1234 5698 7654 33", "The assn 12 met", "http://host/path", "look at example.com today", "a token of thanks: gratitude", "the secret: nothing", "password = \"short\"", "tokens12345678", "bearer of news"])
 def test_clean_texts_have_no_added_spans(text):
     found = pii.find(text)
     assert not any(found[k] for k in pii.ADDED_KINDS)
@@ -75,3 +81,30 @@ def test_query_columns(spark):
 ])
 def test_capital_cues_beside_a_letter_that_grows(text, kind, span):
     assert [text[a:b] for a, b in pii.find(text)[kind]] == [span]
+
+
+def test_added_kinds_planted(spark):
+    """Of added kinds planted in long texts all are found, and their counts are reported."""
+    planted = {
+        "iban": "GB82 WEST 1234 5698 7654 32", "account": "Account no: 12345678", "userinfo": "ftp://joe:hunter22@host", "obfuscated": "jo [at] mail [dot] com",
+        "secret": 'token = "0123456789abcdef0123456789abcdef01234567"',
+    }
+    rows = [(i, "filler words " * (i % 50) + " ; ".join([p, "more words"] * (i % 3 + 1)), "en", k, i) for i in range(100) for k, p in planted.items()]
+    rows += [(None, planted["secret"], "en", "secret", 0), (7, None, "en", "none", 0)]
+    docs = frame(spark, rows)
+    got = pii.personal_data(docs).collect()
+    for kind in planted:
+        assert sum(r[f"n_{kind}"] for r in got) == sum(i % 3 + 1 for i, _, _, k, _ in rows if k == kind and i is not None) + (kind == "secret")
+    assert sum(r.doc_id is None for r in got) == 1
+
+
+def test_recall_of_secrets_in_the_given_documents(spark):
+    from pathlib import Path
+
+    d = "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    with_one = docs.where("text rlike '[0-9a-f]{32,}'")
+    found = pii.personal_data(with_one).where("n_secret > 0").count()
+    assert found >= 0.9 * with_one.count() > 0
