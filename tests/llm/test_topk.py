@@ -41,3 +41,19 @@ def test_few_rows(spark):
     assert topk.exact_top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).count() == 0
     two = spark.createDataFrame([(0, [1.0], 0, 0, 0), (1, [1.0], 0, 0, 0)], SCHEMA)
     assert got(topk.exact_top_k(two, F.col("vec_id") % 5 == 0)) == {0: [(1, 65536)]}
+
+
+def test_rows_that_repeat_a_vec_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i % 12, rng.choice([0.0, 0.5, -0.25], 3).tolist(), 1, 2, 3) for i in range(40)]
+    rows += [(0, [0.5, 0.5, 0.5], 1, 2, 3)] * 7 + [(0, [0.5, 0.5], 1, 2, 3), (0, [0.5, 0.5, 0.0], 1, 2, 3)]
+    plain = [(i, [math.floor(256 * x) for x in (*v, 0.0, 0.0)[:3]]) for i, v, *_ in rows]
+    want = []
+    for at, (q, a) in enumerate(plain):
+        if q % 5 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(plain) if n != at)
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)]
+    found = topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0, 5)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
