@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -47,3 +48,46 @@ def test_damage_is_seen():
     assert warc.parse(data)["payload"] == "abc"
     with pytest.raises(ValueError):
         warc.parse(data.replace(b"abc\r\n", b"abd\r\n"))
+
+
+def members(path):
+    """Records of an archive by a reader of its own: gzip members, header lines, blocks of the stated length."""
+    data = gzip.decompress(path.read_bytes())
+    out = []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        version, *lines = head.split(b"\r\n")
+        assert version == b"WARC/1.1"
+        fields = dict(x.decode().split(": ", 1) for x in lines)
+        n = int(fields["Content-Length"])
+        block, data = rest[:n], rest[n:]
+        assert data.startswith(b"\r\n\r\n")
+        data = data[4:]
+        assert fields["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        out.append((fields, block))
+    return out
+
+
+def test_archives_are_as_the_standard_has_them(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", ["<p>é</p>", "", f"only {i}"][i % 3], "d", 1) for i in range(30)] + [(40, None, None, "d", 1)]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/out", archive_bytes=3000, date="2024-02-03T04:05:06Z")
+    found = [members(p) for p in tmp_path.glob("out/*.warc.gz")]
+    assert len(found) == index.count()
+    by_id = {}
+    for archive in found:
+        assert archive[0][0]["WARC-Type"] == "warcinfo" and archive[0][0]["Content-Type"] == "application/warc-fields"
+        for fields, block in archive[1:]:
+            assert fields["Content-Type"] == "application/http; msgtype=response" and fields["WARC-Date"] == "2024-02-03T04:05:06Z"
+            by_id[fields["WARC-Record-ID"]] = fields, block
+    assert len(by_id) == len(rows)
+    for fields, block in by_id.values():
+        message, _, body = block.partition(b"\r\n\r\n")
+        status, *lines = message.split(b"\r\n")
+        assert status == b"HTTP/1.1 200 OK"
+        length = int(dict(x.split(b": ", 1) for x in lines)[b"Content-Length"])
+        if fields["WARC-Type"] == "revisit":
+            original, first = by_id[fields["WARC-Refers-To"]]
+            assert body == b"" and original["WARC-Type"] == "response" and fields["WARC-Refers-To-Date"] == original["WARC-Date"]
+            assert fields.get("WARC-Refers-To-Target-URI") == original.get("WARC-Target-URI")
+            body = first.partition(b"\r\n\r\n")[2]
+        assert len(body) == length and fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
