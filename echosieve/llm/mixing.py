@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
+from .text import COPIES, copied
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,8 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     ``docs`` needs ``doc_id``, ``source`` and ``text``; other columns are ignored. Returns a row per
     row: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``. A null source is a
     source of its own; null and empty texts have size 0 and take 0; rows that repeat are documents
-    each, of which any may be taken first; if there are no words, all targets are 0. No rows: none.
+    each, of which any may be taken first, and are counted before they are moved; if there are no words,
+    all targets are 0. No rows: none.
 
     Blocks go to sources in proportion to their targets, then to each source's shards in proportion
     to their sizes. A shard is read in an order that ``seed`` and doc_id give, over and over, until
@@ -111,8 +113,10 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     """
     spark = docs.sparkSession
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    sized = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("times"))
     sized = written(sized.withColumn("turn", F.xxhash64(F.lit(how.seed), "doc_id", "size")), "sized")
-    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    words = F.col("size") * F.col("times")
+    found = sized.groupBy("source").agg(F.sum(words).alias("n"), F.sum("times").alias("rows"), F.max("times").alias("most")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.n for r in found]
     wanted = targets(sizes, how)
@@ -125,7 +129,7 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     rows = sized.join(sources, sized.source.eqNullSafe(sources.name))
     rows = rows.withColumn("shard", F.pmod("turn", "shards").cast("int"))
 
-    parts = rows.groupBy("ix", "shard").agg(F.sum("size").alias("n")).toPandas().sort_values(["ix", "shard"], ignore_index=True)
+    parts = rows.groupBy("ix", "shard").agg(F.sum(words).alias("n")).toPandas().sort_values(["ix", "shard"], ignore_index=True)
     block = how.block
     per_source = apportion(np.array(wanted), -(-how.repeats * np.array(sizes, dtype=np.int64) // block), round(sum(sizes) / block))
     parts["quota"] = np.zeros(len(parts), dtype=np.int64)
@@ -137,9 +141,10 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:  # noqa: B008
     quotas = spark.createDataFrame(pa.table(columns))
 
     order = Window.partitionBy("ix", "shard").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(quotas, ["ix", "shard"]).withColumn("start", F.sum("size").over(order) - F.col("size"))
+    rows = rows.join(quotas, ["ix", "shard"]).withColumn("start", F.sum(words).over(order) - words)
+    rows = copied(rows, F.col("times"), "copy", max((r.most for r in found), default=0) > COPIES)
     whole, rest = F.expr("quota div greatest(n, 1L)"), F.expr("quota % greatest(n, 1L)")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("copy") * F.col("size")))
     taken = F.when(F.col("n") > 0, whole * F.col("size") + part).otherwise(0).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import written
+from .storage import dropped, written
 from .text import mix, shingle_sets
 
 _U = np.uint64
@@ -155,11 +155,33 @@ def set_features(docs: DataFrame, how: Jaccard) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FEATURES)
 
 
+#: Tile keys that a task holds before it joins those that are equal and passes them on.
+HELD_KEYS = 1 << 20
+
+
 def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
+    """Rows (tile, node, hub): sets by the tiles they take part in.
+
+    Of the sets that share a tile in one task only the least stands for the tile, with itself as hub; the
+    others come as edges to it, dealt by their own names. So a tile that very many sets share is a few rows.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+            tile, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+            order = np.lexsort((node, tile))
+            tile, node = tile[order], node[order]
+            new = np.concatenate(([True], tile[1:] != tile[:-1]))
+            hub = np.repeat(node[new], np.diff(np.append(np.flatnonzero(new), len(tile))))
+            edge = hub != node
+            tile = np.where(edge, mix(node.view(_U)).view(np.int64), tile)
+            edges = np.unique(np.stack([tile[edge], node[edge], hub[edge]], axis=1), axis=0)
+            columns = [np.concatenate([x[new], edges[:, i]]) for i, x in enumerate((tile, node, hub))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "node", "hub"])
+
         seen: set[int] = set()
+        keys, nodes, count = [], [], 0
         for b in batches:
-            keys, nodes, count = [], [], 0
             for s in shingle_sets(b.column("text"), how.words):
                 if not len(s) or (d := digest(s)[0]) in seen:
                     continue
@@ -167,39 +189,39 @@ def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
                 keys.append(k := range_digests(s, how))
                 nodes.append(np.full(len(k), d, dtype=np.int64))
                 count += len(k)
-                if count > 1 << 17:
-                    yield _pair(keys, nodes)
+                if count > HELD_KEYS:
+                    yield joined(keys, nodes)
                     keys, nodes, count = [], [], 0
-            if keys:
-                yield _pair(keys, nodes)
+        if keys:
+            yield joined(keys, nodes)
 
-    def _pair(keys: list, nodes: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["tile", "node"]
-        )
-
-    return docs.select("text").mapInArrow(run, "tile long, node long")
+    return docs.select("text").mapInArrow(run, "tile long, node long, hub long")
 
 
 def _stars(keys: DataFrame) -> DataFrame:
-    """For sets that share a tile key: an edge from each to the least of them."""
+    """An edge from each set to the least of those that share a tile key with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, hub = None, 0
+        tile, least = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            t, n = b.column("tile").to_numpy(), b.column("node").to_numpy()
-            new = np.empty(len(t), dtype=bool)
-            new[0] = tile is None or t[0] != tile
-            np.not_equal(t[1:], t[:-1], out=new[1:])
-            at = np.flatnonzero(new)
-            hubs = np.full(len(t), hub, dtype=np.int64)
-            if len(at):
-                hubs[at[0] :] = np.repeat(n[at], np.diff(np.append(at, len(t))))
-            tile, hub = t[-1], hubs[-1]
-            if (other := hubs != n).any():
-                pairs = np.unique(np.stack([n[other], hubs[other]], axis=1), axis=0)
+            t, n, hubs = (b.column(c).to_numpy() for c in ("tile", "node", "hub"))
+            edge = hubs != n
+            found = [np.stack([n[edge], hubs[edge]], axis=1)]
+            t, n = t[~edge], n[~edge]
+            if len(t):
+                new = np.empty(len(t), dtype=bool)
+                new[0] = tile is None or t[0] != tile
+                np.not_equal(t[1:], t[:-1], out=new[1:])
+                at = np.flatnonzero(new)
+                hubs = np.full(len(t), least, dtype=np.int64)
+                if len(at):
+                    hubs[at[0] :] = np.repeat(n[at], np.diff(np.append(at, len(t))))
+                tile, least = t[-1], hubs[-1]
+                other = hubs != n
+                found.append(np.stack([n[other], hubs[other]], axis=1))
+            if len(pairs := np.unique(np.concatenate(found), axis=0)):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     by_tile = keys.repartition("tile").sortWithinPartitions("tile", "node")
@@ -359,19 +381,26 @@ def _labelled(docs: DataFrame, how: Jaccard) -> DataFrame:
     wanted = copies.join(near, copies.d1 == near.node).select("node", "cluster", "n_shingles", "rep")
     first = rows.select(F.col("doc_id").alias("id"), F.col("d1").alias("d"), "bits")
     signed = wanted.join(first, F.col("rep").eqNullSafe(F.col("id")) & (F.col("node") == F.col("d"))).drop("id", "d", "rep")
-    found = _alike(_tiled(written(signed, "signed"), how, F.lit(1), how.tile_rows), how)
-    closer = written(components(found).select("node", F.col("label").alias("cluster")), "closer")
+    signed = written(signed, "signed")
+    dropped(near)
+    closer = written(components(_alike(_tiled(signed, how, F.lit(1), how.tile_rows), how)).select("node", F.col("label").alias("cluster")), "closer")
+    dropped(signed)
     wanted = written(copies.join(closer, copies.d1 == closer.node).select("node", "cluster", "n_shingles", "rep"), "wanted")
+    dropped(closer)
     tiled = _tiled(wanted, how, F.col("n_shingles"), how.tile_shingles)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with_text = texts.join(tiled.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")))
     links = _links(with_text, how)
-    labels = components(links).select(F.col("node").alias("d1"), "label")
-    names = copies.join(written(labels, "labels"), "d1", "left").withColumn("label", F.coalesce("label", "d1"))
-    least = names.groupBy("label").agg(F.min("rep").alias("component_id"))
-    names = names.join(written(least, "least"), "label").select("n_shingles", "d1", "component_id")
-    out = rows.join(written(names, "names"), ["n_shingles", "d1"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "d1")
+    labels = written(components(links).select(F.col("node").alias("d1"), "label"), "labels")
+    dropped(wanted)
+    names = copies.join(labels, "d1", "left").withColumn("label", F.coalesce("label", "d1"))
+    least = written(names.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
+    names = written(names.join(least, "label").select("n_shingles", "d1", "component_id"), "names")
+    dropped(labels, least)
+    out = rows.select("doc_id", "n_shingles", "d1").join(names, ["n_shingles", "d1"], "left")
+    out = written(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "d1"), "labelled")
+    dropped(rows, names)
+    return out
 
 
 def keep_one(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:  # noqa: B008

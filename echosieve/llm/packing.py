@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import collapsed, expanded
+
 #: Fixed value: the pattern by which byte-level vocabularies of this family cut a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a shard, which one task packs, and tokens that it packs together at most.
@@ -23,7 +26,7 @@ MOST_TASKS = 100_000
 
 @dataclass(frozen=True)
 class Packing:
-    """``ranks``: a vocabulary file of base64 tokens and ranks, which every executor must be able to read.
+    """``ranks``: a vocabulary file of base64 tokens and ranks, which the driver reads and broadcasts.
 
     Each text ends with the token ``end``; rows have ``width`` ids, filled up with ``pad``.
     """
@@ -34,12 +37,27 @@ class Packing:
     pad: int = 50256
 
 
+#: Bytes of a vocabulary file that a broadcast may hold.
+MOST_VOCABULARY = 64 << 20
+
+
 @lru_cache(maxsize=4)
+def _encoding(lines: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabulary(path: str) -> bytes:
+    """A vocabulary file's lines, of a size that a broadcast may hold."""
+    data = Path(path).read_bytes()
+    if len(data) > MOST_VOCABULARY:
+        raise ValueError(f"{path} has over {MOST_VOCABULARY} bytes")
+    return data
+
+
 def encoding(path: str) -> tiktoken.Encoding:
     """The encoding that a vocabulary file defines."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoding(vocabulary(path))
 
 
 class _Capacities:
@@ -110,13 +128,16 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:  # noqa: B00
     one end; rows that repeat are documents each, whose pieces repeat; a null doc_id is kept as null. A
     text over the width becomes pieces of the width and a shorter last one. No documents, no rows.
 
-    Texts are dealt into shards by doc_id; a task streams its shard's texts in order and packs them by
+    Texts are dealt into shards by doc_id, text and number of the copy; a task streams its shard's texts in order and packs them by
     windows of ``WINDOW_TOKENS``, so memory is bounded and a second attempt gives the same rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(shards)).cast("int")
+    once, again = collapsed(rows)
+    rows = once.withColumn("copy", F.lit(0).cast("long")) if again is None else expanded(once, again, "copy")
+    shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), "copy"), F.lit(shards)).cast("int")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(how.ranks))
 
     def window(shard: int, first: int, items: list[tuple[int | None, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         rows = best_fit([len(x[2]) for x in items], how.width)
@@ -130,7 +151,7 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:  # noqa: B00
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(how.ranks).encode_ordinary
+        encode = _encoding(shared.value).encode_ordinary
         now, count, held, items = None, 0, 0, []
         for b in batches:
             for mine, doc_id, text in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):

@@ -69,3 +69,17 @@ def test_empty_and_wordless(spark):
     assert M.mix(spark.createDataFrame([], DOCS)).count() == 0
     got = M.mix(spark.createDataFrame([(1, "", "", None, 0), (None, None, "", "a", 0)], DOCS)).collect()
     assert [(r.target, r.taken) for r in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_a_row_that_repeats_very_often(spark, monkeypatch):
+    from echosieve.llm import text
+
+    rows = [(7, "a b c", "en", "x", 0)] * 500 + [(i, "d e f g", "en", "x", 0) for i in range(100, 200)] + [(None, "h i", "en", "y", 0)] * 300
+    want = sorted(map(str, M.mix(frame(spark, rows)).collect()))
+    monkeypatch.setattr(text, "COPIES", 16)
+    monkeypatch.setattr(M, "COPIES", 16)
+    got = M.mix(frame(spark, rows)).collect()
+    assert sorted(map(str, got)) == want and len(got) == len(rows)
+    for source in "xy":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 32 and all(r.taken <= 3 * r["size"] for r in own)

@@ -57,3 +57,16 @@ def test_round_trip(spark, monkeypatch):
 
 def test_empty(spark):
     assert P.packed(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_many_rows_of_one_doc_id_spread(spark, monkeypatch):
+    """A row that makes up much of the table is dealt into many shards, each copy once; so are texts without doc_id."""
+    monkeypatch.setattr(P, "SHARD_BYTES", 2_000)
+    rows = [(7, "the same text " * 5, "", None, 0)] * 300 + [(None, f"text {i}", "", None, 0) for i in range(300)]
+    how = P.Packing(width=64)
+    got = P.packed(frame(spark, rows), how).collect()
+    parts = P.unpacked(got)
+    assert [len(v) for v in parts[7].values()] == [300]
+    assert len(parts[None][0]) == 300
+    shards = {r.shard for r in got if 7 in r.doc_ids}
+    assert len(shards) > 5
