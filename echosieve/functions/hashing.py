@@ -73,21 +73,32 @@ def final_similarity(d_p: Column, d_w: Column, rescue: Column) -> Column:
     return F.when(rescue, F.greatest(similarity(d_p), F.lit(RESCUED))).otherwise(by_both)
 
 
-def word_hash(word: Column, start: int = 2) -> Column:
-    """60 bits of a word's MD5, from its ``start``-th hexadecimal digit."""
-    return F.conv(F.substring(F.md5(word), start, 15), 16, 10).cast("bigint")
+def word_hash(word: Column, start: int = 1) -> Column:
+    """64 bits of a word's MD5, from its ``start``-th hexadecimal digit."""
+    return F.conv(F.substring(F.md5(word), start, 16), 16, -10).cast("bigint")
+
+
+#: Two counters of 32 bits in one integer.
+_LANES = (1 << 32) | 1
 
 
 def simhash(docs: DataFrame, key: str, text: str, **starts: int) -> DataFrame:
-    """Word SimHashes of 60 bits: a column for each of ``starts`` (which MD5 digits its bits come from).
+    """Word SimHashes of 64 bits: a column for each of ``starts`` (which MD5 digits its bits come from).
 
-    One pass: a sum for each bit, summed in each task before the shuffle on ``key``.
+    A word's hash is made once a row of ``docs``, whose distinct words are counted in the row itself. Each sum
+    counts two bits, 32 places apart, and sums are made in each task before the shuffle on ``key``.
     """
-    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("w"))
-    hashed = words.select(key, *(word_hash(F.col("w"), s).alias(c) for c, s in starts.items()))
-    sums = [F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1)).cast("int") * 2 - 1).alias(f"{c}_{i}") for c in starts for i in range(60)]
-    voted = hashed.groupBy(key).agg(*sums)
-    one = lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    # Higher-order functions keep the expression small, however often the planner repeats it.
-    bits = lambda c: F.aggregate(F.transform(F.array(*(f"{c}_{i}" for i in range(60))), one), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    words = docs.select(key, F.explode(F.split(F.lower(F.col(text)), " ")).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    hashed = words.select(key, "n", *(word_hash(F.col("w"), s).alias(c) for c, s in starts.items()))
+    sums = [F.sum(F.shiftrightunsigned(c, i).bitwiseAND(F.lit(_LANES)) * F.col("n")).alias(f"{c}_{i}") for c in starts for i in range(32)]
+    voted = hashed.groupBy(key).agg(F.sum("n").alias("n"), *sums)
+    low, high = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)), lambda x: F.shiftrightunsigned(x, 32)
+    one = lambda v, i: F.when(2 * v > F.col("n"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+
+    def bits(c: str) -> Column:
+        # Higher-order functions keep the expression small, however often the planner repeats it.
+        own = F.array(*(f"{c}_{i}" for i in range(32)))
+        each = F.transform(own, lambda v, i: one(low(v), i).bitwiseOR(one(high(v), i + 32)))
+        return F.aggregate(each, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+
     return voted.select(key, *(bits(c).alias(c) for c in starts))

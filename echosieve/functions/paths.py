@@ -38,6 +38,11 @@ def container(path: Column) -> Column:
     return F.when(is_virtual(path), folder(archive_of(path))).otherwise(folder(path))
 
 
+def volume_of(path: Column) -> Column:
+    """The volume a page belongs to: its archive, or its folder."""
+    return F.coalesce(archive_of(path), folder(path))
+
+
 def normalized(path: Column) -> Column:
     """Forward slashes, no ``file://`` in front, no repeated slash, no dot parts, lower case."""
     plain = F.regexp_replace(F.regexp_replace(path, r"^file:/{2,3}", "/"), r"\\", "/")
@@ -66,7 +71,3 @@ def excluded(folder_path: Column, rules: tuple[str, ...]) -> Column:
         else:
             out = out | F.array_contains(F.split(F.lower(folder_path), "/"), rule.lower())
     return out
-
-
-def below(path: Column, top: Column) -> Column:
-    return path.startswith(F.concat(top, F.lit("/")))

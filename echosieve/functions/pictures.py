@@ -185,3 +185,79 @@ def difference(a: Pixels, b: Pixels) -> float:
     """Mean absolute difference of two pictures at the first one's size, four times over and clipped."""
     b = np.stack([resized(b[..., i], *a.shape[:2]) for i in range(3)], axis=-1)
     return float(np.clip(np.abs(a.astype(np.float64) - b) * 4, 0, 255).mean())
+
+
+#: How regions that may hold a code are proposed: the longest side that is looked at, the least
+#: gradient, the side of the square that closes gaps, the least area, the largest share, and the aspects.
+REGION_SIDE, REGION_GRADIENT, REGION_CLOSE, REGION_AREA, REGION_SHARE, REGION_ASPECT = 800, 50, 11, 400, 0.5, (0.3, 3.5)
+
+
+def _spread(mask: np.ndarray, side: int, of: np.ufunc, outside: bool) -> np.ndarray:
+    """Combine each pixel's square neighbourhood, rows first and columns then."""
+    half = side // 2
+    for axis in (0, 1):
+        padded = np.pad(mask, [(half, half) if a == axis else (0, 0) for a in (0, 1)], constant_values=outside)
+        mask = of.reduce(np.lib.stride_tricks.sliding_window_view(padded, side, axis=axis), axis=-1)
+    return mask
+
+
+def _components(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, width, height) of the connected parts of a mask, corners included: runs of rows joined by union."""
+    parent: list[int] = []
+    boxes: list[list[int]] = []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above: list[tuple[int, int, int]] = []
+    for y in range(mask.shape[0]):
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], mask[y], [False])).astype(np.int8)))
+        now = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            own = len(parent)
+            parent.append(own)
+            boxes.append([a, y, b, y + 1])
+            for a2, b2, other in above:
+                if a <= b2 and a2 <= b and root(other) != root(own):
+                    parent[root(own)] = root(other)
+            now.append((a, b, own))
+        above = now
+    found: dict[int, list[int]] = {}
+    for i, (a, t, b, u) in enumerate(boxes):
+        box = found.setdefault(root(i), [a, t, b, u])
+        box[:] = [min(box[0], a), min(box[1], t), max(box[2], b), max(box[3], u)]
+    return [(a, t, b - a, u - t) for a, t, b, u in found.values()]
+
+
+def code_regions(image: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Boxes (x, y, width, height) of a picture that may hold a code: dense edges of a fair shape, by rows."""
+    plane = gray(image).astype(np.float64) if image.ndim == 3 else image.astype(np.float64)
+    scale = min(1.0, REGION_SIDE / max(plane.shape))
+    if scale < 1.0:
+        plane = _shrunk(plane, max(1, round(plane.shape[0] * scale)), max(1, round(plane.shape[1] * scale)))
+    p = np.pad(plane, 1, mode="reflect" if min(plane.shape) > 1 else "edge")
+    smooth = lambda a: a[:-2] + 2 * a[1:-1] + a[2:]
+    dx = smooth(p)[:, 2:] - smooth(p)[:, :-2]
+    dy = smooth(p.T)[:, 2:].T - smooth(p.T)[:, :-2].T
+    edge = np.minimum(np.rint(np.hypot(dx, dy)), 255) > REGION_GRADIENT
+    closed = _spread(_spread(edge, REGION_CLOSE, np.logical_or, False), REGION_CLOSE, np.logical_and, True)
+    out = []
+    for x, y, w, h in _components(closed):
+        if REGION_AREA <= w * h <= REGION_SHARE * closed.size and REGION_ASPECT[0] <= w / h <= REGION_ASPECT[1]:
+            out.append((int(x / scale), int(y / scale), int(w / scale), int(h / scale)))
+    return sorted(out, key=lambda b: (b[1], b[0]))
+
+
+def _shrunk(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A smaller picture by the mean over each pixel's area."""
+    for axis, size in ((0, height), (1, width)):
+        sums = np.concatenate([np.zeros_like(plane.take([0], axis=axis)), np.cumsum(plane, axis=axis)], axis=axis)
+        cuts = np.linspace(0, plane.shape[axis], size + 1)
+        low = np.floor(cuts).astype(int)
+        part = (cuts - low).reshape([-1 if a == axis else 1 for a in (0, 1)])
+        at = sums.take(low, axis=axis) * (1 - part) + sums.take(np.minimum(low + 1, plane.shape[axis]), axis=axis) * part
+        plane = np.diff(at, axis=axis) / (plane.shape[axis] / size)
+    return plane

@@ -34,7 +34,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def composed(name: Column) -> Column:
-    """NFKC; plain ASCII needs none and doesn't go through Python in effect, as it equals its own form."""
+    """NFKC. Names in plain ASCII equal theirs."""
     return nfkc(name)
 
 
@@ -117,7 +117,62 @@ def close_match(keys: list[str], cutoff: float = 0.8):
     return closest
 
 
-@F.pandas_udf(StringType())
-def title_case(text: pd.Series) -> pd.Series:
+def _capitals(text: str) -> str:
     """Capitals at the start of every run of letters, after digits and apostrophes too."""
-    return text.map(lambda x: None if x is None else re.sub(r"[^\W\d_]+", lambda m: m.group().capitalize(), x))
+    return re.sub(r"[^\W\d_]+", lambda m: m.group().capitalize(), text)
+
+
+def known_name(text: str, names: dict[str, str], keys: list[str], cutoff: float = 0.8) -> str:
+    """A dictionary's name of a text: by its composed lower-case form, or from three letters on by the nearest key."""
+    key = unicodedata.normalize("NFKC", text).lower().strip()
+    if key in names:
+        return names[key]
+    near = difflib.get_close_matches(key, keys, n=1, cutoff=cutoff) if len(key) > 2 else []
+    return names[near[0]] if near else ""
+
+
+def artist_and_group(title: str | None, artists: dict[str, str], groups: dict[str, str]) -> tuple[str, str]:
+    """Who a title names in its bracketed tags, in order: ``[group (artist)]``, or a tag that is one of both.
+
+    Known names are spelled as the dictionaries have them, others in plain letters with capitals. A tag alone is
+    an artist or a group by the dictionaries; else it fills what is still open, the artist first, and one that
+    isn't in plain letters only the artist.
+    """
+    found, keys = {"artist": "", "group": ""}, {"artist": list(artists), "group": list(groups)}
+    names = {"artist": artists, "group": groups}
+
+    def spelled(kind: str, text: str) -> str:
+        return known_name(text, names[kind], keys[kind]) or (_capitals(text) if text.isascii() else text)
+
+    for tag in re.findall(TAG, title or ""):
+        tag = tag.strip()
+        if tag.lower() in IGNORED_TAGS:
+            continue
+        if inner := re.search(r"[(（]([^)）]+)[)）]", tag):
+            parts = {"artist": inner.group(1).strip(), "group": re.split(r"[(（]", tag)[0].strip()}
+            for kind, text in parts.items():
+                if text and not found[kind]:
+                    found[kind] = spelled(kind, text)
+            continue
+        mapped = {kind: known_name(tag, names[kind], keys[kind]) for kind in found}
+        by_map = next((kind for kind in found if mapped[kind] and not found[kind]), None)
+        if by_map:
+            found[by_map] = mapped[by_map]
+        elif not tag.isascii():
+            found["artist"] = found["artist"] or tag
+        elif open_ := next((kind for kind in found if not found[kind]), None):
+            found[open_] = _capitals(tag)
+    return found["artist"], found["group"]
+
+
+def named_in(artists: dict[str, str], groups: dict[str, str]):
+    """A function of titles to struct(artist, group), by dictionaries of a bounded size."""
+
+    @F.pandas_udf("artist string, group string")
+    def named(titles: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in titles:
+            known = {x: artist_and_group(x, artists, groups) for x in part.dropna().unique()}
+            rows = [known.get(x, ("", "")) for x in part]
+            yield pd.DataFrame(rows, columns=["artist", "group"])
+
+    return named

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..conf import COARSE_D, GRID_CELLS, RESCUE_CELLS, RESCUE_D, VOTE_BUCKET, VOTE_PER_AD, VOTE_TOTAL
 from ..functions import hashing as H
 
+#: Up to so many bits fingerprints always agree in a byte.
+BANDED = 7
 #: Rows of the smaller side that a broadcast may hold.
 BROADCAST_ROWS = 50_000
 
@@ -24,43 +26,63 @@ def with_bands(items: DataFrame, fingerprint: str = "phash") -> DataFrame:
     return items.where(H.valid(F.col(fingerprint))).select("*", F.explode(H.bands(F.col(fingerprint))).alias("_b")).select("*", "_b.band", "_b.bucket").drop("_b")
 
 
-def _chunked(items: DataFrame, most: int) -> DataFrame:
-    """As :func:`with_bands`, but for small bounds with bands as wide as the pigeonhole principle allows.
-
-    Fingerprints within ``most`` bits agree in one of ``most + 1`` bands, and within 7 bits in a byte too;
-    so for such bounds fewer and wider bands give the same pairs from far fewer candidates.
-    """
+def _edges(most: int) -> list[tuple[int, int]]:
+    """Where the bands of a small bound lie: as wide as the pigeonhole principle allows."""
     n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    h = F.col("phash")
-    parts = [F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else h for a, b in zip(edges, edges[1:], strict=False)]
-    each = F.array(*(F.struct(F.lit(i).alias("band"), p.cast("bigint").alias("bucket")) for i, p in enumerate(parts)))
-    return items.where(H.valid(h)).select("path", "phash", F.explode(each).alias("_b")).select("path", "phash", "_b.band", "_b.bucket")
+    return [(64 * i // n, 64 * (i + 1) // n) for i in range(n)]
 
 
-def _first_chunk(x: Column, most: int) -> Column:
-    n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.coalesce(*(F.when(F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def _band(fingerprint: Column, a: int, b: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) if b - a < 64 else fingerprint
+
+
+def close_pairs(items: DataFrame, most: int, fingerprint: str = "phash", *also: str) -> DataFrame:
+    """All pairs ``a < b`` of ``items(path, ...)`` whose fingerprints differ in at most ``most`` bits, 7 at most.
+
+    Such fingerprints agree in one of ``most + 1`` bands, which are wide, so candidates stay near the result.
+    A pair is given by the lowest such band alone. Returns (a, b, d) and, for each of ``also``, the columns
+    ``x_<name>`` and ``y_<name>``.
+    """
+    edges, h = _edges(most), F.col(fingerprint)
+    each = F.array(*(F.struct(F.lit(i).alias("band"), _band(h, *e).cast("bigint").alias("bucket")) for i, e in enumerate(edges)))
+    rows = items.where(H.valid(h)).select("path", h.alias("_h"), *also, F.explode(each).alias("_b")).select("path", "_h", *also, "_b.band", "_b.bucket")
+    a, b = rows.alias("x"), rows.alias("y")
+    x = F.col("x._h").bitwiseXOR(F.col("y._h"))
+    first = F.coalesce(*(F.when(_band(x, *e) == 0, F.lit(i)) for i, e in enumerate(edges)))
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.path") < F.col("y.path"))
+    joined = a.join(b, same & (F.bit_count(x) <= most) & (first == F.col("x.band")))
+    sides = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in also for s in "xy"]
+    return joined.select(F.col("x.path").alias("a"), F.col("y.path").alias("b"), F.bit_count(x).alias("d"), *sides)
 
 
 def band_pairs(items: DataFrame, most: int = COARSE_D, key: str = "path") -> DataFrame:
     """Pairs ``a < b`` of ``items(path, phash)`` that share a byte and differ in at most ``most`` bits.
 
-    A pair that shares several bands is given by the lowest alone, so no distinct is needed. For a bound
-    up to 3 the bands are wider, with the same result. Returns (a, b, d).
+    A pair that shares several bands is given by the lowest alone, so no distinct is needed. Up to 7 bits all
+    pairs share a byte, and wider bands give the same result. Returns (a, b, d).
     """
-    if most <= 3:
-        rows, first = _chunked(items.select(F.col(key).alias("path"), "phash"), most), lambda x, y: _first_chunk(x.bitwiseXOR(y), most)
-    else:
-        rows, first = with_bands(items.select(F.col(key).alias("path"), "phash")), H.first_common_band
+    named = items.select(F.col(key).alias("path"), "phash")
+    if most <= BANDED:
+        return close_pairs(named, most)
+    rows = with_bands(named)
     a, b = rows.alias("x"), rows.alias("y")
     d = H.hamming(F.col("x.phash"), F.col("y.phash"))
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.path") < F.col("y.path"))
-    joined = a.join(b, same & (d <= most) & (first(F.col("x.phash"), F.col("y.phash")) == F.col("x.band")))
+    joined = a.join(b, same & (d <= most) & (H.first_common_band(F.col("x.phash"), F.col("y.phash")) == F.col("x.band")))
     return joined.select(F.col("x.path").alias("a"), F.col("y.path").alias("b"), d.alias("d"))
 
 
+def alike_pairs(items: DataFrame, most: int) -> DataFrame:
+    """The pairs of :func:`band_pairs` up to the coarse distance of which ``phash`` or ``whash`` differ in at most ``most`` bits.
+
+    For bounds up to 7 both are joined by wide bands; a pair that both find is given by the first.
+    """
+    near = close_pairs(items.select("path", "phash"), most)
+    waves = close_pairs(items.where(H.valid(F.col("phash"))).select("path", "phash", "whash"), most, "whash", "phash")
+    d, shared = H.hamming(F.col("x_phash"), F.col("y_phash")), H.first_common_band(F.col("x_phash"), F.col("y_phash")).isNotNull()
+    return near.unionByName(waves.select("a", "b", d.alias("d"), shared.alias("shared")).where((F.col("d") > most) & (F.col("d") <= COARSE_D) & F.col("shared")).drop("shared"))
+
+
 def probe_pairs(ads: DataFrame, gallery: DataFrame, most: int = COARSE_D) -> DataFrame:
     """Pairs of ``ads(ad, phash)`` and ``gallery(target, phash)`` that share a byte, within ``most`` bits."""
     left, right = small(with_bands(ads)).alias("x"), with_bands(gallery).alias("y")
@@ -105,20 +127,25 @@ def grid_rescues(pairs: DataFrame) -> DataFrame:
     return marked.withColumn("rescue", (F.col("d") > COARSE_D) & (F.col("d") <= RESCUE_D) & (F.col("cells") >= RESCUE_CELLS))
 
 
-def grid_votes(ads: DataFrame, gallery: DataFrame, found: DataFrame) -> DataFrame:
+def grid_votes(
+    ads: DataFrame, gallery: DataFrame, found: DataFrame, bucket: int | None = VOTE_BUCKET, per_ad: int | None = VOTE_PER_AD, total: int | None = VOTE_TOTAL
+) -> DataFrame:
     """For ads without a pair in ``found(ad)``: targets that share at least 12 equal grid cells.
 
-    Cells that more than 1,000 gallery items share don't vote. The limits belong to the result:
-    200 targets an ad and 5,000 in all, by votes and then path.
+    The limits belong to the result: cells that more than ``bucket`` gallery items share don't vote, and
+    ``per_ad`` targets of an ad and ``total`` in all are taken, by votes and then path. None lifts a limit,
+    and with all three lifted every pair with 12 equal cells is found.
     """
     cell = lambda df, key: df.select(key, F.posexplode("grid").alias("pos", "cell")).where("cell is not null and cell <> 0")
     left = cell(ads.join(found.select("ad").distinct(), "ad", "left_anti"), "ad")
     right = cell(gallery, "target")
-    common = right.groupBy("pos", "cell").count().where(F.col("count") <= VOTE_BUCKET).select("pos", "cell")
-    votes = left.join(right.join(common, ["pos", "cell"]), ["pos", "cell"]).where("ad <> target").groupBy("ad", "target").agg(F.count(F.lit(1)).alias("votes"))
+    if bucket is not None:
+        right = right.join(right.groupBy("pos", "cell").count().where(F.col("count") <= bucket).select("pos", "cell"), ["pos", "cell"])
+    votes = left.join(right, ["pos", "cell"]).where("ad <> target").groupBy("ad", "target").agg(F.count(F.lit(1)).alias("votes"))
     order = Window.partitionBy("ad").orderBy(F.desc("votes"), "target")
-    kept = votes.where(F.col("votes") >= RESCUE_CELLS).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= VOTE_PER_AD)
-    return kept.orderBy("ad", "rank").limit(VOTE_TOTAL)
+    kept = votes.where(F.col("votes") >= RESCUE_CELLS).withColumn("rank", F.row_number().over(order))
+    kept = kept if per_ad is None else kept.where(F.col("rank") <= per_ad)
+    return kept if total is None else kept.orderBy("ad", "rank").limit(total)
 
 
 def check_grid(grid: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .band_join import small
+from .tables import stored
 
 
 def folder_changes(live: DataFrame, state: DataFrame, needed: int = 0) -> DataFrame:
@@ -21,10 +21,16 @@ def folder_changes(live: DataFrame, state: DataFrame, needed: int = 0) -> DataFr
     return joined.select(F.coalesce("path", "known").alias("path"), kind.alias("kind"))
 
 
-def ghost_policy(ghosts: DataFrame, time_filter: bool, keep_outside_window: bool, prune_images: bool, cleanup: bool) -> DataFrame:
-    """What happens to vanished folders: ``keep``, ``drop_state`` or ``drop_all``."""
-    action = "keep" if not cleanup or (time_filter and keep_outside_window) else "drop_all" if prune_images else "drop_state"
-    return ghosts.withColumn("action", F.lit(action))
+def ghost_policy(ghosts: DataFrame, window: bool, preserve: bool, cleanup: bool, prune_images: bool) -> DataFrame:
+    """What happens to vanished folders ``ghosts(path, exists)``: ``keep``, ``drop_state`` or ``drop_all``.
+
+    A scan of a time window that preserves what lies outside keeps them, but with ``cleanup`` drops the state of
+    those that no longer exist, and with ``prune_images`` their pictures too. Any other scan drops both of all.
+    """
+    if not (window and preserve):
+        return ghosts.withColumn("action", F.lit("drop_all"))
+    gone = "drop_all" if prune_images else "drop_state"
+    return ghosts.withColumn("action", F.when(F.lit(cleanup) & ~F.coalesce("exists", F.lit(False)), gone).otherwise("keep"))
 
 
 def restored(cached: DataFrame, unchanged: DataFrame) -> DataFrame:
@@ -99,13 +105,6 @@ def empty_folders(folders: DataFrame, files: DataFrame, junk: tuple[str, ...]) -
     return folders.select("path").distinct().join(real, "path", "left_anti")
 
 
-def rescan_pages(pages: DataFrame, folders: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` pages of folders that must be listed again."""
-    kept = pages.join(small(folders.select(F.col("path").alias("folder_path"))), "folder_path", "left_semi")
-    order = Window.partitionBy("folder_path").orderBy(F.desc("path"))
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-
-
 def plan_counts(plan: DataFrame) -> DataFrame:
     return plan.groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
 
@@ -124,15 +123,43 @@ def without_prefix(items: DataFrame, top: str) -> DataFrame:
     return items.where((F.col("path") != top) & ~F.col("path").startswith(top + "/"))
 
 
+#: Hexadecimal digits that each level of a digest takes off the prefix, and rows of a bucket at the lowest level.
+DIGEST_STEP, DIGEST_ROWS = 2, 1 << 16
+
+
 def digest(items: DataFrame, columns: list[str]) -> DataFrame:
     """SHA-256 of all rows' values in order of their own hashes, as one row ``digest``, ``n``.
 
     Rows are hashed where they are and sums of those hashes would not do, as a sum hides which rows
-    changed; so hashes are sorted within 256 buckets and the buckets' digests again.
+    changed; so hashes are sorted within buckets of a common prefix, and a bucket's digests again within a
+    shorter one, level by level. The longest prefix follows from the number of rows, as part of the result.
+    """
+    hashed = stored(items.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")))
+    rows, digits = hashed.count(), DIGEST_STEP
+    while rows > DIGEST_ROWS * 16**digits:
+        digits += DIGEST_STEP
+    join = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256).alias("h")
+    level = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(join("h"), F.count(F.lit(1)).alias("n"))
+    while digits > DIGEST_STEP:
+        digits -= DIGEST_STEP
+        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(join(F.concat("b", "h")), F.sum("n").alias("n"))
+    return level.agg(join(F.concat("b", "h")).alias("digest"), F.sum("n").alias("n"))
+
+
+def catalogue_digests(items: DataFrame, threshold: float, version: str) -> DataFrame:
+    """Digests of a catalogue of ads ``items(rel, size, mtime, phash)`` as one row.
+
+    ``manifest_digest`` is of the files (name, size, whole seconds), ``content_digest`` of the valid
+    fingerprints, ``params_digest`` of what a comparison depends on, and ``catalogue_digest`` of the last two: it
+    changes where items must be compared again.
     """
-    row = F.sha2(F.to_json(F.struct(*columns)), 256)
-    buckets = items.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return buckets.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("b", "h"))), ","), 256).alias("digest"), F.sum("n").alias("n"))
+    files = items.select("rel", F.col("size").cast("long").alias("size"), F.floor(F.col("mtime")).cast("long").alias("mtime"))
+    pages = items.where("phash is not null and phash <> 0").select(F.lower(F.lpad(F.hex("phash"), 16, "0")).alias("phash"))
+    params = F.sha2(F.to_json(F.struct(F.lit(version).alias("engine_version"), F.lit(threshold).alias("similarity_threshold"))), 256)
+    manifest, content = digest(files, ["rel", "size", "mtime"]), digest(pages, ["phash"])
+    both = manifest.select(F.col("digest").alias("manifest_digest")).join(content.select(F.col("digest").alias("content_digest")), F.lit(True), "left")
+    named = both.withColumn("params_digest", params)
+    return named.withColumn("catalogue_digest", F.sha2(F.concat("content_digest", "params_digest"), 256))
 
 
 def folder_signature(children: DataFrame) -> DataFrame:

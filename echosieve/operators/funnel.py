@@ -11,7 +11,7 @@ from ..conf import COARSE_D, HASH_BITS, RESCUE_CELLS, RESCUE_D, RESCUED, STRICT_
 from ..functions import color
 from ..functions import hashing as H
 from ..functions.labels import label
-from .band_join import BROADCAST_ROWS, all_pairs, band_pairs, check_grid, grid_votes, probe_pairs, small
+from .band_join import BANDED, BROADCAST_ROWS, alike_pairs, all_pairs, band_pairs, check_grid, grid_votes, probe_pairs, small
 
 
 #: What pairs are judged by, and what turns and grids add to it where features have them.
@@ -96,6 +96,10 @@ def mutual_matches(images: DataFrame, settings: Settings) -> DataFrame:
     """
     if _has_turns(images):
         pairs = _within_reach(band_pairs(images.select("path", "phash"), HASH_BITS), images, images)
+    elif settings.distance <= BANDED:
+        # Either hash must reach the threshold, so the pairs to judge are few.
+        near = alike_pairs(images, settings.distance) if settings.use_whash else band_pairs(images.select("path", "phash"), settings.distance)
+        pairs = attributed(near, images, images)
     else:
         pairs = attributed(band_pairs(images.select("path", "phash")), images, images)
     if settings.inter_folder_only:
@@ -187,5 +191,7 @@ def counters(images: DataFrame, settings: Settings) -> DataFrame:
     final = H.accepted(F.col("d"), F.col("d_w"), no) & (H.final_similarity(F.col("d"), F.col("d_w"), no) >= settings.similarity)
     return pairs.agg(
         F.count(F.lit(1)).alias("passed_phash"), F.count_if(apart).alias("passed_folder"), F.count_if(apart & gate).alias("passed_color"),
+        F.count_if(apart & gate & (F.col("d_w").isNotNull() if settings.use_whash else F.lit(False))).alias("entered_whash"),
+        F.count_if(~apart).alias("filtered_inter"),
         F.count_if(apart & gate & (final if settings.use_whash else F.col("d") <= settings.distance)).alias("accepted"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import CELL_D
 from ..functions import hashing as H
-from .band_join import all_pairs, band_pairs
+from .band_join import BANDED, all_pairs, band_pairs
 from .tables import stored
 
 
@@ -33,49 +36,81 @@ def connected(pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
+def _representatives(items: DataFrame) -> DataFrame:
+    """The first path of each valid fingerprint: (path, phash). Copies are summed before they are moved."""
+    return items.where(H.valid(F.col("phash"))).groupBy("phash").agg(F.min("path").alias("path")).select("path", "phash")
+
+
 def star_groups(items: DataFrame, most: int = CELL_D) -> DataFrame:
     """Give each item (path, phash) the first item in path order that leads within ``most`` bits.
 
-    An item leads if no earlier leader is that near; membership isn't passed on. Decided in rounds: an
-    item without an undecided earlier neighbour is decided, so a round settles at least the earliest.
-    Returns (path, leader) of all items; items without a valid fingerprint lead themselves.
+    An item leads if no earlier leader is that near; membership isn't passed on. Copies of a fingerprint share
+    the leader of their first. What is near others is decided within its component, in path order, in a stream
+    that holds the leaders of one component. Returns (path, leader) of all items; items without a valid
+    fingerprint lead themselves.
     """
-    near = stored(band_pairs(items.select("path", "phash"), most).select("a", "b"))
-    state = stored(items.select("path", F.lit(None).cast(items.schema["path"].dataType).alias("leader")))
-    while True:
-        of = state.select(F.col("path").alias("a"), F.col("leader").alias("a_leader"))
-        seen = near.join(of, "a").groupBy("b").agg(
-            F.min(F.when(F.col("a_leader") == F.col("a"), F.col("a"))).alias("first"),
-            F.min(F.when(F.col("a_leader").isNull(), F.col("a"))).alias("open"),
-        )
-        joined = state.join(seen, state.path == seen.b, "left")
-        lead = F.when(F.col("leader").isNotNull(), F.col("leader"))
-        lead = lead.when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open"))), F.col("first"))
-        lead = lead.when(F.col("open").isNull(), F.coalesce(F.col("first"), F.col("path")))
-        state = stored(joined.select("path", lead.alias("leader")))
-        if not state.where("leader is null").limit(1).count():
-            return state
+    reps = stored(_representatives(items))
+    near = stored(band_pairs(reps, most).select("a", "b"))
+    parts = connected(near)
+    edges = near.join(parts, near.b == parts.node).select(F.col("leader").alias("part"), "a", "b")
+    kind = items.schema["path"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, first, followers = None, None, None, set()
+        for batch in batches:
+            out = []
+            for own, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
+                if (own, b) != (part, at):
+                    if first is not None:
+                        out.append((at, first))
+                        followers.add(at)
+                    if own != part:
+                        followers = set()
+                    part, at, first = own, b, None
+                if first is None and a not in followers:
+                    first = a
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], batch.schema.field("a").type) for i in (0, 1)], ["path", "leader"])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], batch.schema.field("a").type) for x in (at, first)], ["path", "leader"])
+
+    led = edges.repartition("part").sortWithinPartitions("part", "b", "a").mapInArrow(run, f"path {kind}, leader {kind}")
+    of = reps.join(led, "path", "left").select("phash", F.coalesce("leader", "path").alias("leader"))
+    return items.select("path", "phash").join(of, "phash", "left").select("path", F.coalesce("leader", "path").alias("leader"))
+
+
+def _members(items: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(path, leader) of valid items: copies and what ``pairs(a, b)`` of representatives connect; the least path leads."""
+    joined = connected(pairs.select("a", "b"))
+    of = reps.join(joined, reps.path == joined.node, "left").select("phash", F.coalesce("leader", "path").alias("leader"))
+    return items.select("path", "phash").join(of, "phash").select("path", "leader")
 
 
 def duplicate_groups(items: DataFrame, most: int) -> DataFrame:
-    """Components of items within ``most`` bits: (leader, path), with the leader's own row."""
-    found = connected(band_pairs(items.select("path", "phash"), most).select("a", "b"))
-    return found.select("leader", F.col("node").alias("path"))
+    """Components of items within ``most`` bits: (leader, path), with the leader's own row; items alone have none.
+
+    Equal fingerprints are one item while pairs are sought, so a picture with very many copies is no more work.
+    """
+    reps = stored(_representatives(items))
+    found = _members(items, reps, band_pairs(reps, most))
+    alone = found.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader")
+    return found.join(alone, "leader", "left_semi").select("leader", "path")
 
 
 def qr_groups(items: DataFrame, most: int) -> DataFrame:
     """Items grouped by fingerprint with the group's size; an item alone is its own group.
 
-    All pairs within ``most`` bits link. Up to 7 bits they share a byte; beyond, all are compared.
+    All pairs within ``most`` bits link. Up to 7 bits they share a byte; beyond, all representatives of equal
+    fingerprints are compared.
     """
-    if most <= 7:
-        pairs = band_pairs(items.select("path", "phash"), most)
+    reps = stored(_representatives(items))
+    if most <= BANDED:
+        pairs = band_pairs(reps, most)
     else:
-        pairs = all_pairs(items.select(F.col("path").alias("ad"), "phash"), items.select(F.col("path").alias("target"), "phash"), most).where("ad < target")
+        pairs = all_pairs(reps.select(F.col("path").alias("ad"), "phash"), reps.select(F.col("path").alias("target"), "phash"), most).where("ad < target")
         pairs = pairs.select(F.col("ad").alias("a"), F.col("target").alias("b"))
-    own = items.select("path").join(connected(pairs.select("a", "b")), F.col("path") == F.col("node"), "left")
-    own = own.select(F.coalesce("leader", "path").alias("leader"), "path")
-    return own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leader")))
+    invalid = items.where(~H.valid(F.col("phash")) | F.col("phash").isNull()).select("path", F.col("path").alias("leader"))
+    own = stored(_members(items, reps, pairs).unionByName(invalid).select("leader", "path"))
+    return own.join(own.groupBy("leader").agg(F.count(F.lit(1)).alias("n")), "leader")
 
 
 def ranked_members(matches: DataFrame) -> DataFrame:
@@ -89,10 +124,3 @@ def group_keys(matches: DataFrame) -> DataFrame:
     return matches.groupBy("leader").agg(
         (F.count(F.lit(1)) + 1).alias("n"), F.max("sim").alias("best"), F.bool_or(F.coalesce(F.col("tag") == "ad_like", F.lit(False))).alias("ad_like")
     )
-
-
-def components_of(items: DataFrame, distance: int) -> DataFrame:
-    """Valid items with the least path of their component, alone or not."""
-    labels = connected(band_pairs(items, distance).select("a", "b"))
-    kept = items.where(H.valid(F.col("phash")))
-    return kept.join(labels, kept.path == labels.node, "left").select("path", F.coalesce("leader", "path").alias("leader"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import DELETED_STATUSES
+from ..functions.titles import named_in
 
-REPAIRED = "non-tag"
+#: What a restored record of the catalogue, and a repaired row of the metadata, get as status.
+RESTORED, REPAIRED = "non-tag", "tagged"
 
 
 def is_deleted(rows: DataFrame, prefix: str = "") -> Column:
@@ -44,7 +46,7 @@ def synced(catalogue: DataFrame, plan: DataFrame, new: DataFrame) -> DataFrame:
     to = plan.select(F.col("path").alias("key"), "action")
     joined = catalogue.join(to, catalogue.path == to.key, "left")
     gone, back = F.col("action") == "soft_delete", F.col("action") == "restore"
-    changes = {"status": (F.lit(DELETED_STATUSES[0]), F.lit(REPAIRED)), "exist": (F.lit(0), F.lit(1)), "hiddenBook": (F.lit(1), F.lit(0))}
+    changes = {"status": (F.lit(DELETED_STATUSES[0]), F.lit(RESTORED)), "exist": (F.lit(0), F.lit(1)), "hiddenBook": (F.lit(1), F.lit(0))}
     kept = joined.select(*(F.when(gone, changes[c][0]).when(back, changes[c][1]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in catalogue.columns))
     added = new.join(plan.where("action = 'add'").select("path"), "path", "left_semi").join(catalogue.select("path"), "path", "left_anti")
     return kept.unionByName(added.dropDuplicates(["path"]), allowMissingColumns=True)
@@ -81,6 +83,18 @@ def tag_failures(catalogue: DataFrame) -> DataFrame:
     return catalogue.where(F.col("status") == "tag-failed")
 
 
+#: The columns of the report of failures.
+FAILURE_COLUMNS = ("Title", "Filepath", "URL", "Artist (Romaji)", "Group (Romaji)")
+
+
+def failure_report(catalogue: DataFrame, artists: dict[str, str], groups: dict[str, str]) -> DataFrame:
+    """Records whose tagging failed, as a report: title, path, address, and the artist and group the title names."""
+    who = named_in(artists, groups)(F.col("title"))
+    rows = tag_failures(catalogue).select("title", "path", "url", who.alias("who"))
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "path", "url", "who.artist", "who.group")]
+    return rows.select(*(c.alias(n) for c, n in zip(text, FAILURE_COLUMNS, strict=True)))
+
+
 def dashboard(known: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
     """Upsert by key with a flag for each row: ``added``, ``changed`` or ``same``."""
     o, n = known.alias("o"), new.alias("n")

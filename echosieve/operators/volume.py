@@ -11,11 +11,12 @@ from ..functions import hashing as H
 from .groups import connected
 
 
-def sample_pages(pages: DataFrame, ad_hashes: DataFrame, last: int) -> DataFrame:
-    """The last ``last`` pages of each folder (by ``rank`` falling) whose fingerprint no ad has."""
+def sample_pages(pages: DataFrame, ad_hashes: DataFrame, last: int | None) -> DataFrame:
+    """The last ``last`` pages of each folder (by ``ord``; None: all) whose fingerprint no ad has, ranked from the end."""
     kept = pages.where(H.valid(F.col("phash"))).join(ad_hashes.select("phash").distinct(), "phash", "left_anti")
     order = Window.partitionBy("folder").orderBy(F.desc("ord"))
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= last)
+    ranked = kept.withColumn("rank", F.row_number().over(order))
+    return ranked if last is None else ranked.where(F.col("rank") <= last)
 
 
 def intra_pairs(folders: DataFrame) -> DataFrame:

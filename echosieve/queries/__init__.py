@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, inventory, media, similarity, volumes
+from . import catalogue, inventory, media, modes, similarity, upkeep, volumes
 
-_MODULES = (similarity, inventory, catalogue, volumes, media)
+_MODULES = (similarity, inventory, catalogue, volumes, media, modes, upkeep)
 
 
 def queries() -> dict:

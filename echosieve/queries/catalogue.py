@@ -115,7 +115,7 @@ SQL = {
 FROM cat c JOIN plan p ON p.path = c.path UNION ALL SELECT path, sha1(path::VARCHAR), 'non-tag', 1, 0, NULL FROM plan WHERE action = 'add'""",
     "metadata_status_sync": f"""WITH {_CAT}, s AS (SELECT hash, bool_or(gone OR exist = 0) AS g, bool_or(NOT gone AND exist = 1) AS l FROM flags GROUP BY 1),
 m AS (SELECT sha1(id::VARCHAR) AS hash, CASE id % 3 WHEN 0 THEN 'deleted' WHEN 1 THEN 'ok' END AS old FROM (SELECT unnest(range(0, 800)) AS id)),
-r AS (SELECT hash, old, CASE WHEN g AND NOT l AND old IS DISTINCT FROM 'deleted' THEN 'file_deleted' WHEN l AND old = 'deleted' THEN 'non-tag' END AS new FROM m JOIN s USING (hash))
+r AS (SELECT hash, old, CASE WHEN g AND NOT l AND old IS DISTINCT FROM 'deleted' THEN 'file_deleted' WHEN l AND old = 'deleted' THEN 'tagged' END AS new FROM m JOIN s USING (hash))
 SELECT * FROM r WHERE new IS NOT NULL""",
     "ghost_records": f"WITH {_CAT} SELECT path, status FROM flags WHERE NOT partly AND path NOT IN (SELECT path FROM listing)",
     "pagediff_repair": f"""WITH {_CAT} SELECT path, pc AS "pageCount", fc AS filecount, fc AS repaired FROM cat WHERE pc <> fc AND status <> 'non-tag'""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import dates
 from ..functions import hashing as H
 from ..functions import paths as P
 from ..operators import diff, selection, tail
+from ..operators.tables import stored
 from .tables import table
 
 
@@ -78,8 +81,10 @@ def folder_state_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ghost_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    gone = folder_state_diff(spark, d).where("kind = 'ghost'").select("path")
-    return diff.ghost_policy(gone, False, True, False, True)
+    """What each setting of the four flags does to vanished folders, every third of which is still there."""
+    gone = stored(folder_state_diff(spark, d).where("kind = 'ghost'").select("path", (F.col("path") % 3 == 0).alias("exists")))
+    cells = [[bool(i >> k & 1) for k in range(4)] for i in range(16)]
+    return reduce(DataFrame.unionByName, (diff.ghost_policy(gone, *c).select("path", F.lit(i).alias("cell"), "action") for i, c in enumerate(cells)))
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -134,9 +139,11 @@ def folder_signature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def root_protection(spark: SparkSession, d: str) -> DataFrame:
-    f = _folders(spark, d)
-    files = table(spark, d, "events").where("event_id = 0").select(F.lit("root").alias("folder")).where("false")
-    return diff.protect_root(f.select("path"), "root", files)
+    """Folders to scan by two roots: one with a picture of its own, which stays, and one without."""
+    f = _folders(spark, d).select("path")
+    files = table(spark, d, "events").select(F.concat(F.lit("root/g"), F.col("user_id") % 10).alias("folder")).where("folder <> 'root/g3'")
+    one, two = (diff.protect_root(f, root, files).select(F.lit(root).alias("root"), "path") for root in ("root/g2", "root/g3"))
+    return one.unionByName(two)
 
 
 def new_folder_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +205,8 @@ def backup_retention(spark: SparkSession, d: str) -> DataFrame:
 
 def unique_ad_names(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "part").select(F.col("p_partkey").alias("path"), "p_name")
-    return tail.unique_names(items, "p_name").select("path", "copy_name")
+    taken = table(spark, d, "part").where("p_partkey % 7 = 0").select(F.concat(F.lit("ad_"), "p_name", F.lit(".png")).alias("name"))
+    return tail.unique_names(items, "p_name", taken).select("path", "copy_name")
 
 
 def undo_pending(spark: SparkSession, d: str) -> DataFrame:
@@ -279,12 +287,15 @@ SELECT * FROM f WHERE NOT list_contains(string_split(lower(folder), '/'), 'de')
   AND NOT EXISTS (SELECT 1 FROM folders u WHERE u.path <> 'root' AND starts_with(f.path, u.path || '/') AND u.ts < TIMESTAMP '2024-01-10'))""",
     "leaf_only_folders": f"WITH {_FOLDERS} SELECT DISTINCT path FROM folders f WHERE NOT EXISTS (SELECT 1 FROM folders u WHERE starts_with(u.path, f.path || '/'))",
     "folder_state_diff": f"WITH {_STATE} SELECT path, kind FROM changes",
-    "root_protection": f"WITH {_FOLDERS} SELECT path FROM folders WHERE path <> 'root'",
+    "root_protection": f"""WITH {_FOLDERS} SELECT root, path FROM folders, (SELECT unnest(['root/g2', 'root/g3']) AS root)
+WHERE path <> root OR root IN (SELECT 'root/g' || (user_id % 10)::VARCHAR FROM events WHERE user_id % 10 <> 3)""",
     "new_folder_expansion": f"""WITH {_FOLDERS} SELECT DISTINCT path FROM folders WHERE path LIKE '%click' OR (ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-31'
   AND (path IN ('root/g3', 'root/g7/17') OR starts_with(path, 'root/g3/') OR starts_with(path, 'root/g7/17/')))""",
     "empty_cache_fallback": f"""WITH {_FOLDERS}, m AS (SELECT path FROM folders WHERE path <> 'root' AND NOT (path LIKE '%view'))
 SELECT path FROM m f WHERE NOT EXISTS (SELECT 1 FROM m u WHERE starts_with(u.path, f.path || '/'))""",
-    "ghost_cleanup": f"WITH {_STATE} SELECT path, 'drop_state' AS action FROM changes WHERE kind = 'ghost'",
+    "ghost_cleanup": f"""WITH {_STATE} SELECT path, cell::INTEGER AS cell,
+  CASE WHEN cell & 3 <> 3 THEN 'drop_all' WHEN cell & 4 = 0 OR path % 3 = 0 THEN 'keep' WHEN cell & 8 <> 0 THEN 'drop_all' ELSE 'drop_state' END AS action
+FROM changes, (SELECT unnest(range(0, 16)) AS cell) WHERE kind = 'ghost'""",
     "restore_cached": f"WITH {_STATE} SELECT event_id AS path, user_id AS folder_path FROM events WHERE user_id IN (SELECT path FROM changes WHERE kind = 'unchanged')",
     "quarantine_anti": "SELECT event_id AS path FROM events WHERE (event_id % 2 = 0 OR user_id % 3 = 0) AND NOT (event_type = 'error' AND value > 5)",
     "cache_work_plan": f"WITH {_CACHE} SELECT path, plan FROM plan",
@@ -310,8 +321,9 @@ SELECT page_id, is_virtual, archive, CASE WHEN is_virtual THEN regexp_extract(v,
 FROM (SELECT c_custkey, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 16))::UBIGINT::HUGEINT AS u FROM customer)""",
     "backup_retention": """SELECT backup, kind, rank FROM (SELECT event_id AS backup, user_id % 5 AS kind, ts, (row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC))::INTEGER AS rank FROM events)
 WHERE rank <= 10 OR ts >= TIMESTAMP '2024-01-30'""",
-    "unique_ad_names": """SELECT p_partkey AS path, 'ad_' || p_name || CASE WHEN i > 0 THEN '_' || i::VARCHAR ELSE '' END AS copy_name
-FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS i FROM part)""",
+    "unique_ad_names": """SELECT p_partkey AS path, 'ad_' || p_name || CASE WHEN i > 0 THEN '_' || i::VARCHAR ELSE '' END || '.png' AS copy_name
+FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1
+        + (p_name IN (SELECT p_name FROM part WHERE p_partkey % 7 = 0))::INTEGER AS i FROM part)""",
     "undo_pending": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id % 4 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0),
 c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0),
 p AS (SELECT 1 AS n, user_id FROM a UNION ALL SELECT 1 + ((SELECT count(*) FROM a) > 0)::INTEGER, user_id FROM b WHERE user_id NOT IN (SELECT user_id FROM a)),

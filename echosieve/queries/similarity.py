@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..conf import Gate, Settings, whash_bounds
@@ -10,12 +10,19 @@ from ..functions import hashing as H
 from ..functions.labels import label
 from ..operators import band_join as B
 from ..operators import funnel, groups, selection
+from ..operators.tables import stored
 from ..sources import index
-from .tables import ADS, IMAGES, PAIRS, ads, grids, hashes, images, sql_probe, table
+from .tables import ADS, IMAGES, PAIRS, ads, grids, hashes, images, sql_probe, sql_signed_hash, sql_turned, table
 
 LOOSE = Settings(similarity_threshold=75.0, inter_folder_only=False)
 STANDARD = Settings()
-_MASK = (1 << 60) - 1
+#: Places by which bits are turned for the three turned variants of an ad.
+TURNS = (16, 32, 48)
+
+
+def _turn(h: Column, k: int) -> Column:
+    """A fingerprint's bits turned left by ``k`` places, which stands for a turned picture's fingerprint."""
+    return F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k))
 
 
 def hamming_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -40,34 +47,33 @@ def ad_match_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rotation_max_similarity(spark: SparkSession, d: str) -> DataFrame:
-    h = F.col("phash")
-    turn = lambda k: F.shiftleft(h.bitwiseAND(F.lit((1 << (60 - k)) - 1)), k).bitwiseOR(F.shiftright(h, 60 - k))
-    left = ads(spark, d).select(F.col("path").alias("ad"), "phash", F.array(turn(15), turn(30), turn(45)).alias("turns"))
+    left = ads(spark, d).select(F.col("path").alias("ad"), "phash", F.array(*(_turn(F.col("phash"), k) for k in TURNS)).alias("turns"))
     return B.rotation_pairs(left, hashes(spark, d).withColumnRenamed("path", "target"))
 
 
 def band_index_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Documents looked up in the index of ads with three turned variants each."""
-    h = F.col("phash")
-    turn = lambda k: F.shiftleft(h.bitwiseAND(F.lit((1 << (60 - k)) - 1)), k).bitwiseOR(F.shiftright(h, 60 - k))
-    turned = F.create_map(F.lit(90), turn(15), F.lit(180), turn(30), F.lit(270), turn(45))
-    known = index.entries(ads(spark, d).select("path", "phash", turned.alias("phash_rot")))
+    known = index.entries(_turned(ads(spark, d)).select("path", "phash", "phash_rot"))
     return index.lookup(known, hashes(spark, d).withColumnRenamed("path", "target"), 19)
 
 
+def _turned(items: DataFrame) -> DataFrame:
+    return items.withColumn("phash_rot", F.create_map(*(x for t, k in zip((90, 180, 270), TURNS, strict=True) for x in (F.lit(t), _turn(F.col("phash"), k)))))
+
+
 def grid_rescue(spark: SparkSession, d: str) -> DataFrame:
     g = grids(spark, d)
-    near = B.band_pairs(hashes(spark, d), 3).select("a", "b")
+    near = B.band_pairs(hashes(spark, d)).select("a", "b")
     pairs = near.join(g.select(F.col("path").alias("a"), F.col("phash").alias("phash_a"), F.col("grid").alias("grid_a")), "a")
     pairs = pairs.join(g.select(F.col("path").alias("b"), F.col("phash").alias("phash_b"), F.col("grid").alias("grid_b")), "b")
     return B.grid_rescues(pairs).select("a", "b", "d", "cells", "rescue")
 
 
 def grid_vote_fallback(spark: SparkSession, d: str) -> DataFrame:
-    g = grids(spark, d)
-    left = g.where("path % 10 = 0").withColumnRenamed("path", "ad")
-    right = g.where("path % 10 <> 0").withColumnRenamed("path", "target")
-    found = B.probe_pairs(left.select("ad", "phash"), right.select("target", "phash"), 16)
+    """Toxic documents without a candidate among the others, by the cells that they share with those."""
+    left, right = _sides(grids(spark, d), spark, d)
+    left, right = left.withColumnRenamed("path", "ad"), right.withColumnRenamed("path", "target")
+    found = B.probe_pairs(left.select("ad", "phash"), right.select("target", "phash"))
     return B.grid_votes(left, right, found)
 
 
@@ -107,14 +113,20 @@ def duplicate_components(spark: SparkSession, d: str) -> DataFrame:
     return groups.duplicate_groups(hashes(spark, d), STANDARD.distance)
 
 
+def _sides(rows: DataFrame, spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    toxic = B.small(table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("path")).distinct())
+    return rows.join(toxic, "path", "left_semi"), rows.join(toxic, "path", "left_anti")
+
+
 def _coded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents: the toxic ones, as pages with codes or as known ads, and the others."""
-    x, labels = images(spark, d), table(spark, d, "labels")
-    return tuple(x.join(labels.where(F.col("toxic") == t).select(F.col("doc_id").alias("path")).distinct(), "path", "left_semi") for t in (1, 0))
+    """All documents: those labelled toxic, as pages with codes or as known ads, and all others."""
+    return _sides(images(spark, d), spark, d)
 
 
 def qr_groups(spark: SparkSession, d: str) -> DataFrame:
-    return groups.qr_groups(_coded(spark, d)[0], STANDARD.distance)
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    docs = table(spark, d, "documents").join(toxic, "doc_id", "left_semi")
+    return groups.qr_groups(stored(H.simhash(docs, "doc_id", "text", phash=1).withColumnRenamed("doc_id", "path")), STANDARD.distance)
 
 
 def qr_hybrid_first_match(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +144,7 @@ def targeted_best_match(spark: SparkSession, d: str) -> DataFrame:
 
 def inter_folder_only(spark: SparkSession, d: str) -> DataFrame:
     x = images(spark, d)
-    return funnel.other_folders(funnel.attributed(B.band_pairs(x, 12), x, x)).select("a", "b", "d")
+    return funnel.other_folders(funnel.attributed(B.band_pairs(x), x, x)).select("a", "b", "d")
 
 
 def funnel_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +244,7 @@ def _label(sim: str) -> str:
 
 
 _AD_BEST = f"""{IMAGES}, known AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-items AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 0)), {sql_probe("probe", "known", "items")},
+items AS MATERIALIZED (SELECT * FROM images WHERE path NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {sql_probe("probe", "known", "items")},
 probed AS MATERIALIZED (
   SELECT p.* FROM probe p JOIN known x ON x.path = ad JOIN items y ON y.path = target WHERE d <= 4 OR {_gate(LOOSE.gate, "x", "y")}),
 judged AS MATERIALIZED ({_verdict("probed", "ad", "target", "known", "items", 0.75)}),
@@ -265,11 +277,11 @@ links AS MATERIALIZED (SELECT a, b FROM qpairs UNION SELECT b, a FROM qpairs),
 reach(x, y) AS (SELECT path, path FROM images WHERE path IN (SELECT path FROM coded) UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
 q AS MATERIALIZED (SELECT x AS path, min(y) AS leader FROM reach GROUP BY 1)"""
 
-_ROT = "((h & ((1::BIGINT << {a}) - 1)) << {b}) | (h >> {a})"
-_GRID = """grids AS MATERIALIZED (
-  SELECT path, ('0x' || substr(md5(path::VARCHAR), 2, 15))::BIGINT AS phash,
-    list_transform(range(0, 16), lambda i: ('0x' || substr(md5(substr(text, (i * step + 1)::BIGINT, step)), 2, 15))::BIGINT) AS grid
-  FROM (SELECT doc_id AS path, text, length(text) // 16 AS step FROM documents WHERE length(text) >= 16))"""
+_ROTS = ", ".join(sql_turned("h", k) for k in TURNS)
+_GRID = f"""grids AS MATERIALIZED (
+  SELECT path, {sql_signed_hash("path::VARCHAR")} AS phash,
+    CASE WHEN step > 0 THEN list_transform(range(0, 16), lambda i: {sql_signed_hash("substr(text, (i * step + 1)::BIGINT, step)")}) ELSE [] END AS grid
+  FROM (SELECT doc_id AS path, text, length(text) // 16 AS step FROM documents))"""
 
 SQL = {
     "hamming_similarity": f"""WITH {IMAGES} SELECT x.path, bit_count(xor(x.phash, y.phash))::INTEGER AS d, 1 - bit_count(xor(x.phash, y.phash)) / 64.0::DOUBLE AS sim,
@@ -278,19 +290,19 @@ SQL = {
     "near_duplicate_pairs": f"WITH {IMAGES}, {PAIRS} SELECT a, b, d FROM pairs",
     "ad_match_pairs": f"""WITH {IMAGES}, {ADS}, {sql_probe("probe", "ads", "images")} SELECT ad, target, d, 1 - d / 64.0::DOUBLE AS sim FROM probe""",
     "rotation_max_similarity": f"""WITH {IMAGES}, {ADS}, {sql_probe("probe", "ads", "images", 64)},
-turned AS (SELECT path, phash AS h, [{", ".join(_ROT.format(a=60 - k, b=k) for k in (15, 30, 45))}] AS turns FROM (SELECT path, phash, phash AS h FROM ads))
+turned AS (SELECT path, phash AS h, [{_ROTS}] AS turns FROM (SELECT path, phash, phash AS h FROM ads))
 SELECT * FROM (SELECT p.ad, p.target, p.d AS d0, least(p.d, list_min(list_transform(t.turns, lambda z: bit_count(xor(CASE WHEN z <> 0 THEN z ELSE t.h END, y.phash))))::INTEGER) AS d
 FROM probe p JOIN turned t ON t.path = p.ad JOIN images y ON y.path = p.target) WHERE d <= 19""",
-    "band_index_lookup": f"""WITH {IMAGES}, {ADS}, v AS MATERIALIZED (SELECT path, unnest([h, {", ".join(_ROT.format(a=60 - k, b=k) for k in (15, 30, 45))}]) AS phash FROM (SELECT path, phash AS h FROM ads))
+    "band_index_lookup": f"""WITH {IMAGES}, {ADS}, v AS MATERIALIZED (SELECT path, unnest([h, {_ROTS}]) AS phash FROM (SELECT path, phash AS h FROM ads))
 SELECT y.path AS target, x.path, min(bit_count(xor(x.phash, y.phash)))::INTEGER AS d FROM v x JOIN images y ON x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 19
   AND len(list_filter(range(0, 8), lambda i: (xor(x.phash, y.phash) >> (8 * i)) & 255 = 0)) > 0 GROUP BY 1, 2""",
     "grid_rescue": f"""WITH {IMAGES}, {PAIRS}, {_GRID},
 c AS (SELECT a, b, bit_count(xor(x.phash, y.phash))::INTEGER AS d,
     len(list_filter(list_zip(x.grid, y.grid), lambda z: z[1] <> 0 AND z[2] <> 0 AND bit_count(xor(z[1], z[2])) <= 3))::INTEGER AS cells
-  FROM pairs p JOIN grids x ON x.path = a JOIN grids y ON y.path = b WHERE p.d <= 3)
+  FROM pairs p JOIN grids x ON x.path = a JOIN grids y ON y.path = b)
 SELECT a, b, d, cells, d > 19 AND d <= 38 AND cells >= 12 AS rescue FROM c""",
-    "grid_vote_fallback": f"""WITH {_GRID}, l AS MATERIALIZED (SELECT path, phash, grid FROM grids WHERE path % 10 = 0), r AS MATERIALIZED (SELECT path, phash, grid FROM grids WHERE path % 10 <> 0),
-{sql_probe("probe", "(SELECT path, phash FROM l)", "(SELECT path, phash FROM r)", 16)},
+    "grid_vote_fallback": f"""WITH {_GRID}, l AS MATERIALIZED (SELECT path, phash, grid FROM grids WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 1)), r AS MATERIALIZED (SELECT path, phash, grid FROM grids WHERE path NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+{sql_probe("probe", "(SELECT path, phash FROM l)", "(SELECT path, phash FROM r)")},
 lc AS (SELECT path AS ad, i, grid[i] AS c FROM l, (SELECT unnest(range(1, 17)) AS i) WHERE path NOT IN (SELECT ad FROM probe)),
 rc AS (SELECT path AS target, i, grid[i] AS c FROM r, (SELECT unnest(range(1, 17)) AS i)),
 ok AS (SELECT i, c FROM rc WHERE c <> 0 GROUP BY 1, 2 HAVING count(*) <= 1000),
@@ -311,21 +323,25 @@ SELECT path, leader FROM walk WHERE n > 0""",
     "duplicate_components": f"WITH RECURSIVE {IMAGES}, {PAIRS}, {_LINKS} SELECT leader, path FROM comp",
     "qr_groups": f"WITH RECURSIVE {_QR} SELECT leader, path, count(*) OVER (PARTITION BY leader) AS n FROM q",
     "qr_hybrid_first_match": f"""WITH {IMAGES}, pages AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-known AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 0)), {sql_probe("probe", "known", "pages")},
+known AS MATERIALIZED (SELECT * FROM images WHERE path NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {sql_probe("probe", "known", "pages")},
 j AS (SELECT ad, target, d, CASE WHEN x.whash <> 0 AND y.whash <> 0 THEN {_W} END AS d_w FROM probe JOIN known x ON x.path = ad JOIN pages y ON y.path = target),
 k AS (SELECT *, CASE WHEN d > 4 AND coalesce(d_w <= {_BOUND}, false) THEN 1 - least(d, d_w) / 64.0::DOUBLE ELSE 1 - d / 64.0::DOUBLE END AS sim FROM j WHERE d <= 4 OR coalesce(d_w <= {_BOUND}, false))
 SELECT target AS page, min(ad) AS ad, arg_min(sim, ad) AS sim FROM k WHERE sim >= 0.75 GROUP BY 1""",
-    "ad_like_groups": f"""WITH {IMAGES}, items AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 0)),
-known AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 1)), {sql_probe("probe", "known", "items")},
+    "ad_like_groups": f"""WITH {IMAGES}, items AS MATERIALIZED (SELECT * FROM images WHERE path NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+known AS MATERIALIZED (SELECT * FROM images WHERE path IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+probe AS MATERIALIZED (SELECT x.path AS ad, y.path AS target, bit_count(xor(x.phash, y.phash))::INTEGER AS d
+  FROM known x JOIN items y ON x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 19),
 j AS (SELECT target, d, CASE WHEN x.whash <> 0 AND y.whash <> 0 THEN {_W} END AS d_w FROM probe JOIN known x ON x.path = ad JOIN items y ON y.path = target WHERE d <= 4 OR {_gate(LOOSE.gate, "x", "y")})
 SELECT DISTINCT target AS path FROM j WHERE coalesce(d_w <= {_BOUND}, false) OR (d_w IS NULL AND d <= 4)""",
     "targeted_best_match": f"""WITH {IMAGES}, {ADS}, j AS (SELECT x.path AS leader, y.path AS item, bit_count(xor(x.phash, y.phash))::INTEGER AS d_p
   FROM ads x JOIN images y ON x.phash <> 0 AND y.phash <> 0 AND bit_count(xor(x.phash, y.phash)) <= 38 AND y.path NOT IN (SELECT path FROM ads))
 SELECT leader, item, d_p, 1 - d_p / 64.0::DOUBLE AS sim FROM j QUALIFY row_number() OVER (PARTITION BY leader ORDER BY d_p, item) = 1""",
-    "inter_folder_only": f"WITH {IMAGES}, {PAIRS} SELECT a, b, d FROM pairs JOIN images x ON x.path = a JOIN images y ON y.path = b WHERE d <= 12 AND x.folder_path IS DISTINCT FROM y.folder_path",
+    "inter_folder_only": f"WITH {IMAGES}, {PAIRS} SELECT a, b, d FROM pairs JOIN images x ON x.path = a JOIN images y ON y.path = b WHERE x.folder_path IS DISTINCT FROM y.folder_path",
     "funnel_stats": f"""WITH {IMAGES}, {PAIRS}, {_mutual(True)} SELECT (SELECT count(*) FROM pairs) AS passed_phash,
   (SELECT count(*) FROM pairs JOIN images x ON x.path = a JOIN images y ON y.path = b WHERE x.folder_path IS DISTINCT FROM y.folder_path) AS passed_folder,
-  (SELECT count(*) FROM colored) AS passed_color, (SELECT count(*) FROM m) AS accepted""",
+  (SELECT count(*) FROM pairs JOIN images x ON x.path = a JOIN images y ON y.path = b WHERE x.folder_path IS NOT DISTINCT FROM y.folder_path) AS filtered_inter,
+  (SELECT count(*) FROM colored) AS passed_color, (SELECT count(*) FROM colored JOIN images x ON x.path = a JOIN images y ON y.path = b WHERE x.whash <> 0 AND y.whash <> 0) AS entered_whash,
+  (SELECT count(*) FROM m) AS accepted""",
     "select_ad": f"WITH {_AD_BEST} SELECT DISTINCT item AS path FROM best WHERE rtrim(label, '%')::DOUBLE >= 87.5",
     "folder_scores": f"WITH {_EXACT} SELECT folder, score FROM scores",
     "select_mutual": f"WITH {_EXACT} SELECT path FROM chosen",

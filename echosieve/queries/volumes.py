@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titles as T
 from ..operators import selection, volume
+from ..plans.modes import LAST_PAGES
 from .tables import IMAGES, hashes, table
 
 
@@ -36,7 +37,7 @@ def select_volume(spark: SparkSession, d: str) -> DataFrame:
     return selection.select_volume(named.select(F.concat_ws("/", F.col("a").cast("string"), F.col("na")).alias("a"), F.concat_ws("/", F.col("b").cast("string"), F.col("nb")).alias("b")))
 
 
-def _pages(spark: SparkSession, d: str, last: int) -> DataFrame:
+def _pages(spark: SparkSession, d: str, last: int | None = None) -> DataFrame:
     of = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("source").alias("folder"))
     pages = hashes(spark, d).join(of, "path").select("folder", "path", "phash", F.col("path").alias("ord"))
     known = pages.where("path % 10 = 0").select("phash")
@@ -44,7 +45,7 @@ def _pages(spark: SparkSession, d: str, last: int) -> DataFrame:
 
 
 def volume_sample(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d, 12).select("folder", "path", "rank")
+    return _pages(spark, d, LAST_PAGES).select("folder", "path", "rank")
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -52,16 +53,16 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def volume_cross_name(spark: SparkSession, d: str) -> DataFrame:
-    return volume.cross_pairs(_pages(spark, d, 10_000), _sources(spark, d))
+    return volume.cross_pairs(_pages(spark, d), _sources(spark, d))
 
 
 def volume_match_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return volume.matched_pages(volume_cross_name(spark, d), _pages(spark, d, 50), 3)
+    return volume.matched_pages(volume_cross_name(spark, d), _pages(spark, d, LAST_PAGES), 3)
 
 
 def series_components(spark: SparkSession, d: str) -> DataFrame:
     f = _sources(spark, d)
-    return volume.series(f, volume.cross_pairs(_pages(spark, d, 10_000), f))
+    return volume.series(f, volume.cross_pairs(_pages(spark, d), f))
 
 
 def series_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +87,8 @@ _SAMPLE = """pages AS MATERIALIZED (SELECT path, folder_path AS folder, phash FR
 sample AS MATERIALIZED (SELECT folder, path, phash, (row_number() OVER (PARTITION BY folder ORDER BY path DESC))::INTEGER AS rank FROM pages)"""
 _CROSS = """sources AS MATERIALIZED (SELECT DISTINCT source AS path, regexp_replace(source, '[0-9]$', '') AS skeleton FROM documents),
 crossed AS MATERIALIZED (SELECT DISTINCT x.folder AS a, y.folder AS b, u.skeleton AS sa, v.skeleton AS sb FROM sample x JOIN sample y ON x.phash >> 8 = y.phash >> 8 AND x.folder < y.folder
-  JOIN sources u ON u.path = x.folder JOIN sources v ON v.path = y.folder WHERE u.skeleton <> v.skeleton AND x.rank <= 10000 AND y.rank <= 10000)"""
-_SERIES = """l AS MATERIALIZED (SELECT sa AS x, sb AS y FROM crossed WHERE a > 'src15' UNION SELECT sb, sa FROM crossed WHERE a > 'src15'),
+  JOIN sources u ON u.path = x.folder JOIN sources v ON v.path = y.folder WHERE u.skeleton <> v.skeleton)"""
+_SERIES = """l AS MATERIALIZED (SELECT sa AS x, sb AS y FROM crossed UNION SELECT sb, sa FROM crossed),
 reach(x, y) AS (SELECT DISTINCT skeleton, skeleton FROM sources UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
 series AS MATERIALIZED (SELECT x AS skeleton, arg_min(y, (length(y), y)) AS series FROM reach GROUP BY 1)"""
 
@@ -101,7 +102,7 @@ SELECT DISTINCT CASE WHEN sa > sb THEN b ELSE a END AS path FROM p WHERE sa <> s
     "volume_sample": f"WITH {IMAGES}, {_SAMPLE} SELECT folder, path, rank FROM sample WHERE rank <= 12",
     "volume_cross_name": f"WITH {IMAGES}, {_SAMPLE}, {_CROSS} SELECT DISTINCT a, b FROM crossed",
     "volume_match_ratio": f"""WITH RECURSIVE {IMAGES}, {_SAMPLE}, {_CROSS},
-hs AS MATERIALIZED (SELECT folder, list(phash ORDER BY rank) AS h FROM sample WHERE rank <= 50 GROUP BY 1),
+hs AS MATERIALIZED (SELECT folder, list(phash ORDER BY rank) AS h FROM sample WHERE rank <= 12 GROUP BY 1),
 p AS MATERIALIZED (SELECT a, b, x.h AS ha, y.h AS hb FROM (SELECT DISTINCT a, b FROM crossed) JOIN hs x ON x.folder = a JOIN hs y ON y.folder = b),
 w(a, b, i, used) AS (
   SELECT a, b, 0::BIGINT, []::BIGINT[] FROM p

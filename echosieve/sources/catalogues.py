@@ -30,8 +30,10 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str, low: int, hi
 def download_urls(spark: SparkSession, path: str, host: str) -> DataFrame:
     """Completed downloads of a host: (name, url), names as folders spell them, the last URL of each."""
     rows = spark.read.schema("Name string, Url string, Command string").option("multiLine", True).json(path)
+    # A list is one document and so one task, in which rows are numbered as they come.
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
     kept = rows.where((F.col("Command") == "Completed") & F.contains("Url", F.lit(host)) & (F.coalesce(F.trim("Name"), F.lit("")) != ""))
-    return kept.groupBy(sanitized(F.col("Name")).alias("name")).agg(F.max("Url").alias("url"))
+    return kept.groupBy(sanitized(F.col("Name")).alias("name")).agg(F.max_by("Url", "place").alias("url"))
 
 
 def _first_text(value: object) -> str | None:

@@ -26,10 +26,22 @@ def queue(rows: DataFrame, path: str) -> None:
 
 
 def flushed(spark: SparkSession, known: DataFrame, path: str, key: str) -> DataFrame:
-    """The known rows with what is queued merged in; a row that was queued twice counts by its greatest values."""
+    """The known rows with what is queued merged in.
+
+    Of rows queued twice the last one counts, whole: that of the latest file, and in it of the last line.
+    """
     waiting = spark.read.schema(known.schema).json(path)
-    last = waiting.groupBy(key).agg(*(F.max(c).alias(c) for c in known.columns if c != key)).select(*known.columns)
-    return dashboard(known, last, key)
+    place = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    rest = [c for c in known.columns if c != key]
+    last = waiting.select("*", place.alias("_place")).groupBy(key).agg(F.max_by(F.struct(*rest), "_place").alias("_last"))
+    return dashboard(known, last.select(*(F.col(key) if c == key else F.col(f"_last.{c}").alias(c) for c in known.columns)), key)
+
+
+def emptied(spark: SparkSession, path: str) -> None:
+    """Delete a queue that has been delivered, so that the next delivery doesn't repeat it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def quick_digests(spark: SparkSession, root: str) -> DataFrame:

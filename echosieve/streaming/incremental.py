@@ -14,12 +14,12 @@ def rows(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def upsert(stream: DataFrame, snapshots: Snapshots, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into the snapshots until what there is now is read."""
+def upsert(stream: DataFrame, snapshots: Snapshots, checkpoint: str, newest: str | None = None) -> StreamingQuery:
+    """Merge each batch into the snapshots until what there is now is read; see :meth:`Snapshots.merge`."""
 
     def merge(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            snapshots.merge(batch)
+            snapshots.merge(batch, newest)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -107,7 +107,7 @@ def test_prefix_delete_spares_siblings(spark):
 def test_metadata_spares_hashes_that_live(spark):
     cat = spark.createDataFrame([(1, "h1", "deleted", 0), (2, "h1", "ok", 1), (3, "h2", "file_deleted", 0), (4, "h3", "ok", 1)], "path long, hash string, status string, exist int")
     meta = spark.createDataFrame([("h1", "x"), ("h2", "x"), ("h3", "deleted")], "hash string, status string")
-    assert {(r.hash, r.new) for r in sync.metadata_changes(cat, meta).collect()} == {("h2", "file_deleted"), ("h3", "non-tag")}
+    assert {(r.hash, r.new) for r in sync.metadata_changes(cat, meta).collect()} == {("h2", "file_deleted"), ("h3", "tagged")}
 
 
 def test_sync_with_and_without_optional_columns(spark):
