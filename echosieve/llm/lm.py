@@ -7,22 +7,30 @@ its parent, the context without its first word, predicts; all suffixes of a stat
 symbols after a state keep their discounted share, and the rest is shared as the parent shares it; at the
 root, unseen words are one symbol with the share that discounting words leaves. The longest state predicts.
 
-A window is a run of symbols of one text, named by a hash; without its last symbol it is the context of that
-symbol, without its first one it is the same symbol after the context's parent. The tree is a table of windows.
+A window is a run of symbols of one text; without its last symbol it is the context of that symbol, without
+its first one it is the same symbol after the context's parent, and a hash of the names of those two names it.
+
+Texts are dealt into blocks, and what the corpus knows of a block's windows comes back to the block: it asks
+with the sorted names of its different windows, cut by ranges into parts; a part sums the counts of all
+blocks and answers each in the order it asked. A window is asked for only where both its parts are kept, so
+longer windows are ever fewer, and names cross the network as plain arrays. Each pass is written before the
+next, and its shuffles deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
-from .text import mix, word_hashes
+from .storage import dropped, written
+from .text import COPIES, collapsed, copied, mix, word_hashes
 
 _U = np.uint64
 #: Hashes that stand for a text's start and end; no word's, but by a chance of one in 2**64.
@@ -47,8 +55,8 @@ class Tree:
     discount: float = 0.75
 
 
-#: Bytes of text in a block that is scored with a dictionary of its own.
-BLOCK_BYTES = 6 << 20
+#: Bytes of text in a block, and bytes of text whose windows' names make up a part.
+BLOCK_BYTES, PART_BYTES = 6 << 20, 12 << 20
 #: Tokens that a counting task holds before it sums and passes them on.
 HELD_TOKENS = 1 << 21
 
@@ -106,19 +114,28 @@ def _sequences(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return flat, starts
 
 
-def _windows(flat: np.ndarray, starts: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1: the positions where a window of it ends, and the windows' keys.
+#: The primes of the 64-bit xxHash.
+_PRIMES = [_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hashed(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """The 64-bit xxHash of whole integers, as the session's ``xxhash64`` has it."""
+    one, two, three, four, five = _PRIMES
+    turned = values * two
+    turned = (turned << _U(31) | turned >> _U(33)) * one
+    out = seed + (five + _U(8)) ^ turned
+    out = (out << _U(27) | out >> _U(37)) * one + four
+    out = (out ^ out >> _U(33)) * two
+    out = (out ^ out >> _U(29)) * three
+    return out ^ out >> _U(32)
 
-    A window of one symbol is named by the symbol.
-    """
-    back = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
-    at, key = np.arange(len(flat)), flat
-    yield at, key
-    for n in range(2, longest + 1):
-        far = back[at] >= n - 1
-        at, key = at[far], key[far]
-        key = mix(key * _STEP + flat[at - n + 1] + _U(n))
-        yield at, key
+
+def named(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The names of windows by those of their two parts: ``xxhash64(ctx, low)``."""
+    out = np.empty(len(ctx), dtype=_U)
+    for i in range(0, len(ctx), 1 << 14):  # short arrays stay near the processor
+        out[i : i + (1 << 14)] = _hashed(low[i : i + (1 << 14)], _hashed(ctx[i : i + (1 << 14)], _U(42)))
+    return out
 
 
 class Index:
@@ -148,43 +165,6 @@ class Index:
         return out
 
 
-def window_counts(docs: DataFrame, longest: int) -> DataFrame:
-    """How often training texts have each window of 2 to ``longest`` symbols: (n, g, ctx, low, c).
-
-    ``ctx`` is the window without its last symbol, ``low`` without its first one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(n: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            none = np.zeros(0, dtype=_U)
-            g, ctx, low = (np.concatenate([none, *(p[i] for p in parts)]).view(np.int64) for i in range(3))
-            order = np.argsort(g)
-            g = g[order]
-            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), dtype=bool), g[1:] != g[:-1])))
-            first, counts = order[at], np.diff(np.append(at, len(g)))
-            length = np.full(len(at), n, dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (length, g[at], ctx[first], low[first], counts)], ["n", "g", "ctx", "low", "c"])
-
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in range(2, longest + 1)}
-        for b in batches:
-            for _, words, at in word_hashes(b.column("text")):
-                flat, starts = _sequences(words, at)
-                before = flat
-                for n, (place, keys) in enumerate(_windows(flat, starts, longest), 1):
-                    full = np.zeros(len(flat), dtype=_U)
-                    full[place] = keys
-                    if n > 1:
-                        held[n].append((keys, before[place - 1], before[place]))
-                    before = full
-                if sum(len(p[0]) for p in held.get(2, [])) > HELD_TOKENS:
-                    yield from map(summed, held, held.values())
-                    held = {n: [] for n in held}
-        yield from map(summed, held, held.values())
-
-    found = docs.where("not held_out").select("text").mapInArrow(run, "n int, g long, ctx long, low long, c long")
-    return found.groupBy("n", "g").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("c").alias("c"))
-
-
 @dataclass(frozen=True)
 class Root:
     """The sizes of the training texts, and what the tree's root says."""
@@ -202,93 +182,293 @@ class Root:
         return np.where(counts > 0, known, np.log10(self.unseen))
 
 
-class Model:
-    """The part of a tree that some texts need: log10 values of windows after states, and of states' rests."""
+def _bounds(start: Root, how: Tree) -> tuple[float, float]:
+    """How often a context, and a window, must occur."""
+    return max(how.least, how.rare * start.tokens), max(how.least, how.rare / 16 * start.tokens)
 
-    def __init__(self, start: Root, facts: pa.Table, depth: int) -> None:
-        g, p, rest = (facts.column(c).to_numpy() for c in ("g", "p", "rest"))
-        g, entry, state = g.view(_U), ~np.isnan(p), ~np.isnan(rest)
-        self.start, self.depth = start, depth
-        self.entries, self.values = Index(g[entry]), p[entry]
-        self.states, self.rest = Index(g[state]), rest[state]
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return self.start.chances(counts)
+def predicted(c: list[np.ndarray], rest: list[np.ndarray], root: np.ndarray, starts: np.ndarray, discount: float) -> np.ndarray:
+    """log10 of each symbol's chance after its longest state; 0 at texts' starts.
 
-    def predict(self, flat: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's chance after its longest state; ``root``: its chance without context."""
-        entry, state = ([np.full(len(flat), -1, dtype=np.int64) for _ in range(self.depth + 2)] for _ in range(2))
-        for n, (at, keys) in enumerate(_windows(flat, starts, self.depth + 1), 1):
-            entry[n][at] = self.entries.find(keys)
-            state[n][at] = self.states.find(keys)
-        out, open_ = np.zeros(len(flat)), np.ones(len(flat), dtype=bool)
-        open_[starts] = False
-        for n in range(self.depth, 0, -1):
-            left = np.flatnonzero(open_)
-            left = left[state[n][left - 1] >= 0]
-            at = entry[n + 1][left]
-            known = at >= 0
-            out[left[known]] += self.values[at[known]]
-            open_[left[known]] = False
-            left = left[~known]
-            out[left] += self.rest[state[n][left - 1]]
-        out[open_] += root[open_]
-        return out
+    For windows of n symbols by where they end: ``c[n]`` is how often training texts have them, 0 for those not
+    kept, ``rest[n]`` their rest as states, not a number for those that are none. ``root``: log10 of each symbol's
+    chance without context.
+    """
+    chance = [np.zeros(0), 10.0**root]
+    for n in range(2, len(c)):
+        own = np.zeros(len(root))
+        at = np.flatnonzero(c[n] > 0)
+        at = at[~np.isnan(rest[n - 1][at - 1])]
+        own[at] = (c[n][at] - discount) / c[n - 1][at - 1] + rest[n - 1][at - 1] * chance[n - 1][at]
+        chance.append(own)
+    out, open_ = np.zeros(len(root)), np.ones(len(root), dtype=bool)
+    open_[starts] = False
+    for n in range(len(c) - 2, 0, -1):
+        left = np.flatnonzero(open_)
+        left = left[~np.isnan(rest[n][left - 1])]
+        known = c[n + 1][left] > 0
+        out[left[known]] += np.log10(chance[n + 1][left[known]])
+        open_[left[known]] = False
+        left = left[~known]
+        out[left] += np.log10(rest[n][left - 1])
+    out[open_] += root[open_]
+    return out
+
+
+class Block:
+    """The texts of a block and their windows, length by length as far as there are answers.
+
+    ``c[n]`` has, by where a window of n symbols ends, how often training texts have it, 0 if it isn't kept.
+    ``names``, ``at`` and ``place`` are the different windows of the first length without an answer, where all
+    of them end, and which one ends there.
+    """
 
+    def __init__(self, texts: pa.Array, answers: dict[int, np.ndarray], least: float, longest: int) -> None:
+        flats, starts, size = [], [], 0
+        for _, words, at in word_hashes(texts):
+            flat, own = _sequences(words, at)
+            flats.append(flat)
+            starts.append(own + size)
+            size += len(flat)
+        self.flat, self.starts = np.concatenate(flats), np.concatenate(starts)
+        self.text = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, size)))
+        back = np.arange(size) - self.starts[self.text]
+        self.c, self.keys, self.owned = [np.zeros(0, dtype=np.int64)], [self.flat], []
+        self.at = np.arange(size)
+        for n in range(1, longest + 1):
+            if n > 1:
+                kept, ctx = self.c[n - 1], self.keys[n - 1]
+                self.at = np.flatnonzero((back >= n - 1) & (kept > 0))
+                self.at = self.at[kept[self.at - 1] >= least]
+                full = np.zeros(size, dtype=_U)
+                full[self.at] = named(ctx[self.at - 1], ctx[self.at])
+            else:
+                full = self.flat
+            self.keys.append(full)
+            self.names, self.place = np.unique(full[self.at], return_inverse=True)
+            if n not in answers and len(self.names):
+                return
+            totals = answers.get(n, np.zeros(0, dtype=np.int64))
+            found = np.zeros(size, dtype=np.int64)
+            found[self.at] = np.abs(totals)[self.place]
+            self.c.append(found)
+            first = np.zeros(len(self.names), dtype=np.int64)
+            first[self.place[::-1]] = self.at[::-1]
+            self.owned.append(first[totals < 0])
+
+
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Pieces of an array as binary values."""
+    data = np.ascontiguousarray(data)
+    ends = (np.append(cuts, len(data)) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Binary values, one behind the other, as an array."""
+    parts = [np.frombuffer(b"", dtype=kind)]
+    for chunk in column.chunks:
+        _, ends, data = chunk.buffers()
+        at = np.frombuffer(ends, dtype=np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and at[-1] > at[0]:
+            parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(kind))
+    return np.concatenate(parts)
+
+
+def _asked(block: int, names: np.ndarray, counts: np.ndarray | None, parts: int) -> pa.Table:
+    """A row for each part that sorted names fall into: (part, block, names, counts)."""
+    part = ((names >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), dtype=bool), part[1:] != part[:-1])))
+    columns = {"part": pa.array(part[cuts]), "block": pa.array(np.full(len(cuts), block, dtype=np.int64)), "names": _binary(names, cuts)}
+    return pa.table(columns | ({} if counts is None else {"counts": _binary(counts, cuts)}))
+
+
+def _answers(table: pa.Table) -> dict[int, np.ndarray]:
+    """The answers to a block, by length, in the order it asked."""
+    if not table.num_rows:
+        return {}
+    table = table.sort_by([("n", "ascending"), ("part", "ascending")])
+    return {n: _joined(table.filter(pa.compute.equal(table.column("n"), n)).column("totals"), np.int64) for n in pa.compute.unique(table.column("n")).to_pylist()}
+
+
+_ANSWER = "n int, part long, block long, totals binary, different long, tokens long, one long, two long"
+
+
+def _summed_parts(asked: DataFrame, n: int, floor: float) -> DataFrame:
+    """Answers to ``asked(part, block, names, counts)``: totals of names, 0 for those under ``floor``.
+
+    A total is below zero for the one block that shall speak for the name. For words a row of block -1 tells
+    how many different ones training texts have, how many in all, and how many once and twice.
+    """
 
-def tree(rows: DataFrame, words: DataFrame, how: Tree) -> tuple[Root, DataFrame]:
-    """Learn from the training texts of ``rows(held_out, text)`` and the counts of all words.
+    def run(table: pa.Table) -> pa.Table:
+        names, counts = _joined(table.column("names"), _U), _joined(table.column("counts"), np.int32)
+        sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]) for c in table.column("names").chunks]) // 8
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        totals = np.add.reduceat(counts[order].astype(np.int64), at)
+        kept = np.where(totals >= floor, totals, 0)
+        out = np.empty(len(names), dtype=np.int64)
+        out[order] = np.repeat(kept, np.diff(np.append(at, len(names))))
+        out[order[at]] = -kept
+        rows = len(sizes)
+        cuts = np.cumsum(sizes) - sizes
+        word = (names[at] != START) & (names[at] != END) & (totals > 0)
+        facts = [int(word.sum()), int(totals[word].sum()), int((totals[word] == 1).sum()), int((totals[word] == 2).sum())]
+        part = table.column("part")[0].as_py()
+        columns = {
+            "n": pa.array([n] * (rows + 1), pa.int32()), "part": pa.array([part] * (rows + 1), pa.int64()),
+            "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([-1], pa.int64())]),
+            "totals": pa.concat_arrays([_binary(out, cuts), pa.array([b""], pa.binary())]),
+        }
+        return pa.table(columns | {k: pa.array([0] * rows + [v], pa.int64()) for k, v in zip(("different", "tokens", "one", "two"), facts, strict=True)})
+
+    return asked.groupBy("part").applyInArrow(run, _ANSWER)
+
+
+def _told(dealt: DataFrame, answers: list[DataFrame], run: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """``run`` over each block's rows and the answers it got so far."""
+    if not answers:
+        return dealt.groupBy("block").applyInArrow(lambda rows: run(rows, {}), schema)
+    got = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals")
+    both = dealt.groupBy("block").cogroup(got.groupBy("block"))
+    return both.applyInArrow(lambda rows, told: run(rows, _answers(told)), schema)
+
+
+def _ask(dealt: DataFrame, answers: list[DataFrame], n: int, least: float, parts: int) -> DataFrame:
+    def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
+        block = Block(rows.column("text"), told, least, n)
+        times = np.where(rows.column("held_out").to_numpy(zero_copy_only=False), 0, rows.column("times").to_numpy())
+        counts = np.bincount(block.place, weights=times[block.text[block.at]], minlength=len(block.names)).astype(np.int32)
+        return _asked(rows.column("block")[0].as_py(), block.names, counts, parts)
+
+    return _told(dealt, answers, run, "part long, block long, names binary, counts binary")
+
+
+def _spoken(dealt: DataFrame, answers: list[DataFrame], start: Root, how: Tree) -> DataFrame:
+    """Every kept window of two symbols or more, once: (n, ctx, low, c, total, up).
+
+    ``total`` is the context's count, and ``up`` the chance of a single symbol without context, else null.
+    """
+    least, longest = _bounds(start, how)[0], how.depth + 1
 
-    Returns the root and a row for each word and each window that the tree needs: (g, c, p, rest), with
-    the count of a word, log10 of the last symbol's chance after a state, and log10 of a state's rest. A
-    value that isn't there is null, or 0 for c. The table is as large as the corpus makes it and stays in parts.
+    def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
+        block = Block(rows.column("text"), told, least, longest)
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for n in range(2, len(block.c)):
+            at = block.owned[n - 1]
+            up = (block.c[1][at] - start.discount) / max(1, start.tokens) if n == 2 else np.full(len(at), np.nan)
+            columns = (np.full(len(at), n, dtype=np.int32), block.keys[n - 1][at - 1].view(np.int64), block.keys[n - 1][at].view(np.int64), block.c[n][at], block.c[n - 1][at - 1], up)
+            for into, of in zip(out, columns, strict=True):
+                into.append(of)
+        joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({k: pa.array(x, t, from_pandas=True) for k, x, t in zip(("n", "ctx", "low", "c", "total", "up"), joined, types, strict=True)})
+
+    return _told(dealt, answers, run, "n int, ctx long, low long, c long, total long, up double")
+
+
+def dealt_out(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows(doc_id, held_out, text)`` with a block for each, repeated rows once with ``times``; and the most times.
+
+    Blocks are of about ``BLOCK_BYTES``.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    once, most = collapsed(rows)
+    return once.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("long")), most
+
+
+def tree(dealt: DataFrame, how: Tree) -> tuple[Root, list[DataFrame], DataFrame, DataFrame]:
+    """Learn from the training texts of :func:`dealt_out`.
+
+    Returns the root; the answers to all blocks, by length of windows; the kept windows (n, ctx, low, c, total,
+    up); and the states (g, rest): names of contexts with the share of what isn't kept. All are written tables in
+    parts, as large as the corpus makes them.
     """
-    spark = rows.sparkSession
-    texts = rows.where("not held_out").count()
-    found = words.where("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    tokens, different = (found.n or 0) + texts, found.v + bool(texts)
-    discount = min(0.95, max(0.05, found.one / max(1, found.one + 2 * found.two)))
+    size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    texts = dealt.where("not held_out").agg(F.sum("times")).first()[0] or 0
+    answers = [written(_summed_parts(_ask(dealt, [], 1, 0, parts), 1, 1), "answers")]
+    found = answers[0].agg(*(F.sum(c).alias(c) for c in ("different", "tokens", "one", "two"))).first()
+    tokens, different = (found.tokens or 0) + texts, (found.different or 0) + bool(texts)
+    discount = min(0.95, max(0.05, (found.one or 0) / max(1, (found.one or 0) + 2 * (found.two or 0))))
     start = Root(texts, tokens, different, discount * different / tokens if tokens else 1.0, discount)
-    least, floor = max(how.least, how.rare * tokens), max(how.least, how.rare / 16 * tokens)
+    least, floor = _bounds(start, how)
+    for n in range(2, how.depth + 2):
+        answers.append(written(_summed_parts(_ask(dealt, answers, n, least, parts), n, floor), "answers"))
+    windows = written(_spoken(dealt, answers, start, how), "windows")
 
-    edges = spark.createDataFrame([(int(x.view(np.int64)), texts) for x in (START, END)], "g long, c long")
-    single = words.select(F.col("h").alias("g"), "c").unionByName(edges).where("c > 0")
-    level = single.select("g", "c", ((F.col("c") - discount) / max(1, tokens)).alias("p"))
-    counted = written(window_counts(rows, how.depth + 1).where(F.col("c") >= floor), "windows")
-    levels, grown = [], []
+    c, t, m = F.col("c"), F.col("total"), F.col("m")
+    name, above, grown = F.xxhash64("ctx", "low").alias("g"), None, []
     for n in range(2, how.depth + 2):
-        total = level.where(F.col("c") >= least).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
-        parent = level.select(F.col("g").alias("low"), F.col("p").alias("up"))
-        own = written(counted.where(F.col("n") == n).drop("n").join(total, "ctx").join(parent, "low"), "own")
-        c, t = F.col("c"), F.col("total")
-        sums = own.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("s"), F.max("total").alias("t"), F.sum(c * F.log(c / t / F.col("up"))).alias("gain"))
-        rest = ((F.col("t") - F.col("s") + how.discount * F.col("m")) / F.col("t")).alias("rest")
-        sums = written(sums.select("ctx", rest, (F.col("gain") > how.gain * (1 + F.col("m"))).alias("state")), "contexts")
-        smooth = ((c - how.discount) / t + F.col("rest") * F.col("up")).alias("p")
-        level = written(own.join(sums, "ctx").select("g", "ctx", "low", "c", smooth), "level")
-        levels.append(level)
-        grown.append(sums)
+        own = windows.where(F.col("n") == n)
+        if above is not None:
+            own = written(own.drop("up").join(above, "low"), "own")
+            dropped(above)
+        gain = F.sum(c * F.log(c / t / F.col("up")))
+        sums = own.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("s"), F.max("total").alias("t"), gain.alias("gain"))
+        rest = ((F.col("t") - F.col("s") + how.discount * m) / F.col("t")).alias("rest")
+        grown.append(written(sums.select("ctx", rest, (F.col("gain") > how.gain * (1 + m)).alias("state")), "contexts"))
+        if n <= how.depth:
+            smooth = (c - how.discount) / t + F.col("rest") * F.col("up")
+            above = written(own.join(grown[-1], "ctx").select(F.xxhash64("ctx", "low").alias("low"), smooth.alias("up")), "chances")
+        if n > 2:
+            dropped(own)
     # All suffixes of a state are states; longest first.
-    null = F.lit(None).cast("double")
-    facts = single.select("g", "c", null.alias("p"), null.alias("rest"))
-    longer = None
-    for i in range(len(levels) - 1, -1, -1):
-        states = grown[i].where("state").select("ctx")
+    out, longer = [], None
+    for n in range(how.depth + 1, 1, -1):
+        states = grown[n - 2].where("state").select("ctx")
         if longer is not None:
-            states = states.unionByName(longer)
-        states = written(states.distinct(), "states")
-        rests = grown[i].join(states, "ctx", "left_semi").select(F.col("ctx").alias("g"), F.lit(0).cast("long").alias("c"), null.alias("p"), F.log10("rest").alias("rest"))
-        entries = levels[i].join(states, "ctx", "left_semi").select("g", F.lit(0).cast("long").alias("c"), F.log10("p").alias("p"), null.alias("rest"))
-        facts = facts.unionByName(entries).unionByName(rests)
-        if i:
-            longer = levels[i - 1].join(states.select(F.col("ctx").alias("g")), "g", "left_semi").select(F.col("low").alias("ctx"))
-    return start, written(facts.groupBy("g").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("rest").alias("rest")), "tree")
+            states = states.unionByName(longer).distinct()
+        kept = written(grown[n - 2].join(states, "ctx", "left_semi").select(F.col("ctx").alias("g"), "rest"), "states")
+        if n > 2:
+            longer = windows.where(F.col("n") == n - 1).select(name, F.col("low").alias("ctx")).join(kept, "g", "left_semi").select("ctx")
+        out.append(kept)
+    states = written(reduce(DataFrame.unionByName, out), "rests")
+    dropped(*out, *grown)
+    return start, answers, windows, states
+
+
+class Model:
+    """A whole tree, held here."""
+
+    def __init__(self, start: Root, windows: tuple[np.ndarray, np.ndarray], states: tuple[np.ndarray, np.ndarray], how: Tree) -> None:
+        self.start, self.how = start, how
+        self.windows, self.counts = Index(windows[0]), np.append(windows[1], 0)
+        self.states, self.rest = Index(states[0]), np.append(states[1], np.nan)
+
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        return self.start.chances(counts)
+
+    def predict(self, flat: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """log10 of each symbol's chance after its longest state; ``root``: its chance without context."""
+        back = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
+        c, rest, keys = [np.zeros(0)], [np.zeros(0)], flat
+        for n in range(1, self.how.depth + 2):
+            at = np.flatnonzero(back >= n - 1)
+            if n > 1:
+                own = np.zeros(len(flat), dtype=_U)
+                own[at] = named(keys[at - 1], keys[at])
+                keys = own
+            c.append(np.zeros(len(flat), dtype=np.int64))
+            rest.append(np.full(len(flat), np.nan))
+            c[n][at] = self.counts[self.windows.find(keys[at])]
+            rest[n][at] = self.rest[self.states.find(keys[at])]
+        return predicted(c, rest, root, starts, self.how.discount)
 
 
 def learn(rows: DataFrame, words: DataFrame, how: Tree) -> Model:
-    """The whole tree of a small corpus, held here."""
-    start, facts = tree(rows, words, how)
-    return Model(start, facts.toArrow(), how.depth)
+    """The whole tree of a small corpus ``rows(held_out, text)``, whose words' counts are ``words(h, c)``."""
+    dealt, _ = dealt_out(rows.select(F.lit(0).cast("long").alias("doc_id"), "held_out", F.coalesce("text", F.lit("")).alias("text")))
+    start, answers, windows, states = tree(dealt, how)
+    edges = np.array([START, END], dtype=_U)
+    found, held, own = windows.toArrow(), words.where("c > 0").toArrow(), states.toArrow()
+    integers = lambda table, c: table.column(c).to_numpy().astype(np.int64)
+    names = [integers(held, "h").view(_U), edges, named(integers(found, "ctx").view(_U), integers(found, "low").view(_U))]
+    counts = [integers(held, "c"), np.full(2, start.texts), integers(found, "c")]
+    dropped(*answers, windows, states)
+    return Model(start, (np.concatenate(names), np.concatenate(counts)), (integers(own, "g").view(_U), own.column("rest").to_numpy()), how)
 
 
 def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
@@ -300,52 +480,71 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
     Null and empty texts are one end. Rows that repeat are texts each. Without training texts nothing is
     known, ``train_tokens`` is 0 and all scores are 0. No rows, none.
 
-    Counts are summed in each task before they are shuffled. Texts are dealt once into blocks of about
-    ``BLOCK_BYTES``; a block's different windows fetch their part of the tree by a join on the window, so
-    neither a vocabulary nor a text nor the tree is broadcast or held whole.
+    Rows that repeat doc_id and text are read once, whatever their number, and count as often as they occur.
+    Neither a vocabulary nor a text nor the tree is broadcast or held whole: a task holds a block of texts with
+    the answers to it, or a part of all names.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), unseen_fold(F.col("doc_id")).alias("held_out"), text.alias("text"))
+    dealt, most = dealt_out(rows)
+    start, answers, windows, states = tree(dealt, how)
+    dropped(windows)
+    least, longest = _bounds(start, how)[0], how.depth + 1
+    tokens, divisor = start.tokens, float(start.tokens + start.different + 1)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = written(word_counts(rows.select("held_out", "text")), "words")
-    start, facts = tree(rows.select("held_out", "text"), words, how)
-    tokens, divisor, longest = start.tokens, float(start.tokens + start.different + 1), how.depth + 1
-    key = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("int")
-    dealt = rows.withColumn("block", key).groupBy("block")
-
-    def different_windows(table: pa.Table) -> pa.Table:
-        own: list[list[np.ndarray]] = [[] for _ in range(longest)]
-        for _, words, at in word_hashes(table.column("text")):
-            for into, (_, keys) in zip(own, _windows(*_sequences(words, at), longest), strict=True):
-                into.append(np.unique(keys))
-        keys = np.concatenate([np.unique(np.concatenate(x)) for x in own]).view(np.int64)
-        block = np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int32)
-        return pa.table({"block": pa.array(block), "g": pa.array(keys)})
-
-    def score(part: pa.Table, held: pa.Table) -> pa.Table:
-        model, c = Model(start, held, how.depth), held.column("c").to_numpy()
-        index, c = Index(held.column("g").to_numpy()[c > 0].view(_U)), np.append(c[c > 0], 0)
-        sums: list[list[np.ndarray]] = [[], [], [], []]
-        for _, words, at in word_hashes(part.column("text")):
-            flat, starts = _sequences(words, at)
-            counts = c[index.find(flat)]
-            ones = np.ones(len(flat))
-            ones[starts] = 0.0
-            base = np.log10((counts + 1) / divisor)
-            values = (ones, ones * (counts > 0), ones * base, model.predict(flat, starts, model.root(counts)))
-            for into, of in zip(sums, values, strict=True):
-                into.append(np.add.reduceat(of, starts))
-        n, known, b, p = (np.concatenate(s) for s in sums)
+    parts = max(1, -(-size // PART_BYTES))
+
+    def contexts(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
+        block = Block(rows.column("text"), told, least, longest)
+        names = np.unique(np.concatenate([block.keys[n][block.c[n] > 0] for n in range(1, longest)]))
+        return _asked(rows.column("block")[0].as_py(), names, None, parts)
+
+    def rests(asked: pa.Table, known: pa.Table) -> pa.Table:
+        index = Index(known.column("g").to_numpy().astype(np.int64).view(_U))
+        rest = np.append(known.column("rest").to_numpy(), np.nan)
+        if not asked.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "rest": pa.array([], pa.binary())})
+        names = _joined(asked.column("names"), _U)
+        sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]) for c in asked.column("names").chunks]) // 8
+        found = index.find(names)
+        own = np.repeat(np.arange(len(sizes)), sizes)[found >= 0]
+        cuts = np.searchsorted(own, np.arange(len(sizes)))
+        return pa.table({"block": asked.column("block"), "names": _binary(names[found >= 0], cuts), "rest": _binary(rest[found[found >= 0]], cuts)})
+
+    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(rows.column("text"), _answers(told.filter(pa.compute.is_valid(told.column("totals")))), least, longest)
+        mine = told.filter(pa.compute.is_valid(told.column("names")))
+        names, found = (_joined(mine.column(c), k) for c, k in (("names", _U), ("rest", np.float64)))
+        index, found = Index(names), np.append(found, np.nan)
+        rest = [np.zeros(0)]
+        for n in range(1, longest):
+            rest.append(np.full(len(block.flat), np.nan))
+            at = np.flatnonzero(block.c[n] > 0)
+            rest[n][at] = found[index.find(block.keys[n][at])]
+        ones = np.ones(len(block.flat))
+        ones[block.starts] = 0.0
+        counts = block.c[1]
+        values = (ones, ones * (counts > 0), ones * np.log10((counts + 1) / divisor), predicted(block.c, rest, start.chances(counts), block.starts, how.discount))
+        n, known, b, p = (np.add.reduceat(x, block.starts) for x in values)
         return pa.table(
             {
-                "doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
+                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"),
                 "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)),
-                "base_score": pa.array(b), "score": pa.array(p),
+                "base_score": pa.array(b), "score": pa.array(p), "times": rows.column("times"),
             }
         )
 
-    wanted = dealt.applyInArrow(different_windows, "block int, g long")
-    got = wanted.join(facts, "g").select("block", "g", "c", "p", "rest")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.cogroup(got.groupBy("block")).applyInArrow(score, schema)
+    asked = _told(dealt, answers, contexts, "part long, block long, names binary")
+    part = F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(parts), 32).alias("part")
+    answered = asked.groupBy("part").cogroup(states.select(part, "g", "rest").groupBy("part")).applyInArrow(rests, "block long, names binary, rest binary")
+    answered = written(answered, "rests")
+    dropped(states)
+    null = F.lit(None)
+    told = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals", null.cast("binary").alias("names"), null.cast("binary").alias("rest"))
+    told = told.unionByName(answered.select(null.cast("int").alias("n"), null.cast("long").alias("part"), "block", null.cast("binary").alias("totals"), "names", "rest"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
+    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
+    out = written(out, "scores")
+    dropped(*answers, answered)
+    return copied(out, F.col("times"), "_copy", most > COPIES).drop("times", "_copy") if most > 1 else out.drop("times")

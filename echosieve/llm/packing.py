@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import collapsed, expanded
+from .text import COPIES, collapsed, copied
 
 #: Fixed value: the pattern by which byte-level vocabularies of this family cut a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -134,8 +134,8 @@ def packed(docs: DataFrame, how: Packing = Packing()) -> DataFrame:  # noqa: B00
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    once, again = collapsed(rows)
-    rows = once.withColumn("copy", F.lit(0).cast("long")) if again is None else expanded(once, again, "copy")
+    once, most = collapsed(rows)
+    rows = copied(once, F.col("times"), "copy", most > COPIES).drop("times")
     shard = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), "copy"), F.lit(shards)).cast("int")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(how.ranks))
 

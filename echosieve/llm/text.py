@@ -124,38 +124,34 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 COPIES = 1 << 16
 
 
-def collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ``rows(doc_id, text, ...)`` with those that repeat doc_id and text once, and how often those occur.
+def collapsed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``rows(doc_id, text, ...)``, those that repeat doc_id and text once, with ``times``; and the most times.
 
-    If none repeats, the rows as they are and None. Otherwise rows get a column ``mark``, the text's hash;
-    of those that repeat one stays, summed in each task before any is moved, so a row that makes up much
-    of a table costs no task more than others.
+    Repeats are found by the text's hash and summed in each task before any is moved, so a row that makes up
+    much of a table costs no task more than others.
     """
-    marked = rows.withColumn("mark", F.xxhash64("text"))
-    again = written(marked.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeats")
-    if not again.limit(1).count():
-        return rows, None
-    keys = again.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
-    single = marked.join(keys, same, "left_anti")
+    marked = rows.withColumn("_mark", F.xxhash64("text"))
+    again = written(marked.groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeats")
+    most = again.agg(F.max("times")).first()[0] or 1
+    once = F.lit(1).cast("long").alias("times")
+    if most == 1:
+        return rows.select("*", once), 1
+    keys = again.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_same"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_same"))
+    single = marked.join(keys, same, "left_anti").select(*rows.columns, once)
     rest = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "text")]
-    repeated = marked.join(keys, same, "left_semi").groupBy("doc_id", "mark").agg(F.first("text").alias("text"), *rest)
-    return single.unionByName(repeated.select(*single.columns)), again
+    repeated = marked.join(keys, same, "left_semi").groupBy("doc_id", "_mark").agg(F.first("text").alias("text"), *rest, F.count(F.lit(1)).alias("times"))
+    return single.unionByName(repeated.select(*single.columns)), most
 
 
 def copied(rows: DataFrame, times: Column, number: str, many: bool) -> DataFrame:
-    """Each row as often as ``times`` says, numbered from 0 in ``number``; with ``many``, copies are made by many tasks."""
+    """Undo :func:`collapsed`: each row as often as ``times`` says, numbered from 0 in ``number``.
+
+    With ``many``, copies are made by many tasks.
+    """
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(times, F.lit(1)) - 1, F.lit(COPIES).cast("long"))).alias("_first")
     chunks = rows.select("*", times.alias("_times"), first)
     if many:
         chunks = chunks.repartition("_first", "doc_id")
     last = F.least(F.col("_first") + COPIES, F.col("_times")) - 1
     return chunks.select(*(F.col(c) for c in rows.columns), F.explode(F.sequence("_first", last)).alias(number))
-
-
-def expanded(found: DataFrame, again: DataFrame, number: str = "_copy") -> DataFrame:
-    """Undo :func:`collapsed`: each row of ``found(doc_id, mark, ...)`` as often as its text occurs, numbered from 0."""
-    times = again.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "times")
-    joined = found.join(times, found.doc_id.eqNullSafe(times["_id"]) & (found.mark == times["_mark"]), "left").drop("_id", "_mark")
-    many = again.agg(F.max("times")).first()[0] > COPIES
-    return copied(joined, F.coalesce("times", F.lit(1).cast("long")), number, many).drop("mark", "times")

@@ -110,3 +110,65 @@ def test_blocks_score_as_the_whole_tree(spark, monkeypatch):
         flat = np.concatenate(([lm.START], words, [lm.END])).astype(np.uint64)
         root = model.root(np.array([counts.get(int(h), 0) for h in flat.view(np.int64)]))
         assert abs(model.predict(flat, np.array([0]), root).sum() - got[i]) < 1e-6
+
+
+def test_many_rows_of_one_doc_id(spark):
+    rows = [(777, "a b c a b", "", None, 0)] * 200 + [(None, f"a {i % 3}", "", None, 0) for i in range(150)] + corpus(3, 20)
+    got = lm.scores(frame(spark, rows)).collect()
+    left = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
+    assert left == Counter((*w[:5], round(w[5], 6)) for w in brute(rows))
+    assert len({r.score for r in got if r.doc_id == 777}) == 1
+
+
+def brute_scores(rows, how):
+    """Scores by the definition: counts of windows, states by divergence, the longest state predicts."""
+    train = [["<", *(t or "").encode().lower().split(), ">"] for i, t, *_ in rows if not held(i)]
+    counts = [Counter() for _ in range(how.depth + 2)]
+    for t in train:
+        for n in range(1, how.depth + 2):
+            counts[n].update(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    words = Counter({w: c for (w,), c in counts[1].items() if w not in ("<", ">")})
+    tokens, different = sum(words.values()) + len(train), len(words) + bool(train)
+    one, two = (sum(c == k for c in words.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, one / max(1, one + 2 * two)))
+    root = lambda s: (counts[1][s,] - discount) / tokens if counts[1][s,] and s != "<" else discount * different / tokens
+    kept, p = [{}, {w: c for w, c in counts[1].items()}], {w: (c - discount) / tokens for w, c in counts[1].items()}
+    rests, states = {}, [set() for _ in range(how.depth + 2)]
+    for n in range(2, how.depth + 2):
+        own = {w: c for w, c in counts[n].items() if c >= how.least and kept[n - 1].get(w[:-1], 0) >= how.least and w[1:] in kept[n - 1]}
+        kept.append(own)
+        by = {}
+        for w, c in own.items():
+            by.setdefault(w[:-1], []).append((w, c))
+        for ctx, after in by.items():
+            t = kept[n - 1][ctx]
+            rests[ctx] = (t - sum(c for _, c in after) + how.discount * len(after)) / t
+            if sum(c * math.log(c / t / p[w[1:]]) for w, c in after) > how.gain * (1 + len(after)):
+                states[n - 1].add(ctx)
+        p |= {w: (c - how.discount) / kept[n - 1][w[:-1]] + rests[w[:-1]] * p[w[1:]] for w, c in own.items()}
+    for n in range(how.depth, 1, -1):
+        states[n - 1] |= {ctx[1:] for ctx in states[n] if ctx in kept[n]}
+    out = []
+    for i, t, *_ in rows:
+        flat, total = ["<", *(t or "").encode().lower().split(), ">"], 0.0
+        for at in range(1, len(flat)):
+            factor, n = 1.0, how.depth
+            for n in range(min(how.depth, at), -1, -1):
+                ctx = tuple(flat[at - n : at])
+                if n == 0:
+                    total += math.log10(factor * root(flat[at]))
+                elif ctx in states[n]:
+                    if (*ctx, flat[at]) in kept[n + 1]:
+                        total += math.log10(factor * p[(*ctx, flat[at])])
+                        break
+                    factor *= rests[ctx]
+        out.append((i, total))
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rows = [*corpus(21, 80), *((500 + i, "the cat sat on the mat " * (i % 4 + 1) + f"and x{i % 5} left", "", None, 0) for i in range(60))]
+    for how in (lm.Tree(), lm.Tree(depth=2, gain=0.5), lm.Tree(gain=0.0, discount=0.3)):
+        want = sorted(brute_scores(rows, how))
+        got = sorted((r.doc_id, r.score) for r in lm.scores(frame(spark, rows), how).collect())
+        assert all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y) in zip(got, want, strict=True))
