@@ -191,17 +191,27 @@ def chosen_terms(found: Iterable[tuple[str, int, float, float]]) -> dict[str, fl
 
 
 def fit_curve(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, drawn to ``START_CURVE`` by a small ridge; no rows give that curve."""
+    """Logistic regression by Newton's method, drawn to ``START_CURVE`` by a small ridge; no rows give that curve.
+
+    A step that would not lower the loss is halved, so the fit settles from any start.
+    """
     start = np.array(START_CURVE)
-    weights = start.copy()
-    for _ in range(50):
+
+    def loss(weights: np.ndarray) -> float:
+        z = rows @ weights
+        return float(np.sum(np.logaddexp(0, z) - toxic * z) + RIDGE / 2 * np.sum((weights - start) ** 2))
+
+    weights, now = start.copy(), loss(start)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
         gradient = rows.T @ (p - toxic) + RIDGE * (weights - start)
         hessian = (rows * (p * (1 - p))[:, None]).T @ rows + RIDGE * np.eye(len(weights))
         step = np.linalg.solve(hessian, gradient)
-        weights = weights - step
+        while (after := loss(weights - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
         if np.abs(step).max() < 1e-9:
             break
+        weights, now = weights - step, after
     return tuple(float(w) for w in weights)
 
 

@@ -80,6 +80,12 @@ def test_few_labels_keep_near_the_first_curve():
     assert max(abs(a - b) for a, b in zip(one, T.START_CURVE, strict=True)) < 0.5
 
 
+def test_the_fit_settles_far_from_its_start():
+    rows, toxic = np.array([[1.0, 0.0, 0.0]] * 60), np.arange(60) % 9 == 0
+    intercept, *rest = T.fit_curve(rows, toxic)
+    assert abs(1 / (1 + math.exp(-intercept)) - toxic.mean()) < 0.01 and rest == [1.0, 1.0]
+
+
 def test_null_ids(spark, lexicon):
     docs = spark.createDataFrame([(None, "you idiot", "", None, 1), (None, None, None, None, None)], DOCS)
     assert [r.doc_id for r in T.scored(docs, lexicon).collect()] == [None, None]
