@@ -20,8 +20,9 @@ from .storage import written
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Windows that one pass broadcasts; a benchmark with more takes more passes over the documents.
-WINDOWS_A_PASS = 200_000
+#: Windows that one pass broadcasts; a benchmark with more takes more passes over the documents, and one with
+#: more than so many passes is joined by shuffles, in one pass.
+WINDOWS_A_PASS, MOST_PASSES = 200_000, 4
 
 
 def words(text: Column) -> Column:
@@ -47,14 +48,16 @@ def _rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return every.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _necessary(docs: DataFrame, wins: DataFrame, size: int, passes: int) -> DataFrame:
+def _necessary(docs: DataFrame, wins: DataFrame, passes: int) -> DataFrame:
     """Per window its rarest word and that word's place in it; unseen words are the rarest."""
     placed = wins.select("win_id", F.posexplode("win").alias("at", "word"))
-    counted = []
-    for i in range(passes):
-        vocabulary = placed.select("word").distinct().where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i)
-        counted.append(_rarity(docs, vocabulary))
-    rarity = reduce(DataFrame.unionByName, counted)
+    vocabulary = placed.select("word").distinct()
+    if passes > MOST_PASSES:
+        every = docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        rarity = every.join(vocabulary, "word", "left_semi")
+    else:
+        share = lambda i: vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(passes)) == i)
+        rarity = reduce(DataFrame.unionByName, (_rarity(docs, share(i)) for i in range(passes)))
     ranked = placed.join(rarity, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = ranked.groupBy("win_id").agg(F.min(F.struct("n", "word", "at")).alias("first"))
     return wins.join(first, "win_id").select("win_id", "win", F.size("win").alias("length"), "first.word", "first.at")
@@ -76,6 +79,42 @@ def _hits(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     return held.select("doc_id", "mark", F.size("w").alias("n_words"), start.alias("start"), "length", "win_id")
 
 
+def _joined_hits(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows of :func:`_hits` with windows, for more of them than passes may broadcast.
+
+    Words meet the necessary words by a shuffle; places that fit, which are few, then meet their documents.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col("text")).alias("w"))
+    each = listed.select("doc_id", "mark", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    placed = each.join(tokens, "word").withColumn("start", F.col("pos") + 1 - F.col("at"))
+    placed = placed.where((F.col("start") >= 1) & (F.col("start") + F.col("length") - 1 <= F.col("n_words")))
+    whole = listed.select(F.col("doc_id").alias("k1"), F.col("mark").alias("k2"), "w").dropDuplicates(["k1", "k2"])
+    held = placed.join(whole, F.col("doc_id").eqNullSafe(F.col("k1")) & (F.col("mark") == F.col("k2")))
+    held = held.where(F.slice("w", F.col("start"), F.col("length")) == F.col("win"))
+    return held.select("doc_id", "mark", "n_words", "start", "length", "win_id")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The windows of the items, and the occurrences in documents; with ``every``, also a row of length 0 per document."""
+    wins = written(_windows(benchmark, size), "windows")
+    passes = max(1, -(-wins.count() // WINDOWS_A_PASS))
+    tokens = written(_necessary(docs, wins, passes), "tokens")
+    base = F.struct(
+        F.lit(0).cast("long").alias("win_id"), F.array().cast("array<string>").alias("win"),
+        F.lit(0).alias("length"), F.lit("").alias("word"), F.lit(0).alias("at"),
+    )
+    sentinel = docs.sparkSession.range(1).select(base.alias("b")).select("b.*")
+    if passes > MOST_PASSES:
+        parts = [_joined_hits(docs, tokens)] + [_hits(docs, sentinel)] * every
+    else:
+        shares = [tokens.where(F.pmod("win_id", F.lit(passes)) == i) for i in range(passes)]
+        if every:
+            shares[0] = shares[0].unionByName(sentinel)
+        parts = [_hits(docs, t) for t in shares]
+    return wins, reduce(DataFrame.unionByName, parts)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Find the words of documents that lie inside an occurrence of a benchmark window.
 
@@ -86,17 +125,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataF
     no windows; an empty benchmark hits nothing; no documents, no rows. Rows that repeat doc_id and text
     each get the same result. A null item_id counts as an item without a name and is not reported.
     """
-    wins = written(_windows(benchmark, size), "windows")
-    passes = max(1, -(-wins.count() // WINDOWS_A_PASS))
-    tokens = written(_necessary(docs, wins, size, passes), "tokens")
-    base = F.struct(
-        F.lit(0).cast("long").alias("win_id"), F.array().cast("array<string>").alias("win"),
-        F.lit(0).alias("length"), F.lit("").alias("word"), F.lit(0).alias("at"),
-    )
-    sentinel = docs.sparkSession.range(1).select(base.alias("b")).select("b.*")
-    parts = [tokens.where(F.pmod("win_id", F.lit(passes)) == i) for i in range(passes)]
-    parts[0] = parts[0].unionByName(sentinel)
-    hits = written(reduce(DataFrame.unionByName, [_hits(docs, t) for t in parts]), "hits")
+    wins, hits = _found(docs, benchmark, size, True)
+    hits = written(hits, "hits")
 
     rows = hits.where("length = 0").groupBy("doc_id", "mark", "n_words").agg(F.count(F.lit(1)).alias("times"))
     found = hits.where("length > 0").distinct()
@@ -125,14 +155,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataF
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Drop the rows of ``docs`` that hold a benchmark window; all columns stay.
 
-    Rows that share a doc_id are judged by their own texts.
+    Rows that share a doc_id are judged by their own texts. Null and empty texts stay, and with an empty
+    benchmark all rows do; an empty table gives none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    wins = written(_windows(benchmark, size), "windows")
-    passes = max(1, -(-wins.count() // WINDOWS_A_PASS))
-    tokens = written(_necessary(docs, wins, size, passes), "tokens")
-    parts = [_hits(docs, tokens.where(F.pmod("win_id", F.lit(passes)) == i)) for i in range(passes)]
-    bad = reduce(DataFrame.unionByName, parts).select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
+    bad = _found(docs, benchmark, size, False)[1].select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
     bad = written(bad, "contaminated")
     same = docs.doc_id.cast("long").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(text) == bad["_bad_mark"])
     return docs.join(bad, same, "left_anti")

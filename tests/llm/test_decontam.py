@@ -56,6 +56,17 @@ def test_several_passes_give_the_same(spark, monkeypatch):
     assert got == brute(rows, items, 10)
 
 
+def test_passes_and_joins_give_the_same(spark, monkeypatch):
+    rows, items = case()
+    monkeypatch.setattr(decontam, "WINDOWS_A_PASS", 20)
+    for most in (1000, 1):
+        monkeypatch.setattr(decontam, "MOST_PASSES", most)
+        docs, bench = frame(spark, rows), spark.createDataFrame(items, ITEMS)
+        assert sorted((tuple(r) for r in decontam.contaminated(docs, bench, 10).collect()), key=str) == brute(rows, items, 10)
+        clean = sorted((r[0] for r in brute(rows, items, 10) if not r[5]), key=str)
+        assert sorted((r.doc_id for r in decontam.decontaminated(docs, bench, 10).collect()), key=str) == clean
+
+
 def test_dropping_keeps_clean_rows(spark):
     rows, items = case()
     docs = frame(spark, rows)
