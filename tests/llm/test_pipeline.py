@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from helpers import frame
+from helpers import DOCS, corpus, frame
 
 import corpus_pipeline
 from echosieve.llm.queries import queries
@@ -36,6 +36,46 @@ def test_stages_take_effect(spark, tmp_path):
     assert {x for r in seen["packing"].select("doc_ids").collect() for x in r.doc_ids} == ids["mixing"]
 
 
+def _stages(spark, docs, top):
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(top))
+        docs.write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+        out.append(docs)
+    return out
+
+
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and doc_ids, and extra columns with the operators' own names."""
+    rows = [r for r in corpus(31, 60) if r[0] is not None]
+    item = tables(spark, tmp_path, rows[:1])
+    rows += [rows[4]] * 3 + [(None, "lone words here", None, None, None), (None, None, None, None, None), (4, "another text under a known id", "en", "a", 1)]
+    rows += [(700, f"x {item} y", "en", "b", 1), (701, "clean " + "z " * 200_000, "en", None, 1), (702, "you moron " * 50, "en", "a", 1)]
+    docs = frame(spark, rows)
+    *kept, packed = _stages(spark, docs, tmp_path)
+    assert all(sorted(k.columns) == sorted(docs.columns) for k in kept)
+    ids = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
+    assert 702 not in ids[0] and ids[0] >= {None, 700, 701}
+    near = kept[1].select("doc_id", "text").collect()
+    assert {r.text for r in near if r.doc_id is None} == {None, "lone words here"} and "another text under a known id" in {r.text for r in near}
+    assert sum(r.doc_id == 4 and r.text == rows[4][1] for r in near) <= 1
+    assert 700 not in ids[2] and {None, 701} <= ids[2]
+    assert {r.doc_id for r in kept[3].where("trim(coalesce(text, '')) = ''").select("doc_id").collect()} <= ids[2]
+    assert {x for r in packed.select("doc_ids").collect() for x in r.doc_ids} == ids[3]
+
+
+def test_empty_tables_in_every_stage(spark, tmp_path):
+    for name, schema in (("documents", DOCS), ("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [d.count() for d in _stages(spark, spark.createDataFrame([], DOCS), tmp_path)] == [0] * 5
+    one = spark.createDataFrame([(1, "a b c", "en", "s", 5)], DOCS)
+    (tmp_path / "one").mkdir()
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/one/{name}.parquet")
+    assert [d.count() for d in _stages(spark, one, tmp_path / "one")][:3] == [1, 1, 1]
+
+
 def test_run_is_the_stages(spark, tmp_path):
     rows = [(i, " ".join(f"w{(i * 31 + k * k) % 499}" for k in range(20)), "en", "a", 1) for i in range(60)]
     tables(spark, tmp_path, rows)
