@@ -77,20 +77,33 @@ def archive_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streaming_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Events merged into a snapshot by user, batch by batch, keeping the greatest time of each."""
+    """Events merged into a snapshot by user, in batches that all have rows of all users, keeping the greatest event of each."""
     top = _local(spark)
-    table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts"), F.count(F.lit(1)).alias("n")).write.parquet(f"file://{top}/in")
+    events = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")
+    for i in (2, 0, 3, 1):
+        events.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(f"file://{top}/in")
     snapshots = Snapshots(spark, f"file://{top}/state", "user_id")
-    schema = "user_id bigint, ts timestamp_ntz, n bigint"
-    incremental.upsert(incremental.rows(spark, f"file://{top}/in", schema, 1), snapshots, f"file://{top}/check").awaitTermination()
+    schema = "user_id bigint, event_id bigint, ts timestamp_ntz, event_type string"
+    incremental.upsert(incremental.rows(spark, f"file://{top}/in", schema, 1), snapshots, f"file://{top}/check", "event_id").awaitTermination()
     return snapshots.read()
 
 
-_Q = (phash_image, archive_members, streaming_upsert)
+def archive_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the last three pictures of each of four generated archives."""
+    top = _local(spark)
+    for i in range(4):
+        with zipfile.ZipFile(f"{top}/a{i}.cbz", "w") as z:
+            for k in range(i + 2):
+                z.writestr(f"page{k}.png", png(sample_picture(5 * i + k)))
+    found = pictures.archive_features(spark, top, last=3)
+    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("page"), "width", "height", "phash", "whash", "error")
+
+
+_Q = (phash_image, archive_members, archive_pictures, streaming_upsert)
 QUERIES = {q.__name__: q for q in _Q}
 
 SQL = {
     "archive_members": """SELECT 'a' || i::VARCHAR || '.cbz' AS archive, 'page' || k::VARCHAR || '.png' AS inner, k AS length, (i - k + 1)::INTEGER AS rank
 FROM (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 10)) AS k) WHERE k <= i AND k >= i - 1""",
-    "streaming_upsert": "SELECT user_id, max(ts) AS ts, count(*) AS n FROM events GROUP BY 1",
+    "streaming_upsert": "SELECT user_id, max(event_id) AS event_id, arg_max(ts, event_id) AS ts, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,26 @@ def read(spark: SparkSession, root: str, pattern: str = "*.{zip,cbz,tar,cbt,tgz,
     return out.withColumn("path", F.concat(F.lit("zip://"), "archive", F.lit("!"), "inner"))
 
 
+def unpacked(rows: DataFrame, out: str) -> DataFrame:
+    """Write the members of ``rows(path, inner, content)`` as files below ``out``; (path, file) of each.
+
+    A file's name follows from its path, so a second attempt writes the same again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pafs.FileSystem.from_uri(out) if "://" in out or out.startswith("file:") else (pafs.LocalFileSystem(), out)
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            names = []
+            for path, inner, content in zip(*(b.column(c) for c in ("path", "inner", "content")), strict=True):
+                names.append(f"{hashlib.sha1(path.as_py().encode()).hexdigest()}.{inner.as_py().rpartition('.')[2].lower()}")
+                with system.open_output_stream(f"{root}/{names[-1]}", compression=None) as file:
+                    file.write(content.as_py())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(names, pa.string())], ["path", "file"])
+
+    return rows.where("content is not null").select("path", "inner", "content").mapInArrow(run, "path string, file string")
+
+
 def last_members(rows: DataFrame, n: int) -> DataFrame:
     """The last ``n`` members of each archive in natural order."""
     order = Window.partitionBy("archive").orderBy(natural_key(F.col("inner")).desc(), F.desc("inner"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..operators.sync import dashboard
 
 #: Bytes at the head of a file that its quick digest covers.
 QUICK_BYTES = 64 << 10
+#: Stores that a task can open by itself; files of others are read whole by Spark.
+READABLE = ("/", "file:", "hdfs://", "s3://", "gs://")
 
 
 def to_csv(rows: DataFrame, path: str) -> None:
@@ -47,11 +50,23 @@ def emptied(spark: SparkSession, path: str) -> None:
 def quick_digests(spark: SparkSession, root: str) -> DataFrame:
     """XXH64 (seed 0, hexadecimal) of the first 64 KiB of each file: (path, qd64)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    head = found.select(F.regexp_replace("path", "^file:/{1,3}", "/").alias("path"), F.substring("content", 1, QUICK_BYTES).alias("head"))
+    plain = F.regexp_replace("path", "^file:/{1,3}", "/")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for uri in b.column("uri").to_pylist():
+                system, at = pafs.FileSystem.from_uri(uri)
+                with system.open_input_stream(at, compression=None) as file:
+                    out.append(xxhash.xxh64_hexdigest(file.read(QUICK_BYTES)))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "qd64"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [xxhash.xxh64_hexdigest(x.as_py()) for x in b.column("head")]
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.string())], ["path", "qd64"])
 
-    return head.mapInArrow(run, "path string, qd64 string")
+    if root.startswith(READABLE):
+        # Paths alone are listed; tasks open the files and read their heads.
+        return found.select(plain.alias("path"), F.regexp_replace("path", "^file:/{1,3}", "file:///").alias("uri")).mapInArrow(read, "path string, qd64 string")
+    return found.select(plain.alias("path"), F.substring("content", 1, QUICK_BYTES).alias("head")).mapInArrow(run, "path string, qd64 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pictures
+from ..functions.paths import basename
+from ..operators.tables import shared_folder, stored
+from . import archives
 
 _FEATURES = (
     "path string, width int, height int, phash bigint, phash_rot map<int,bigint>, grid array<bigint>, grid_rot map<int,array<bigint>>, "
@@ -52,3 +56,18 @@ def features(spark: SparkSession, root: str, want: pictures.Wanted = pictures.Wa
             yield frame.where(frame.notna(), None)
 
     return rows.mapInPandas(run, _FEATURES)
+
+
+def archive_features(spark: SparkSession, root: str, want: pictures.Wanted = pictures.Wanted(), last: int | None = None) -> DataFrame:  # noqa: B008
+    """Feature rows of pictures in archives below ``root``, by their virtual paths; with ``last`` of each archive's last ones.
+
+    Members are written to the shared folder, where the JVM decodes them as it does loose pictures.
+    """
+    found = archives.read(spark, root, with_content=True).where("inner is not null")
+    rows = found if last is None else archives.last_members(found, last)
+    out = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    files = stored(archives.unpacked(rows, out))
+    if not files.limit(1).count():
+        return spark.createDataFrame([], _FEATURES)
+    own = features(spark, out, want).withColumn("file", basename(F.col("path"))).drop("path")
+    return files.join(own, "file").select(*_NAMES)

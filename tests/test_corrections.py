@@ -185,3 +185,25 @@ def test_cancelled_jobs_stop(spark):
             break
     thread.join(60)
     assert failed and not thread.is_alive()
+
+
+def test_pictures_in_archives_have_the_features_of_loose_ones(spark):
+    from echosieve.queries import media
+
+    got = {r.page: r for r in media.archive_pictures(spark, "").collect()}
+    assert set(got) == {f"a{i}.cbz!page{k}.png" for i in range(4) for k in range(max(0, i - 1), i + 2)}
+    for i in range(4):
+        for k in range(max(0, i - 1), i + 2):
+            own, want = got[f"a{i}.cbz!page{k}.png"], pictures.features(media.sample_picture(5 * i + k))
+            assert own.error is None and (own.phash, own.whash) == (want["phash"], want["whash"])
+
+
+def test_features_of_fixed_pictures(spark):
+    """Every column of the query over generated pictures against features of the same pixels; turns are of turned pixels."""
+    from echosieve.queries import media
+
+    for r in media.phash_image(spark, "").collect():
+        image = media.sample_picture(int(r.name[1:3]))
+        want = pictures.features(image, pictures.Wanted(rotations=True))
+        assert (r.width, r.height, r.phash, r.whash, r.cells) == (128, 96, want["phash"], want["whash"], 16)
+        assert r.phash_180 == pictures.phash(np.rot90(pictures.gray(image), 2)) and r.error is None
