@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import asdict, dataclass, field, fields
 
 #: Bits of a fingerprint, and fixed similarities of the funnel.
 HASH_BITS = 64
@@ -76,6 +78,25 @@ class Settings:
         return Gate(_lerp(p, 18.0, 35.0), _lerp(p, 0.18, 0.40), _lerp(p, 0.10, 0.30), _lerp(p, 0.12, 0.30))
 
 
+def settings_from(path: str, defaults: dict | None = None) -> Settings:
+    """Settings of a JSON file over ``defaults``; what it lacks keeps its default, what isn't known is left out."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+    except FileNotFoundError:
+        found = {}
+    known = {f.name for f in fields(Settings)}
+    merged = {k: tuple(v) if isinstance(v, list) else v for k, v in ((defaults or {}) | found).items() if k in known}
+    return Settings(**merged)
+
+
+def save_settings(settings: Settings, path: str) -> None:
+    """Write settings as JSON, whole or not at all."""
+    with open(f"{path}.new", "w", encoding="utf-8") as file:
+        json.dump(asdict(settings), file, ensure_ascii=False, indent=2)
+    os.replace(f"{path}.new", path)
+
+
 def whash_bounds() -> list[int]:
     """For each coarse distance the largest wavelet-hash distance that still accepts.
 

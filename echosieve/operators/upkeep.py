@@ -25,6 +25,13 @@ def quarantined(known: DataFrame, failures: DataFrame) -> DataFrame:
     return known.select("path").unionByName(new).distinct()
 
 
+def counts(catalogue: DataFrame, images: DataFrame) -> DataFrame:
+    """How much there is, as one row: records, records without tags, pictures and folders that hold some."""
+    records = catalogue.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("status") == "non-tag").alias("untagged"))
+    pages = images.agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("folder_path").alias("folders"))
+    return records.join(pages, F.lit(True))
+
+
 def hints(stored: DataFrame, signatures: DataFrame) -> DataFrame:
     """Stored folders (root, signature, path) that hold files, as far as their root's signature is the same now."""
     return stored.join(signatures.select("root", "signature"), ["root", "signature"], "left_semi").select("root", "path")

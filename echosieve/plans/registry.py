@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -39,6 +41,26 @@ class Registry:
         self._plugins[plugin.name] = plugin
         return plugin
 
+    def discover(self, folder: str) -> list[str]:
+        """Add the plugins of every module in a folder, which it lists as ``PLUGINS``; the names added.
+
+        A module that can't be imported or whose plugins are known is an error with its name.
+        """
+        added = []
+        for path in sorted(Path(folder).glob("*.py")):
+            spec = importlib.util.spec_from_file_location(f"echosieve_plugin_{path.stem}", path)
+            module = importlib.util.module_from_spec(spec)
+            try:
+                spec.loader.exec_module(module)
+                added += [self.add(p).name for p in getattr(module, "PLUGINS", ())]
+            except Exception as x:
+                raise ImportError(f"plugin {path.name}: {x}") from x
+        return added
+
+    def settings(self, name: str, own: dict) -> Settings:
+        """A plugin's defaults under a user's own settings."""
+        return Settings(**(self._plugins[name].defaults | own))
+
     def names(self, kind: str | None = None) -> list[str]:
         return sorted(n for n, p in self._plugins.items() if kind in (None, p.kind))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import titles as T
 from ..operators import diff, selection, sync, tail, upkeep
 from ..operators.tables import stored
+from .catalogue import _CAT, _catalogue
 from .tables import table
 
 
@@ -71,6 +72,11 @@ def catalogue_digests(spark: SparkSession, d: str) -> DataFrame:
     return diff.catalogue_digests(ads, 95.0, "1")
 
 
+def library_counts(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "events").select(F.col("user_id").alias("folder_path"))
+    return upkeep.counts(_catalogue(spark, d), images)
+
+
 def folder_hints(spark: SparkSession, d: str) -> DataFrame:
     """Stored hints of folders whose direct children are as they were."""
     e = table(spark, d, "events").select(F.col("user_id").alias("folder"), F.concat("event_type", F.col("event_id")).alias("name"), F.col("ts").cast("timestamp").alias("mtime"))
@@ -131,7 +137,7 @@ def title_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = (
-    folder_backfill, folder_missing, quarantine_union, first_scan_tails, rescan_tails, feature_upgrade, catalogue_digests, folder_hints,
+    folder_backfill, folder_missing, library_counts, quarantine_union, first_scan_tails, rescan_tails, feature_upgrade, catalogue_digests, folder_hints,
     sort_keys, groups_by_size, batch_order, tag_failed_report, title_names,
 )
 QUERIES = {q.__name__: q for q in _Q}
@@ -148,6 +154,7 @@ keys AS (SELECT leader, count(*) + 1 AS count, coalesce(max(number), max(weight)
 SQL = {
     "folder_backfill": rf"""WITH {_P} SELECT page_id, CASE WHEN f <> '' THEN f WHEN page_id % 3 = 0 THEN regexp_extract(u || '.cbz', '^(.*)/[^/]*$', 1) ELSE u END AS folder_path FROM p""",
     "folder_missing": f"WITH {_P} SELECT count(*) AS missing FROM p WHERE coalesce(f, '') = ''",
+    "library_counts": f"WITH {_CAT} SELECT (SELECT count(*) FROM cat) AS records, (SELECT count(*) FROM cat WHERE status = 'non-tag') AS untagged, count(*) AS pages, count(DISTINCT user_id) AS folders FROM events",
     "quarantine_union": "SELECT DISTINCT '/q/' || user_id::VARCHAR AS path FROM events WHERE event_type IN ('signup', 'error')",
     "first_scan_tails": """SELECT conv_id, 'p' || turn::VARCHAR || '.jpg' AS name, (row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC))::INTEGER AS rank FROM conversations
 QUALIFY rank <= CASE WHEN conv_id % 3 = 0 THEN 4 ELSE 2 END""",

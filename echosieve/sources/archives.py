@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..conf import IMAGE_EXTENSIONS
 from ..functions.paths import natural_key
+from ..operators.tables import stored
 
 _MEMBER = "archive string, inner string, length bigint, content binary, error string"
 _ARROW = pa.schema([("archive", pa.string()), ("inner", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
@@ -62,6 +63,39 @@ def read(spark: SparkSession, root: str, pattern: str = "*.{zip,cbz,tar,cbt,tgz,
     return out.withColumn("path", F.concat(F.lit("zip://"), "archive", F.lit("!"), "inner"))
 
 
+def trim_files(plan: DataFrame, dry: bool = False) -> DataFrame:
+    """Write archives anew without the members that ``plan(archive, inner)`` drops: (archive, dropped, kept, error).
+
+    The archive as it was stays beside the new one as ``.bak``, put there first and whole; an archive that can't be
+    read or written stays as it is and gives a row with its error. With ``dry`` nothing is written.
+    """
+    asked = plan.groupBy("archive").agg(F.collect_set("inner").alias("drop"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, drop in zip(b.column("archive").to_pylist(), b.column("drop").to_pylist(), strict=True):
+                system, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+                try:
+                    with system.open_input_stream(at, compression=None) as file:
+                        content = file.read()
+                    names = {n for n, _, _ in members(content, False)}
+                    gone = names & set(drop)
+                    if gone and not dry:
+                        fresh = trimmed(content, gone)
+                        for name, data in ((f"{at}.bak", content), (f"{at}.new", fresh)):
+                            with system.open_output_stream(name, compression=None) as file:
+                                file.write(data)
+                        system.move(f"{at}.new", at)
+                    rows.append((path, len(gone), len(names) - len(gone), None))
+                except (OSError, ValueError, EOFError, RuntimeError, NotImplementedError, tarfile.TarError, zipfile.BadZipFile) as x:
+                    rows.append((path, 0, None, f"{type(x).__name__}: {x}"))
+            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["archive", "dropped", "kept", "error"])
+
+    return stored(asked.mapInArrow(run, "archive string, dropped bigint, kept bigint, error string"))
+
+
 def unpacked(rows: DataFrame, out: str) -> DataFrame:
     """Write the members of ``rows(path, inner, content)`` as files below ``out``; (path, file) of each.
 
