@@ -13,8 +13,8 @@ its first one it is the same symbol after the context's parent, and a hash of th
 Texts are dealt into blocks, and what the corpus knows of a block's windows comes back to the block: it asks
 with the sorted names of its different windows, cut by ranges into parts; a part sums the counts of all
 blocks and answers each in the order it asked. A window is asked for only where both its parts are kept, so
-longer windows are ever fewer, and names cross the network as plain arrays. Each pass is written before the
-next, and its shuffles deleted.
+longer windows are ever fewer (all of one or two symbols are asked for at once), and names cross the network
+as plain arrays. Each pass is written before the next, and its shuffles deleted.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ class Tree:
 
 #: Bytes of text in a block, and bytes of text whose windows' names make up a part.
 BLOCK_BYTES, PART_BYTES = 6 << 20, 12 << 20
+#: Shares of the blocks that are scored one after the other, so that the disk holds the asks of one share alone.
+WAVES = 4
 #: Tokens that a counting task holds before it sums and passes them on.
 HELD_TOKENS = 1 << 21
 
@@ -218,9 +220,9 @@ def predicted(c: list[np.ndarray], rest: list[np.ndarray], root: np.ndarray, sta
 class Block:
     """The texts of a block and their windows, length by length as far as there are answers.
 
-    ``c[n]`` has, by where a window of n symbols ends, how often training texts have it, 0 if it isn't kept.
-    ``names``, ``at`` and ``place`` are the different windows of the first length without an answer, where all
-    of them end, and which one ends there.
+    For windows of n symbols: ``names[n]`` are the different ones that are asked for, ``at[n]`` where all of them
+    end and ``place[n]`` which one ends there; ``c[n]`` has, by where a window ends, how often training texts have
+    it, 0 if it isn't kept; and ``owned[n]`` where those end that this block speaks for.
     """
 
     def __init__(self, texts: pa.Array, answers: dict[int, np.ndarray], least: float, longest: int) -> None:
@@ -231,30 +233,50 @@ class Block:
             starts.append(own + size)
             size += len(flat)
         self.flat, self.starts = np.concatenate(flats), np.concatenate(starts)
-        self.text = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, size)))
-        back = np.arange(size) - self.starts[self.text]
-        self.c, self.keys, self.owned = [np.zeros(0, dtype=np.int64)], [self.flat], []
-        self.at = np.arange(size)
+        lengths = np.diff(np.append(self.starts, size))
+        self.text = np.repeat(np.arange(len(self.starts), dtype=np.int32), lengths)
+        back = np.arange(size) - np.repeat(self.starts, lengths)
+        none = np.zeros(0, dtype=np.int64)
+        self.c, self.keys, self.names, self.at, self.place, self.owned = [none], [none], [none], [none], [none], [none]
+        full, at = self.flat, np.arange(size)
         for n in range(1, longest + 1):
             if n > 1:
-                kept, ctx = self.c[n - 1], self.keys[n - 1]
-                self.at = np.flatnonzero((back >= n - 1) & (kept > 0))
-                self.at = self.at[kept[self.at - 1] >= least]
+                fits = back >= n - 1
+                if n > 2:  # windows of two symbols are asked for before words are known
+                    fits[1:] &= (self.c[n - 1][1:] > 0) & (self.c[n - 1][:-1] >= least)
+                at, before = np.flatnonzero(fits), full
                 full = np.zeros(size, dtype=_U)
-                full[self.at] = named(ctx[self.at - 1], ctx[self.at])
-            else:
-                full = self.flat
-            self.keys.append(full)
-            self.names, self.place = np.unique(full[self.at], return_inverse=True)
-            if n not in answers and len(self.names):
+                full[at] = named(before[at - 1], before[at])
+            names, place = np.unique(full[at], return_inverse=True)
+            for into, of in zip((self.keys, self.names, self.at, self.place), (full, names, at, place), strict=True):
+                into.append(of)
+            if n not in answers and len(names):
+                if n == 1:
+                    continue
                 return
-            totals = answers.get(n, np.zeros(0, dtype=np.int64))
+            told = answers.get(n, none)
             found = np.zeros(size, dtype=np.int64)
-            found[self.at] = np.abs(totals)[self.place]
+            found[at] = (told >> 1)[place]
+            if n > 1:
+                found[1:][(self.c[n - 1][:-1] < least) | (self.c[n - 1][1:] == 0)] = 0
             self.c.append(found)
-            first = np.zeros(len(self.names), dtype=np.int64)
-            first[self.place[::-1]] = self.at[::-1]
-            self.owned.append(first[totals < 0])
+            first = np.zeros(len(names), dtype=np.int64)
+            first[place[::-1]] = at[::-1]
+            first = first[told & 1 > 0]
+            self.owned.append(first[found[first] > 0])
+
+
+def _bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole numbers as a byte each, 255 for those that are larger; those, and where they stand."""
+    large = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8), values[large].astype(np.int64), large
+
+
+def _numbers(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Undo :func:`_bytes`."""
+    out = small.astype(np.int64)
+    out[small == 255] = large
+    return out
 
 
 def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -275,75 +297,104 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _asked(block: int, names: np.ndarray, counts: np.ndarray | None, parts: int) -> pa.Table:
-    """A row for each part that sorted names fall into: (part, block, names, counts)."""
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    """How many bytes each binary value has."""
+    ends = [np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1] for c in column.chunks if len(c)]
+    return np.concatenate([np.zeros(0, dtype=np.int32), *map(np.diff, ends)])
+
+
+def _parted(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted names fall into, and where each begins."""
     part = ((names >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), dtype=bool), part[1:] != part[:-1])))
-    columns = {"part": pa.array(part[cuts]), "block": pa.array(np.full(len(cuts), block, dtype=np.int64)), "names": _binary(names, cuts)}
-    return pa.table(columns | ({} if counts is None else {"counts": _binary(counts, cuts)}))
+    return part[cuts], cuts
+
+
+def _counted(n: int, block: int, names: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
+    """A row for each part that a block's names fall into: (n, part, block, names, counts, large)."""
+    part, cuts = _parted(names, parts)
+    small, large, at = _bytes(counts)
+    return pa.table(
+        {
+            "n": pa.array(np.full(len(cuts), n, dtype=np.int32)), "part": pa.array(part), "block": pa.array(np.full(len(cuts), block, dtype=np.int64)),
+            "names": _binary(names, cuts), "counts": _binary(small, cuts), "large": _binary(large, np.searchsorted(at, cuts)),
+        }
+    )
 
 
 def _answers(table: pa.Table) -> dict[int, np.ndarray]:
-    """The answers to a block, by length, in the order it asked."""
+    """The answers to a block, by length, in the order it asked: twice the total, and one more if it shall speak."""
     if not table.num_rows:
         return {}
     table = table.sort_by([("n", "ascending"), ("part", "ascending")])
-    return {n: _joined(table.filter(pa.compute.equal(table.column("n"), n)).column("totals"), np.int64) for n in pa.compute.unique(table.column("n")).to_pylist()}
+    out = {}
+    for n in pa.compute.unique(table.column("n")).to_pylist():
+        own = table.filter(pa.compute.equal(table.column("n"), n))
+        out[n] = _numbers(_joined(own.column("totals"), np.uint8), _joined(own.column("large"), np.int64))
+    return out
 
 
-_ANSWER = "n int, part long, block long, totals binary, different long, tokens long, one long, two long"
+_ASK = "n int, part long, block long, names binary, counts binary, large binary"
+_ANSWER = "n int, part long, block long, totals binary, large binary, different long, tokens long, one long, two long"
 
 
-def _summed_parts(asked: DataFrame, n: int, floor: float) -> DataFrame:
-    """Answers to ``asked(part, block, names, counts)``: totals of names, 0 for those under ``floor``.
+def _summed_parts(asked: DataFrame, floor: float) -> DataFrame:
+    """Answers to the rows of :func:`_ask`: totals of names, 0 for windows of two or more under ``floor``.
 
-    A total is below zero for the one block that shall speak for the name. For words a row of block -1 tells
-    how many different ones training texts have, how many in all, and how many once and twice.
+    One block of those that ask for a name shall speak for it. For words a row of block -1 tells how many
+    different ones training texts have, how many in all, and how many once and twice.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        names, counts = _joined(table.column("names"), _U), _joined(table.column("counts"), np.int32)
-        sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]) for c in table.column("names").chunks]) // 8
+        n, part = table.column("n")[0].as_py(), table.column("part")[0].as_py()
+        names, sizes = _joined(table.column("names"), _U), _sizes(table.column("names")) // 8
+        counts = _numbers(_joined(table.column("counts"), np.uint8), _joined(table.column("large"), np.int64))
         order = np.argsort(names, kind="stable")
         names = names[order]
         at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-        totals = np.add.reduceat(counts[order].astype(np.int64), at)
-        kept = np.where(totals >= floor, totals, 0)
+        totals = np.add.reduceat(counts[order], at)
+        kept = np.where(totals >= (1 if n == 1 else floor), totals, 0)
         out = np.empty(len(names), dtype=np.int64)
-        out[order] = np.repeat(kept, np.diff(np.append(at, len(names))))
-        out[order[at]] = -kept
-        rows = len(sizes)
-        cuts = np.cumsum(sizes) - sizes
-        word = (names[at] != START) & (names[at] != END) & (totals > 0)
+        out[order] = np.repeat(2 * kept, np.diff(np.append(at, len(names))))
+        out[order[at]] += kept > 0
+        rows, cuts = len(sizes), np.cumsum(sizes) - sizes
+        small, large, where = _bytes(out)
+        word = (names[at] != START) & (names[at] != END) & (totals > 0) & (n == 1)
         facts = [int(word.sum()), int(totals[word].sum()), int((totals[word] == 1).sum()), int((totals[word] == 2).sum())]
-        part = table.column("part")[0].as_py()
+        empty = pa.array([b""], pa.binary())
         columns = {
             "n": pa.array([n] * (rows + 1), pa.int32()), "part": pa.array([part] * (rows + 1), pa.int64()),
-            "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.array([-1], pa.int64())]),
-            "totals": pa.concat_arrays([_binary(out, cuts), pa.array([b""], pa.binary())]),
+            "block": pa.concat_arrays([*table.column("block").chunks, pa.array([-1], pa.int64())]),
+            "totals": pa.concat_arrays([_binary(small, cuts), empty]), "large": pa.concat_arrays([_binary(large, np.searchsorted(where, cuts)), empty]),
         }
         return pa.table(columns | {k: pa.array([0] * rows + [v], pa.int64()) for k, v in zip(("different", "tokens", "one", "two"), facts, strict=True)})
 
-    return asked.groupBy("part").applyInArrow(run, _ANSWER)
+    return asked.groupBy("n", "part").applyInArrow(run, _ANSWER)
 
 
 def _told(dealt: DataFrame, answers: list[DataFrame], run: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
     """``run`` over each block's rows and the answers it got so far."""
     if not answers:
         return dealt.groupBy("block").applyInArrow(lambda rows: run(rows, {}), schema)
-    got = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals")
+    got = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals", "large")
     both = dealt.groupBy("block").cogroup(got.groupBy("block"))
     return both.applyInArrow(lambda rows, told: run(rows, _answers(told)), schema)
 
 
-def _ask(dealt: DataFrame, answers: list[DataFrame], n: int, least: float, parts: int) -> DataFrame:
+def _ask(dealt: DataFrame, answers: list[DataFrame], longest: int, least: float, parts: int) -> DataFrame:
+    """What blocks ask for next: windows of ``longest`` symbols, or at first those of one and of two."""
+
     def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
-        block = Block(rows.column("text"), told, least, n)
+        block = Block(rows.column("text"), told, least, longest)
         times = np.where(rows.column("held_out").to_numpy(zero_copy_only=False), 0, rows.column("times").to_numpy())
-        counts = np.bincount(block.place, weights=times[block.text[block.at]], minlength=len(block.names)).astype(np.int32)
-        return _asked(rows.column("block")[0].as_py(), block.names, counts, parts)
+        out = []
+        for n in range(1 if longest == 2 else longest, len(block.names)):
+            names, at, place = block.names[n], block.at[n], block.place[n]
+            counts = np.bincount(place, weights=times[block.text[at]], minlength=len(names)).astype(np.int64)
+            out.append(_counted(n, rows.column("block")[0].as_py(), names, counts, parts))
+        return pa.concat_tables(out) if out else _counted(longest, 0, np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64), parts)
 
-    return _told(dealt, answers, run, "part long, block long, names binary, counts binary")
+    return _told(dealt, answers, run, _ASK)
 
 
 def _spoken(dealt: DataFrame, answers: list[DataFrame], start: Root, how: Tree) -> DataFrame:
@@ -356,8 +407,8 @@ def _spoken(dealt: DataFrame, answers: list[DataFrame], start: Root, how: Tree)
     def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
         block = Block(rows.column("text"), told, least, longest)
         out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for n in range(2, len(block.c)):
-            at = block.owned[n - 1]
+        for n in range(2, longest + 1):
+            at = block.owned[n]
             up = (block.c[1][at] - start.discount) / max(1, start.tokens) if n == 2 else np.full(len(at), np.nan)
             columns = (np.full(len(at), n, dtype=np.int32), block.keys[n - 1][at - 1].view(np.int64), block.keys[n - 1][at].view(np.int64), block.c[n][at], block.c[n - 1][at - 1], up)
             for into, of in zip(out, columns, strict=True):
@@ -376,6 +427,8 @@ def dealt_out(rows: DataFrame) -> tuple[DataFrame, int]:
     """
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     once, most = collapsed(rows)
+    if most > 1:
+        once = written(once, "once")
     return once.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("long")), most
 
 
@@ -389,14 +442,14 @@ def tree(dealt: DataFrame, how: Tree) -> tuple[Root, list[DataFrame], DataFrame,
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     texts = dealt.where("not held_out").agg(F.sum("times")).first()[0] or 0
-    answers = [written(_summed_parts(_ask(dealt, [], 1, 0, parts), 1, 1), "answers")]
+    answers = [written(_summed_parts(_ask(dealt, [], 2, 0, parts), how.least), "answers")]
     found = answers[0].agg(*(F.sum(c).alias(c) for c in ("different", "tokens", "one", "two"))).first()
     tokens, different = (found.tokens or 0) + texts, (found.different or 0) + bool(texts)
     discount = min(0.95, max(0.05, (found.one or 0) / max(1, (found.one or 0) + 2 * (found.two or 0))))
     start = Root(texts, tokens, different, discount * different / tokens if tokens else 1.0, discount)
     least, floor = _bounds(start, how)
-    for n in range(2, how.depth + 2):
-        answers.append(written(_summed_parts(_ask(dealt, answers, n, least, parts), n, floor), "answers"))
+    for n in range(3, how.depth + 2):
+        answers.append(written(_summed_parts(_ask(dealt, answers, n, least, parts), floor), "answers"))
     windows = written(_spoken(dealt, answers, start, how), "windows")
 
     c, t, m = F.col("c"), F.col("total"), F.col("m")
@@ -495,32 +548,42 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
     parts = max(1, -(-size // PART_BYTES))
 
     def contexts(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
-        block = Block(rows.column("text"), told, least, longest)
-        names = np.unique(np.concatenate([block.keys[n][block.c[n] > 0] for n in range(1, longest)]))
-        return _asked(rows.column("block")[0].as_py(), names, None, parts)
+        block, number = Block(rows.column("text"), told, least, longest), rows.column("block")[0].as_py()
+        kept = []
+        for n in range(1, longest):
+            known = np.zeros(len(block.names[n]), dtype=bool)
+            known[block.place[n]] = block.c[n][block.at[n]] > 0
+            kept.append(block.names[n][known])
+        names = np.sort(np.concatenate(kept))
+        part, cuts = _parted(names, parts)
+        return pa.table({"part": pa.array(part), "block": pa.array(np.full(len(cuts), number, dtype=np.int64)), "names": _binary(names, cuts)})
 
     def rests(asked: pa.Table, known: pa.Table) -> pa.Table:
-        index = Index(known.column("g").to_numpy().astype(np.int64).view(_U))
-        rest = np.append(known.column("rest").to_numpy(), np.nan)
         if not asked.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "rest": pa.array([], pa.binary())})
-        names = _joined(asked.column("names"), _U)
-        sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], dtype=np.int32)[c.offset : c.offset + len(c) + 1]) for c in asked.column("names").chunks]) // 8
-        found = index.find(names)
-        own = np.repeat(np.arange(len(sizes)), sizes)[found >= 0]
+            return pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "rest": pa.array([], pa.binary())})
+        states, rest = known.column("g").to_numpy().astype(np.int64).view(_U), known.column("rest").to_numpy()
+        order = np.argsort(states)
+        states, rest = np.append(states[order], _U(0)), np.append(rest[order], np.nan)
+        names, sizes = _joined(asked.column("names"), _U), _sizes(asked.column("names")) // 8
+        at = np.searchsorted(states[:-1], names)
+        found = np.flatnonzero(states[at] == names)
+        found = found[at[found] < len(states) - 1]
+        own = np.repeat(np.arange(len(sizes)), sizes)[found]
         cuts = np.searchsorted(own, np.arange(len(sizes)))
-        return pa.table({"block": asked.column("block"), "names": _binary(names[found >= 0], cuts), "rest": _binary(rest[found[found >= 0]], cuts)})
+        return pa.table({"part": asked.column("part"), "block": asked.column("block"), "names": _binary(names[found], cuts), "rest": _binary(rest[at[found]], cuts)})
 
     def score(rows: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(rows.column("text"), _answers(told.filter(pa.compute.is_valid(told.column("totals")))), least, longest)
-        mine = told.filter(pa.compute.is_valid(told.column("names")))
+        mine = told.filter(pa.compute.is_valid(told.column("names"))).sort_by("part")
         names, found = (_joined(mine.column(c), k) for c, k in (("names", _U), ("rest", np.float64)))
-        index, found = Index(names), np.append(found, np.nan)
+        names, found = np.append(names, _U(0)), np.append(found, np.nan)
         rest = [np.zeros(0)]
         for n in range(1, longest):
+            at = np.searchsorted(names[:-1], block.names[n])
+            own = np.where(names[at] == block.names[n], found[at], np.nan)
             rest.append(np.full(len(block.flat), np.nan))
-            at = np.flatnonzero(block.c[n] > 0)
-            rest[n][at] = found[index.find(block.keys[n][at])]
+            rest[n][block.at[n]] = own[block.place[n]]
+            rest[n][block.c[n] == 0] = np.nan
         ones = np.ones(len(block.flat))
         ones[block.starts] = 0.0
         counts = block.c[1]
@@ -535,16 +598,19 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
             }
         )
 
-    asked = _told(dealt, answers, contexts, "part long, block long, names binary")
-    part = F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(parts), 32).alias("part")
-    answered = asked.groupBy("part").cogroup(states.select(part, "g", "rest").groupBy("part")).applyInArrow(rests, "block long, names binary, rest binary")
-    answered = written(answered, "rests")
-    dropped(states)
-    null = F.lit(None)
-    told = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals", null.cast("binary").alias("names"), null.cast("binary").alias("rest"))
-    told = told.unionByName(answered.select(null.cast("int").alias("n"), null.cast("long").alias("part"), "block", null.cast("binary").alias("totals"), "names", "rest"))
+    null, part = F.lit(None), F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(parts), 32).alias("part")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
-    out = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
-    out = written(out, "scores")
-    dropped(*answers, answered)
-    return copied(out, F.col("times"), "_copy", most > COPIES).drop("times", "_copy") if most > 1 else out.drop("times")
+    out, waves = [], max(1, min(WAVES, -(-size // BLOCK_BYTES)))
+    for wave in range(waves):
+        mine = F.pmod("block", F.lit(waves)) == wave
+        told = [a.where(mine) for a in answers]
+        asked = _told(dealt.where(mine), told, contexts, "part long, block long, names binary")
+        answered = asked.groupBy("part").cogroup(states.select(part, "g", "rest").groupBy("part")).applyInArrow(rests, "part long, block long, names binary, rest binary")
+        answered = written(answered, "rests")
+        totals = reduce(DataFrame.unionByName, told).where("block >= 0").select("n", "part", "block", "totals", "large", null.cast("binary").alias("names"), null.cast("binary").alias("rest"))
+        both = totals.unionByName(answered.select(null.cast("int").alias("n"), "part", "block", null.cast("binary").alias("totals"), null.cast("binary").alias("large"), "names", "rest"))
+        out.append(written(dealt.where(mine).groupBy("block").cogroup(both.groupBy("block")).applyInArrow(score, schema), "scores"))
+        dropped(answered)
+    dropped(*answers, states)
+    found = reduce(DataFrame.unionByName, out)
+    return copied(found, F.col("times"), "_copy", most > COPIES).drop("times", "_copy") if most > 1 else found.drop("times")

@@ -156,14 +156,15 @@ def set_features(docs: DataFrame, how: Jaccard) -> DataFrame:
 
 
 #: Tile keys that a task holds before it joins those that are equal and passes them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 18
 
 
 def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
     """Rows (tile, node, hub): sets by the tiles they take part in.
 
-    Of the sets that share a tile in one task only the least stands for the tile, with itself as hub; the
-    others come as edges to it, dealt by their own names. So a tile that very many sets share is a few rows.
+    Of the sets that share a tile in one task only the least stands for the tile, without a hub; the others
+    come as edges to it, dealt by their own names. So a tile that very many sets share is a few rows. Rows of a
+    set come together, which shuffles well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +177,11 @@ def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
             edge = hub != node
             tile = np.where(edge, mix(node.view(_U)).view(np.int64), tile)
             edges = np.unique(np.stack([tile[edge], node[edge], hub[edge]], axis=1), axis=0)
-            columns = [np.concatenate([x[new], edges[:, i]]) for i, x in enumerate((tile, node, hub))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tile", "node", "hub"])
+            out = [np.concatenate([x[new], edges[:, i]]) for i, x in enumerate((tile, node, hub))]
+            alone = np.arange(len(out[0])) < new.sum()
+            order = np.argsort(out[1], kind="stable")
+            columns = [pa.array(out[0][order]), pa.array(out[1][order]), pa.array(out[2][order], mask=alone[order])]
+            return pa.RecordBatch.from_arrays(columns, ["tile", "node", "hub"])
 
         seen: set[int] = set()
         keys, nodes, count = [], [], 0
@@ -206,8 +210,8 @@ def _stars(keys: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            t, n, hubs = (b.column(c).to_numpy() for c in ("tile", "node", "hub"))
-            edge = hubs != n
+            t, n, hubs = b.column("tile").to_numpy(), b.column("node").to_numpy(), b.column("hub").fill_null(0).to_numpy()
+            edge = b.column("hub").is_valid().to_numpy(zero_copy_only=False)
             found = [np.stack([n[edge], hubs[edge]], axis=1)]
             t, n = t[~edge], n[~edge]
             if len(t):

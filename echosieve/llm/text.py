@@ -124,14 +124,20 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 COPIES = 1 << 16
 
 
+#: A row that occurs more often, or whose occurrences have more bytes of text, is read once and counted.
+OFTEN, MUCH = 256, 1 << 20
+
+
 def collapsed(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of ``rows(doc_id, text, ...)``, those that repeat doc_id and text once, with ``times``; and the most times.
+    """The rows of ``rows(doc_id, text, ...)``, those that repeat doc_id and text very often once, with ``times``; and the most times.
 
     Repeats are found by the text's hash and summed in each task before any is moved, so a row that makes up
-    much of a table costs no task more than others.
+    much of a table costs no task more than others. Rows that occur a few times stay as they are.
     """
     marked = rows.withColumn("_mark", F.xxhash64("text"))
-    again = written(marked.groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "repeats")
+    many = (F.col("times") > OFTEN) | ((F.col("times") > 1) & (F.col("times") * F.col("size") > MUCH))
+    again = marked.groupBy("doc_id", "_mark").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("text")).alias("size"))
+    again = written(again.where(many), "repeats")
     most = again.agg(F.max("times")).first()[0] or 1
     once = F.lit(1).cast("long").alias("times")
     if most == 1:
