@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
-
 
 def folder_changes(live: DataFrame, state: DataFrame, needed: int = 0) -> DataFrame:
     """Classify folders of ``live(path, ts)`` against ``state(path, ts, scanned_count)``.
@@ -123,27 +126,44 @@ def without_prefix(items: DataFrame, top: str) -> DataFrame:
     return items.where((F.col("path") != top) & ~F.col("path").startswith(top + "/"))
 
 
-#: Hexadecimal digits that each level of a digest takes off the prefix, and rows of a bucket at the lowest level.
-DIGEST_STEP, DIGEST_ROWS = 2, 1 << 16
+#: Hashes that a digest takes in at once.
+DIGEST_ROWS = 1 << 16
 
 
 def digest(items: DataFrame, columns: list[str]) -> DataFrame:
     """SHA-256 of all rows' values in order of their own hashes, as one row ``digest``, ``n``.
 
     Rows are hashed where they are and sums of those hashes would not do, as a sum hides which rows
-    changed; so hashes are sorted within buckets of a common prefix, and a bucket's digests again within a
-    shorter one, level by level. The longest prefix follows from the number of rows, as part of the result.
+    changed; so hashes are sorted within buckets of a common first byte, and the buckets' digests again.
+    A bucket is one stream of sorted hashes of which a batch is held, so the definition is the same at any
+    number of rows.
     """
-    hashed = stored(items.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")))
-    rows, digits = hashed.count(), DIGEST_STEP
-    while rows > DIGEST_ROWS * 16**digits:
-        digits += DIGEST_STEP
-    join = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ","), 256).alias("h")
-    level = hashed.groupBy(F.substring("h", 1, digits).alias("b")).agg(join("h"), F.count(F.lit(1)).alias("n"))
-    while digits > DIGEST_STEP:
-        digits -= DIGEST_STEP
-        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(join(F.concat("b", "h")), F.sum("n").alias("n"))
-    return level.agg(join(F.concat("b", "h")).alias("digest"), F.sum("n").alias("n"))
+    most = DIGEST_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sha, n, out = None, None, 0, []
+        for batch in batches:
+            whole = b"".join(batch.column("h").to_pylist())
+            first = np.frombuffer(whole, dtype=np.uint8)[::32]
+            cuts = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo < hi and first[lo] != own:
+                    if sha is not None:
+                        out.append((f"{own:02x}", sha.hexdigest(), n))
+                    own, sha, n = int(first[lo]), hashlib.sha256(), 0
+                for at in range(lo, hi, most):
+                    end = min(hi, at + most)
+                    sha.update(((b"," if n else b"") + whole[32 * at : 32 * end].hex(",", 32).encode()))
+                    n += end - at
+        if sha is not None:
+            out.append((f"{own:02x}", sha.hexdigest(), n))
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["b", "h", "n"])
+
+    hashed = items.select(F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256)).alias("h"))
+    level = hashed.repartition(F.substring("h", 1, 1)).sortWithinPartitions("h").mapInArrow(run, "b string, h string, n long")
+    named = F.sort_array(F.collect_list(F.concat("b", "h")))
+    return level.agg(F.sha2(F.array_join(named, ","), 256).alias("digest"), F.sum("n").alias("n"))
 
 
 def catalogue_digests(items: DataFrame, threshold: float, version: str) -> DataFrame:

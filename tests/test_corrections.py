@@ -1,5 +1,7 @@
 """Results that earlier tests took over from a wrong reading, and bounds that used to cut them."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,15 @@ def test_digest_levels(spark, monkeypatch):
     assert deep.digest != diff.digest(df.where("id <> 3"), ["id"]).first().digest
 
 
+def test_digest_is_one_definition_at_any_size(spark, monkeypatch):
+    rows = [hashlib.sha256(f'{{"id":{i}}}'.encode()).hexdigest() for i in range(3000)]
+    of = {b: ",".join(sorted(h for h in rows if h[:2] == b)) for b in {h[:2] for h in rows}}
+    wanted = hashlib.sha256(",".join(sorted(b + hashlib.sha256(x.encode()).hexdigest() for b, x in of.items())).encode()).hexdigest()
+    for most in (1 << 16, 1):
+        monkeypatch.setattr(diff, "DIGEST_ROWS", most)
+        assert tuple(diff.digest(spark.range(3000).select("id"), ["id"]).first()) == (wanted, 3000)
+
+
 def test_hashes_by_definition():
     """Cosine bits and Haar bits by their definitions, not by the code under test."""
     rng = np.random.default_rng(4)
