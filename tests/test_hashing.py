@@ -1,5 +1,6 @@
 """Fingerprint expressions and the settings they follow from."""
 
+import hashlib
 import random
 
 import pytest
@@ -64,3 +65,24 @@ def test_verdict(spark):
         passes = r.w is not None and r.w <= table[r.d]
         assert r.ok == (passes or (r.w is not None and r.d <= 4))
         assert r.s == 1 - (min(r.d, r.w) if passes else r.d) / 64
+
+
+def test_simhash_moves_no_words(spark, monkeypatch):
+    """Votes by definition, whatever a task remembers; rows of a key are one; the shuffle has a row a key."""
+    texts = {1: "a b b  c", 2: "", 3: "x " * 40_000, 4: "Ä é A"}
+    rows = [*texts.items(), (1, "c c d"), (5, None)]
+    docs = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+
+    def vote(words, at):
+        own = [int(hashlib.md5(w.encode()).hexdigest()[at : at + 16], 16) for w in words]
+        u = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in own) > len(own))
+        return u - (1 << 64) if u >> 63 else u
+
+    words = {k: v.lower().split(" ") for k, v in texts.items()}
+    words[1] += ["c", "c", "d"]
+    for kept in (1 << 16, 0):
+        monkeypatch.setattr(H, "KEPT_WORDS", kept)
+        got = H.simhash(docs, "k", "t", p=1, w=17)
+        assert {r.k: (r.p, r.w) for r in got.collect()} == {k: (vote(v, 0), vote(v, 16)) for k, v in words.items()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 2
