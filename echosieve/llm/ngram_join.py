@@ -5,9 +5,11 @@ counts that bound the overlap from above, then an exact intersection of sorted a
 size bands alone would hold every pair of documents of similar length, so they are narrowed first:
 
 1. A pair with ``den*I >= num*U`` differs in at most ``H = (den-num)(r+s)/(den+num)`` shingles. The
-   hash space of a tile is cut into more than H equal ranges, so the two sets agree wholly in some
-   range. Each set emits the digest of each range; sets that share one are candidates. The shuffle
-   carries two integers a range; sets that share nothing meet nowhere.
+   hash space of a tile is cut into more than H equal ranges, so the two sets agree wholly in all
+   but H ranges. Ranges have one order for all sets, those with most shingles first; then two linked
+   sets agree in one of the first H + 1 of each. Each set emits the digests of those; sets that share
+   one are candidates. So a line that very many texts share, alone in its range, makes no candidates
+   while other ranges do. The shuffle carries two integers a range.
 2. Candidates fall into clusters (connected components of a star for each shared digest). In each
    size-banded tile of a cluster the bitmaps alone are compared; what they can't tell apart stays
    together, which leaves small clusters. No link leaves one.
@@ -105,13 +107,12 @@ def range_digests(shingles: np.ndarray, how: Jaccard) -> np.ndarray:
         cuts = np.arange(1, k, dtype=_U) * _U((2**64 - 1) // k)
         at = np.concatenate(([0], np.searchsorted(shingles, cuts), [n]))
         sums = run[at[1:]] - run[at[:-1]]
-        filled = at[1:] > at[:-1]
         name = mix(np.arange(k, dtype=_U) + _U(tile << 32))
         keys = mix(sums ^ name)
-        # With h differences at most, k - h ranges agree; were as many empty, those count too.
-        most = how.differ(n, min(how.partner(n), how.partner(int(starts[tile + 1]) - 1)))
-        if k - int(filled.sum()) < k - most:
-            keys = keys[filled]
+        # In the lower tile a set meets those of the band that gave the tile its name; others in its own.
+        most = how.differ(n, how.partner(n) if tile == own else int(starts[own]) - 1)
+        # Of k keys in one order, k - most at least are shared, so one of the first most + 1 of each set is.
+        keys = keys[np.lexsort((keys, at[:-1] - at[1:]))[: most + 1]]
         out.append(keys)
     return np.concatenate(out)
 

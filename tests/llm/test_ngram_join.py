@@ -87,6 +87,15 @@ def test_linked_sets_share_a_range():
                 assert set(J.range_digests(a, how).tolist()) & set(J.range_digests(b, how).tolist())
 
 
+def test_a_line_that_very_many_texts_share_makes_no_candidates():
+    rng = np.random.default_rng(3)
+    line = np.array([1 << 63], dtype=np.uint64)
+    for how in (J.Jaccard(3, 9, 10), J.Jaccard(5, 4, 5)):
+        sets = [np.unique(np.append(rng.integers(0, 2**64, n, dtype=np.uint64), line)) for n in rng.integers(40, 900, 400)]
+        keys = np.concatenate([np.unique(J.range_digests(s, how)) for s in sets])
+        assert len(np.unique(keys)) == len(keys)
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = random.Random(2)
     sets = [np.array(sorted({rng.getrandbits(64) for _ in range(rng.choice([3, 300, 600]))}), dtype=np.uint64) for _ in range(20)]
