@@ -11,11 +11,23 @@ from ..plans.modes import LAST_PAGES
 from .tables import IMAGES, hashes, table
 
 
+#: Names that a task reads, where a table has fewer parts than there are cores.
+NAMES_A_TASK = 1 << 15
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in few parts, dealt to more tasks: names are few bytes and much work."""
+    if rows.rdd.getNumPartitions() >= rows.sparkSession.sparkContext.defaultParallelism:
+        return rows
+    tasks = -(-rows.count() // NAMES_A_TASK)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     """Parts as volume folders with bracketed tags, a volume label or a last number."""
     label = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" Vol. "), F.col("p_size"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" #"), F.col("p_size"))).otherwise(F.lit(" - uncensored"))
     name = F.concat(F.lit("["), F.col("p_brand"), F.lit("] "), F.col("p_type"), F.lit("_"), F.col("p_name"), label, F.when(F.col("p_partkey") % 5 == 0, " (ongoing)").otherwise(""))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("path"), name.alias("name"))
+    return _spread(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_name")).select(F.col("p_partkey").alias("path"), name.alias("name"))
 
 
 def skeleton_extract(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from echosieve.conf import Settings
-from echosieve.operators import funnel, groups
+from echosieve.operators import funnel, groups, volume
 from echosieve.queries import volumes
 
 
@@ -78,3 +78,14 @@ def test_exact_matches_alone(spark):
     df = spark.createDataFrame(rows, "path long, folder_path string, phash long, whash long").withColumn("hsv", F.expr("named_struct('h', 0D, 's', 0D, 'v', 0D)"))
     whole = {(r.a, r.b) for r in funnel.mutual_matches(df, Settings()).where("sim >= 0.9995").collect()}
     assert {(r.a, r.b) for r in funnel.mutual_matches(df, Settings(), 0.9995).collect()} == whole == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_pairs_of_volumes_are_made_by_many_tasks(spark, monkeypatch):
+    """One name that most folders have, paths that repeat, names and paths that are null."""
+    monkeypatch.setattr(volume, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(volume, "PAIRS_A_TASK", 1000, raising=False)
+    rows = [(f"p{i % 190}", "one" if i % 10 else f"s{i % 3}") for i in range(200)] + [("n1", None), ("n2", None), (None, "one"), ("alone", "single")]
+    got = volume.intra_pairs(spark.createDataFrame(rows, "path string, skeleton string")).withColumn("task", F.spark_partition_id()).collect()
+    whole = [(p, q, s) for p, s in rows for q, t in rows if p is not None and q is not None and s is not None and s == t and p < q]
+    assert sorted((r.a, r.b, r.skeleton) for r in got) == sorted(whole)
+    assert len({r.task for r in got}) > 10
