@@ -10,7 +10,9 @@ size bands alone would hold every pair of documents of similar length, so they a
    sets agree in one of the first H + 1 of each. Each set emits the digests of those; sets that share
    one are candidates. So a line that very many texts share, alone in its range, makes no candidates
    while other ranges do. The shuffle carries two integers a range.
-2. Candidates fall into clusters (connected components of a star for each shared digest). In each
+2. Candidates fall into clusters (connected components of a star for each shared digest). Very large
+   ones, which chance or a common passage chains together, are told apart by other cuts of the hash
+   space, as linked sets meet under any cut. In each
    size-banded tile of a cluster the bitmaps alone are compared; what they can't tell apart stays
    together, which leaves small clusters. No link leaves one.
 3. Only then texts move, each once unless its cluster is large, and each tile is compared exactly:
@@ -90,11 +92,13 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def range_digests(shingles: np.ndarray, how: Jaccard) -> np.ndarray:
-    """The tile keys of one sorted set; linked sets share at least one."""
+def range_digests(shingles: np.ndarray, how: Jaccard, cut: int = 0) -> np.ndarray:
+    """The tile keys of one sorted set; linked sets share at least one, whatever way the hash space is ``cut``."""
     n = len(shingles)
     if not n:
         return shingles
+    if cut:
+        shingles = np.sort(mix(shingles + _U(cut)))
     starts, ranges = _bands(how)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     run = np.zeros(n + 1, dtype=_U)
@@ -160,7 +164,7 @@ def set_features(docs: DataFrame, how: Jaccard) -> DataFrame:
 HELD_KEYS = 1 << 18
 
 
-def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
+def _tile_keys(docs: DataFrame, how: Jaccard, cut: int = 0) -> DataFrame:
     """Rows (tile, node, hub): sets by the tiles they take part in.
 
     Of the sets that share a tile in one task only the least stands for the tile, without a hub; the others
@@ -191,7 +195,7 @@ def _tile_keys(docs: DataFrame, how: Jaccard) -> DataFrame:
                 if not len(s) or (d := digest(s)[0]) in seen:
                     continue
                 seen.add(d)
-                keys.append(k := range_digests(s, how))
+                keys.append(k := range_digests(s, how, cut))
                 nodes.append(np.full(len(k), d, dtype=np.int64))
                 count += len(k)
                 if count > HELD_KEYS:
@@ -233,6 +237,36 @@ def _stars(keys: DataFrame) -> DataFrame:
     return by_tile.mapInArrow(run, "u long, v long").distinct()
 
 
+#: Times that the sets of large clusters are told apart by another cut, and what a cluster must lose for one more.
+CUTS, LOSS = 3, 0.2
+
+
+def _narrowed(docs: DataFrame, copies: DataFrame, near: DataFrame, how: Jaccard) -> DataFrame:
+    """The clusters ``near(node, cluster)``, those over four tiles split by other cuts of the hash space.
+
+    Linked sets share a tile under every cut, so no link leaves a cluster; sets that share a tile by chance under
+    one cut seldom do under the next. Real groups of near copies stay whole.
+    """
+    before = None
+    for cut in range(1, CUTS + 1):
+        sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * how.tile_rows)
+        large = written(sizes, "large")
+        now = large.agg(F.sum("n")).first()[0] or 0
+        if not now or before is not None and now > before * (1 - LOSS):
+            dropped(large)
+            break
+        before = now
+        inside = written(near.join(large, "cluster", "left_semi"), "inside")
+        reps = copies.join(inside, copies.d1 == inside.node).select("rep")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        texts = texts.join(reps.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text")
+        again = written(components(_stars(_tile_keys(texts, how, cut))).select(F.col("node").alias("other"), F.col("label").alias("again")), "again")
+        split = inside.join(again, inside.node == again.other).select("node", F.xxhash64("cluster", "again").alias("cluster"))
+        old, near = near, written(near.join(large, "cluster", "left_anti").select("node", "cluster").unionByName(split), "near")
+        dropped(old, large, inside, again)
+    return near
+
+
 class _Sweep:
     """Sets in order of size, joined to groups; for each the later ones that its bitmap allows."""
 
@@ -383,6 +417,7 @@ def _labelled(docs: DataFrame, how: Jaccard) -> DataFrame:
     rows = written(set_features(docs, how), "features")
     copies = rows.where("n_shingles > 0").groupBy("n_shingles", "d1").agg(F.min("doc_id").alias("rep"))
     near = written(components(_stars(_tile_keys(docs, how))).select("node", F.col("label").alias("cluster")), "near")
+    near = _narrowed(docs, copies, near, how)
     wanted = copies.join(near, copies.d1 == near.node).select("node", "cluster", "n_shingles", "rep")
     first = rows.select(F.col("doc_id").alias("id"), F.col("d1").alias("d"), "bits")
     signed = wanted.join(first, F.col("rep").eqNullSafe(F.col("id")) & (F.col("node") == F.col("d"))).drop("id", "d", "rep")

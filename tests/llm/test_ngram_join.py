@@ -4,9 +4,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import DOCS, corpus, frame
+from pyspark.sql import functions as F
 
 from echosieve.llm import ngram_join as J
 from echosieve.llm.components import components
+from echosieve.llm.storage import written
 from echosieve.llm.text import shingle_sets
 
 
@@ -84,7 +86,8 @@ def test_linked_sets_share_a_range():
             a, b = (np.array(sorted(set(x)), dtype=np.uint64) for x in (base, other))
             both = len(np.intersect1d(a, b))
             if how.den * both >= how.num * (len(a) + len(b) - both):
-                assert set(J.range_digests(a, how).tolist()) & set(J.range_digests(b, how).tolist())
+                for cut in (0, 1, 2):
+                    assert set(J.range_digests(a, how, cut).tolist()) & set(J.range_digests(b, how, cut).tolist())
 
 
 def test_a_line_that_very_many_texts_share_makes_no_candidates():
@@ -96,6 +99,21 @@ def test_a_line_that_very_many_texts_share_makes_no_candidates():
         assert len(np.unique(keys)) == len(keys)
 
 
+def test_large_clusters_are_told_apart_by_other_cuts(spark):
+    """Texts that share half of their words with all others, and some near copies among them."""
+    rng, how = random.Random(4), J.Jaccard(5, 4, 5, tile_rows=5)
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(24))) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 20, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    copies = J.set_features(docs, how).select(F.col("doc_id").alias("rep"), "n_shingles", "d1")
+    near = written(components(J._stars(J._tile_keys(docs, how))).select("node", F.col("label").alias("cluster")), "near")
+    largest = lambda x: x.groupBy("cluster").count().agg(F.max("count")).first()[0]
+    before = largest(near)
+    assert largest(J._narrowed(docs, copies, near, how)) < before
+    assert got(J.ngram_components(docs, how)) == brute(rows, how)
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = random.Random(2)
     sets = [np.array(sorted({rng.getrandbits(64) for _ in range(rng.choice([3, 300, 600]))}), dtype=np.uint64) for _ in range(20)]
