@@ -14,7 +14,11 @@ Texts are dealt into blocks, and what the corpus knows of a block's windows come
 with the sorted names of its different windows, cut by ranges into parts; a part sums the counts of all
 blocks and answers each in the order it asked. A window is asked for only where both its parts are kept, so
 longer windows are ever fewer (all of one or two symbols are asked for at once), and names cross the network
-as plain arrays. Each pass is written before the next, and its shuffles deleted.
+as plain arrays. What follows a context is summed in the same way: for a window that many blocks have, one of them
+speaks, and each gets the sums of all contexts it has, whole numbers that the rest follows from, and whether what
+follows diverges; as the chances after a context's parent must be known for that, contexts come a length behind
+windows. At last blocks tell which contexts are suffixes of states. Each pass is written before the next, and its
+shuffles deleted.
 """
 
 from __future__ import annotations
@@ -57,8 +61,10 @@ class Tree:
 
 #: Bytes of text in a block, and bytes of text whose windows' names make up a part.
 BLOCK_BYTES, PART_BYTES = 6 << 20, 12 << 20
-#: Shares of the blocks that are scored one after the other, so that the disk holds the asks of one share alone.
-WAVES = 4
+#: What blocks ask for: counts of windows, sums of what follows contexts, and which contexts are suffixes of states.
+WINDOWS, CONTEXTS, MARKS = 0, 1, 2
+#: Answers to a block by kind and number of symbols, as :func:`_answers` has them.
+Told = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 #: Tokens that a counting task holds before it sums and passes them on.
 HELD_TOKENS = 1 << 21
 
@@ -140,6 +146,37 @@ def named(ctx: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts 64-bit hashes, equal ones as they stand: ``argsort(keys, kind="stable")``.
+
+    A key's first bits and its place are sorted as one integer, which is several times faster; the few keys
+    that only later bits tell apart are put in order after that, so the result is exact.
+    """
+    bits = _U(max(1, (len(keys) - 1).bit_length()))
+    low = (_U(1) << bits) - _U(1)
+    packed = keys & ~low | np.arange(len(keys), dtype=_U)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    found, first = keys[order], packed >> bits
+    wrong = np.flatnonzero((first[1:] == first[:-1]) & (found[1:] < found[:-1]))
+    if len(wrong) > 1000:
+        return np.argsort(keys, kind="stable")
+    for lo, hi in {(int(np.searchsorted(first, x)), int(np.searchsorted(first, x, side="right"))) for x in first[wrong]}:
+        order[lo:hi] = order[lo:hi][np.argsort(found[lo:hi], kind="stable")]
+    return order
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different hashes, which of them each hash is, and where each occurs first."""
+    order = ordered(keys)
+    found = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    place = np.empty(len(keys), dtype=np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return found[new], place, order[new]
+
+
 class Index:
     """Where distinct hashes stand in an array: open addressing, half filled at most, in whole arrays."""
 
@@ -220,12 +257,16 @@ def predicted(c: list[np.ndarray], rest: list[np.ndarray], root: np.ndarray, sta
 class Block:
     """The texts of a block and their windows, length by length as far as there are answers.
 
-    For windows of n symbols: ``names[n]`` are the different ones that are asked for, ``at[n]`` where all of them
-    end and ``place[n]`` which one ends there; ``c[n]`` has, by where a window ends, how often training texts have
-    it, 0 if it isn't kept; and ``owned[n]`` where those end that this block speaks for.
+    For windows of n symbols: ``names[n]`` are the different ones that are asked for, ``first[n]`` where each ends
+    first, ``at[n]`` where all of them end and ``place[n]`` which one ends there; ``c[n]`` has, by where a window
+    ends, how often training texts have it, 0 if it isn't kept; and ``owned[n]`` where those end that this block
+    speaks for. For contexts of n symbols, by name: ``often[n]`` those that occur often enough, ``rest[n]`` their rest, not a
+    number where nothing kept follows, and ``grown[n]`` those that diverge.
     """
 
-    def __init__(self, texts: pa.Array, answers: dict[int, np.ndarray], least: float, longest: int) -> None:
+    def __init__(self, texts: pa.Array, told: Told, start: Root | None, how: Tree, longest: int) -> None:
+        self.start, self.how = start, how
+        least = _bounds(start, how)[0] if start else 0
         flats, starts, size = [], [], 0
         for _, words, at in word_hashes(texts):
             flat, own = _sequences(words, at)
@@ -237,7 +278,8 @@ class Block:
         self.text = np.repeat(np.arange(len(self.starts), dtype=np.int32), lengths)
         back = np.arange(size) - np.repeat(self.starts, lengths)
         none = np.zeros(0, dtype=np.int64)
-        self.c, self.keys, self.names, self.at, self.place, self.owned = [none], [none], [none], [none], [none], [none]
+        self.c, self.keys, self.names, self.first, self.at, self.place, self.owned = ([none] for _ in range(7))
+        self.often, self.rest, self.grown = [none], [none], [none]
         full, at = self.flat, np.arange(size)
         for n in range(1, longest + 1):
             if n > 1:
@@ -247,23 +289,69 @@ class Block:
                 at, before = np.flatnonzero(fits), full
                 full = np.zeros(size, dtype=_U)
                 full[at] = named(before[at - 1], before[at])
-            names, place = np.unique(full[at], return_inverse=True)
-            for into, of in zip((self.keys, self.names, self.at, self.place), (full, names, at, place), strict=True):
+            names, place, ahead = distinct(full[at])
+            first = at[ahead]
+            for into, of in zip((self.keys, self.names, self.first, self.at, self.place), (full, names, first, at, place), strict=True):
                 into.append(of)
-            if n not in answers and len(names):
+            if (WINDOWS, n) not in told and len(names):
                 if n == 1:
                     continue
                 return
-            told = answers.get(n, none)
+            count = told.get((WINDOWS, n), (none, none))[0]
             found = np.zeros(size, dtype=np.int64)
-            found[at] = (told >> 1)[place]
+            found[at] = (count >> 1)[place]
             if n > 1:
                 found[1:][(self.c[n - 1][:-1] < least) | (self.c[n - 1][1:] == 0)] = 0
             self.c.append(found)
-            first = np.zeros(len(names), dtype=np.int64)
-            first[place[::-1]] = at[::-1]
-            first = first[told & 1 > 0]
+            first = first[count & 1 > 0]
             self.owned.append(first[found[first] > 0])
+            self._after(n, told, least)
+
+    def _after(self, n: int, told: Told, least: float) -> None:
+        """Take in what is known of the contexts of n symbols."""
+        t = self.c[n][self.first[n]]
+        often, rest, grown = (t > 0) & (t >= least), np.full(len(t), np.nan), np.zeros(len(t), dtype=bool)
+        if (CONTEXTS, n) in told:
+            m, sums = told[CONTEXTS, n]
+            grown[often], m, t = m & 1 > 0, m >> 1, t[often]
+            rest[often] = np.where(m > 0, (t - sums + self.how.discount * m) / t, np.nan)
+        for into, of in zip((self.often, self.rest, self.grown), (often, rest, grown), strict=True):
+            into.append(of)
+
+    def spread(self, n: int, values: np.ndarray, none: float | bool) -> np.ndarray:
+        """Values of the names of windows of n symbols by where those end, ``none`` where none does."""
+        out = np.full(len(self.flat), none, dtype=values.dtype)
+        out[self.at[n]] = values[self.place[n]]
+        return out
+
+    def follows(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What this block says of its contexts of n symbols: kept windows, their counts' sum, the nats gained."""
+        at = self.owned[n + 1]
+        up = (self.c[1][at] - self.start.discount) / max(1, self.start.tokens)
+        for k in range(2, n + 1):
+            up = (self.c[k][at] - self.how.discount) / self.c[k - 1][at - 1] + self.spread(k - 1, self.rest[k - 1], np.nan)[at - 1] * up
+        c, t = self.c[n + 1][at], self.c[n][at - 1]
+        own, size = self.spread(n, np.arange(len(self.names[n])), 0)[at - 1], len(self.names[n])
+        gain = np.bincount(own, weights=c * np.log(c / t / up), minlength=size)
+        return np.bincount(own, minlength=size), np.bincount(own, weights=c, minlength=size).astype(np.int64), gain
+
+    def unsure(self, n: int) -> np.ndarray:
+        """The contexts of n symbols, by name, that are states only as suffixes of states."""
+        return ~np.isnan(self.rest[n]) & ~self.grown[n]
+
+    def marks(self, n: int) -> np.ndarray:
+        """The contexts of n symbols, by name, that are suffixes of those here that diverge."""
+        out = np.zeros(len(self.names[n]), dtype=bool)
+        longer = np.logical_or.reduce([self.spread(k, self.grown[k], False) for k in range(n + 1, self.how.depth + 1)])
+        out[self.place[n][longer[self.at[n]]]] = True
+        return out
+
+    def states(self, n: int, told: Told) -> np.ndarray:
+        """The rest of the contexts of n symbols, by name; not a number for those that are no states."""
+        own = self.grown[n].copy()
+        if (MARKS, n) in told:
+            own[self.unsure(n)] = told[MARKS, n][0] > 0
+        return np.where(own, self.rest[n], np.nan)
 
 
 def _bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,114 +398,156 @@ def _parted(names: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part[cuts], cuts
 
 
-def _counted(n: int, block: int, names: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
-    """A row for each part that a block's names fall into: (n, part, block, names, counts, large)."""
+def _counted(kind: int, n: int, block: int, names: np.ndarray, parts: int, counts: np.ndarray, sums: np.ndarray | None = None, gains: np.ndarray | None = None) -> pa.Table:
+    """A row for each part that a block's names fall into; ``gains`` are told where ``counts`` aren't 0."""
     part, cuts = _parted(names, parts)
-    small, large, at = _bytes(counts)
-    return pa.table(
-        {
-            "n": pa.array(np.full(len(cuts), n, dtype=np.int32)), "part": pa.array(part), "block": pa.array(np.full(len(cuts), block, dtype=np.int64)),
-            "names": _binary(names, cuts), "counts": _binary(small, cuts), "large": _binary(large, np.searchsorted(at, cuts)),
-        }
-    )
+    rows = len(cuts)
+    columns = {"kind": pa.array(np.full(rows, kind, dtype=np.int32)), "n": pa.array(np.full(rows, n, dtype=np.int32)), "part": pa.array(part)}
+    columns |= {"block": pa.array(np.full(rows, block, dtype=np.int64)), "names": _binary(names, cuts)}
+    columns |= {"gains": pa.nulls(rows, pa.binary()), "sums": pa.nulls(rows, pa.binary()), "sums_large": pa.nulls(rows, pa.binary())}
+    columns["counts"], columns["large"] = _both(counts, cuts)
+    if sums is not None and gains is not None:
+        columns["sums"], columns["sums_large"] = _both(sums, cuts)
+        told = np.flatnonzero(counts)
+        columns["gains"] = _binary(gains[told], np.searchsorted(told, cuts))
+    return pa.table(columns).select(_ASK_COLUMNS)
+
+
+def _both(values: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Pieces of whole numbers as two columns of binary values."""
+    small, large, at = _bytes(values)
+    return _binary(small, cuts), _binary(large, np.searchsorted(at, cuts))
+
 
+def _answers(table: pa.Table) -> Told:
+    """The answers to a block, by kind and length, in the order it asked.
 
-def _answers(table: pa.Table) -> dict[int, np.ndarray]:
-    """The answers to a block, by length, in the order it asked: twice the total, and one more if it shall speak."""
+    For windows, twice the total, and one more if it shall speak; for contexts, twice the number of kept windows,
+    and one more if they diverge, and the sum of their counts; for marks, how many there are.
+    """
     if not table.num_rows:
         return {}
-    table = table.sort_by([("n", "ascending"), ("part", "ascending")])
+    table = table.sort_by([("kind", "ascending"), ("n", "ascending"), ("part", "ascending")])
+    code = table.column("kind").to_numpy().astype(np.int64) << 32 | table.column("n").to_numpy()
+    cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))).tolist()
     out = {}
-    for n in pa.compute.unique(table.column("n")).to_pylist():
-        own = table.filter(pa.compute.equal(table.column("n"), n))
-        out[n] = _numbers(_joined(own.column("totals"), np.uint8), _joined(own.column("large"), np.int64))
+    for lo, hi in zip(cuts, [*cuts[1:], len(code)], strict=True):
+        own = table.slice(lo, hi - lo)
+        numbers = [_numbers(_joined(own.column(c), np.uint8), _joined(own.column(d), np.int64)) for c, d in (("totals", "large"), ("sums", "sums_large"))]
+        out[int(code[lo]) >> 32, int(code[lo]) & 0xFFFFFFFF] = tuple(numbers)
     return out
 
 
-_ASK = "n int, part long, block long, names binary, counts binary, large binary"
-_ANSWER = "n int, part long, block long, totals binary, large binary, different long, tokens long, one long, two long"
+_ASK = "kind int, n int, part long, block long, names binary, counts binary, large binary, sums binary, sums_large binary, gains binary"
+_ASK_COLUMNS = [c.split()[0] for c in _ASK.split(", ")]
+_TOLD = ["kind", "n", "part", "block", "totals", "large", "sums", "sums_large"]
+_ANSWER = "kind int, n int, part long, block long, totals binary, large binary, sums binary, sums_large binary, different long, tokens long, one long, two long"
 
 
-def _summed_parts(asked: DataFrame, floor: float) -> DataFrame:
-    """Answers to the rows of :func:`_ask`: totals of names, 0 for windows of two or more under ``floor``.
+def _summed_parts(asked: DataFrame, floor: float, gain: float) -> DataFrame:
+    """Answers to the rows of :func:`_ask`, as :func:`_answers` reads them; 0 for windows of two or more under ``floor``.
 
-    One block of those that ask for a name shall speak for it. For words a row of block -1 tells how many
+    One block of those that ask for a window shall speak for it. For words a row of block -1 tells how many
     different ones training texts have, how many in all, and how many once and twice.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        n, part = table.column("n")[0].as_py(), table.column("part")[0].as_py()
+        kind, n, part = (table.column(c)[0].as_py() for c in ("kind", "n", "part"))
         names, sizes = _joined(table.column("names"), _U), _sizes(table.column("names")) // 8
         counts = _numbers(_joined(table.column("counts"), np.uint8), _joined(table.column("large"), np.int64))
-        order = np.argsort(names, kind="stable")
+        order = ordered(names << _U(32) | names >> _U(32))  # names of a part begin alike
         names = names[order]
         at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-        totals = np.add.reduceat(counts[order], at)
-        kept = np.where(totals >= (1 if n == 1 else floor), totals, 0)
-        out = np.empty(len(names), dtype=np.int64)
-        out[order] = np.repeat(2 * kept, np.diff(np.append(at, len(names))))
-        out[order[at]] += kept > 0
-        rows, cuts = len(sizes), np.cumsum(sizes) - sizes
-        small, large, where = _bytes(out)
-        word = (names[at] != START) & (names[at] != END) & (totals > 0) & (n == 1)
-        facts = [int(word.sum()), int(totals[word].sum()), int((totals[word] == 1).sum()), int((totals[word] == 2).sum())]
+        times = np.diff(np.append(at, len(names)))
+        totals, cuts = np.add.reduceat(counts[order], at), np.cumsum(sizes) - sizes
+
+        def each(values: np.ndarray) -> np.ndarray:
+            out = np.empty(len(names), dtype=np.int64)
+            out[order] = np.repeat(values, times)
+            return out
+
+        rows, facts = len(sizes), [0, 0, 0, 0]
+        sums = (pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()))
+        if kind == WINDOWS:
+            kept = np.where(totals >= (1 if n == 1 else floor), totals, 0)
+            out = each(2 * kept)
+            out[order[at]] += kept > 0
+            word = (names[at] != START) & (names[at] != END) & (totals > 0) & (n == 1)
+            facts = [int(word.sum()), int(totals[word].sum()), int((totals[word] == 1).sum()), int((totals[word] == 2).sum())]
+        elif kind == CONTEXTS:
+            gains = np.zeros(len(names))
+            gains[counts > 0] = _joined(table.column("gains"), np.float64)
+            diverge = np.add.reduceat(gains[order], at) > gain * (1 + totals)
+            out = each(2 * totals + (diverge & (totals > 0)))
+            own = _numbers(_joined(table.column("sums"), np.uint8), _joined(table.column("sums_large"), np.int64))
+            sums = _both(each(np.add.reduceat(own[order], at)), cuts)
+        else:
+            out = each(totals)
         empty = pa.array([b""], pa.binary())
-        columns = {
-            "n": pa.array([n] * (rows + 1), pa.int32()), "part": pa.array([part] * (rows + 1), pa.int64()),
-            "block": pa.concat_arrays([*table.column("block").chunks, pa.array([-1], pa.int64())]),
-            "totals": pa.concat_arrays([_binary(small, cuts), empty]), "large": pa.concat_arrays([_binary(large, np.searchsorted(where, cuts)), empty]),
-        }
+        columns = {k: pa.array([v] * (rows + 1), t) for k, v, t in (("kind", kind, pa.int32()), ("n", n, pa.int32()), ("part", part, pa.int64()))}
+        columns["block"] = pa.concat_arrays([*table.column("block").chunks, pa.array([-1], pa.int64())])
+        columns |= {k: pa.concat_arrays([v, empty]) for k, v in zip(_TOLD[4:], (*_both(out, cuts), *sums), strict=True)}
         return pa.table(columns | {k: pa.array([0] * rows + [v], pa.int64()) for k, v in zip(("different", "tokens", "one", "two"), facts, strict=True)})
 
-    return asked.groupBy("n", "part").applyInArrow(run, _ANSWER)
+    return asked.groupBy("kind", "n", "part").applyInArrow(run, _ANSWER)
 
 
-def _told(dealt: DataFrame, answers: list[DataFrame], run: Callable[[pa.Table, dict[int, np.ndarray]], pa.Table], schema: str) -> DataFrame:
-    """``run`` over each block's rows and the answers it got so far."""
+def _told(dealt: DataFrame, answers: list[DataFrame], longest: int, run: Callable[[pa.Table, Told], pa.Table], schema: str) -> DataFrame:
+    """``run`` over each block's rows and the answers it got so far for up to ``longest`` symbols."""
     if not answers:
         return dealt.groupBy("block").applyInArrow(lambda rows: run(rows, {}), schema)
-    got = reduce(DataFrame.unionByName, answers).where("block >= 0").select("n", "part", "block", "totals", "large")
+    got = reduce(DataFrame.unionByName, answers).where((F.col("block") >= 0) & (F.col("n") <= longest)).select(*_TOLD)
     both = dealt.groupBy("block").cogroup(got.groupBy("block"))
     return both.applyInArrow(lambda rows, told: run(rows, _answers(told)), schema)
 
 
-def _ask(dealt: DataFrame, answers: list[DataFrame], longest: int, least: float, parts: int) -> DataFrame:
-    """What blocks ask for next: windows of ``longest`` symbols, or at first those of one and of two."""
+def _ask(dealt: DataFrame, answers: list[DataFrame], kinds: list[tuple[int, int]], start: Root | None, how: Tree, parts: int) -> DataFrame:
+    """What blocks ask for next: ``kinds`` and numbers of symbols."""
+    longest = max(n + (kind == CONTEXTS) for kind, n in kinds)
 
-    def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
-        block = Block(rows.column("text"), told, least, longest)
+    def run(rows: pa.Table, told: Told) -> pa.Table:
+        block, number, out = Block(rows.column("text"), told, start, how, longest), rows.column("block")[0].as_py(), []
         times = np.where(rows.column("held_out").to_numpy(zero_copy_only=False), 0, rows.column("times").to_numpy())
-        out = []
-        for n in range(1 if longest == 2 else longest, len(block.names)):
-            names, at, place = block.names[n], block.at[n], block.place[n]
-            counts = np.bincount(place, weights=times[block.text[at]], minlength=len(names)).astype(np.int64)
-            out.append(_counted(n, rows.column("block")[0].as_py(), names, counts, parts))
-        return pa.concat_tables(out) if out else _counted(longest, 0, np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64), parts)
-
-    return _told(dealt, answers, run, _ASK)
+        for kind, n in kinds:
+            if kind == WINDOWS:
+                names, at, place = block.names[n], block.at[n], block.place[n]
+                counts = np.bincount(place, weights=times[block.text[at]], minlength=len(names)).astype(np.int64)
+                out.append(_counted(kind, n, number, names, parts, counts))
+            elif kind == CONTEXTS:
+                often = block.often[n]
+                out.append(_counted(kind, n, number, block.names[n][often], parts, *(x[often] for x in block.follows(n))))
+            else:
+                for k in range(1, n):
+                    unsure = block.unsure(k)
+                    out.append(_counted(kind, k, number, block.names[k][unsure], parts, block.marks(k)[unsure].astype(np.int64)))
+        return pa.concat_tables(out)
+
+    return _told(dealt, answers, longest, run, _ASK)
 
 
 def _spoken(dealt: DataFrame, answers: list[DataFrame], start: Root, how: Tree) -> DataFrame:
-    """Every kept window of two symbols or more, once: (n, ctx, low, c, total, up).
-
-    ``total`` is the context's count, and ``up`` the chance of a single symbol without context, else null.
-    """
-    least, longest = _bounds(start, how)[0], how.depth + 1
+    """Every kept window of two symbols or more, once: (ctx, low, c)."""
 
-    def run(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
-        block = Block(rows.column("text"), told, least, longest)
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for n in range(2, longest + 1):
+    def run(rows: pa.Table, told: Told) -> pa.Table:
+        block, out = Block(rows.column("text"), told, start, how, how.depth + 1), []
+        for n in range(2, how.depth + 2):
             at = block.owned[n]
-            up = (block.c[1][at] - start.discount) / max(1, start.tokens) if n == 2 else np.full(len(at), np.nan)
-            columns = (np.full(len(at), n, dtype=np.int32), block.keys[n - 1][at - 1].view(np.int64), block.keys[n - 1][at].view(np.int64), block.c[n][at], block.c[n - 1][at - 1], up)
-            for into, of in zip(out, columns, strict=True):
-                into.append(of)
-        joined = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table({k: pa.array(x, t, from_pandas=True) for k, x, t in zip(("n", "ctx", "low", "c", "total", "up"), joined, types, strict=True)})
+            out.append((block.keys[n - 1][at - 1].view(np.int64), block.keys[n - 1][at].view(np.int64), block.c[n][at]))
+        return pa.table({k: pa.array(np.concatenate(x)) for k, x in zip(("ctx", "low", "c"), zip(*out, strict=True), strict=True)})
+
+    return _told(dealt, answers, how.depth + 1, run, "ctx long, low long, c long")
 
-    return _told(dealt, answers, run, "n int, ctx long, low long, c long, total long, up double")
+
+def _states(dealt: DataFrame, answers: list[DataFrame], start: Root, how: Tree) -> DataFrame:
+    """Every state, once: (g, rest), the names of contexts with the share of what isn't kept."""
+
+    def run(rows: pa.Table, told: Told) -> pa.Table:
+        block = Block(rows.column("text"), told, start, how, how.depth + 1)
+        rest = np.concatenate([block.states(n, told) for n in range(1, how.depth + 1)])
+        names = np.concatenate(block.names[1 : how.depth + 1])[~np.isnan(rest)]
+        return pa.table({"g": pa.array(names.view(np.int64)), "rest": pa.array(rest[~np.isnan(rest)])})
+
+    return _told(dealt, answers, how.depth + 1, run, "g long, rest double").distinct()
 
 
 def dealt_out(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -432,55 +562,28 @@ def dealt_out(rows: DataFrame) -> tuple[DataFrame, int]:
     return once.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("long")), most
 
 
-def tree(dealt: DataFrame, how: Tree) -> tuple[Root, list[DataFrame], DataFrame, DataFrame]:
+def tree(dealt: DataFrame, how: Tree) -> tuple[Root, list[DataFrame]]:
     """Learn from the training texts of :func:`dealt_out`.
 
-    Returns the root; the answers to all blocks, by length of windows; the kept windows (n, ctx, low, c, total,
-    up); and the states (g, rest): names of contexts with the share of what isn't kept. All are written tables in
-    parts, as large as the corpus makes them.
+    Returns the root and the answers to all blocks, as :func:`_answers` reads them: written tables in parts, as
+    large as the corpus makes them.
     """
     size = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     texts = dealt.where("not held_out").agg(F.sum("times")).first()[0] or 0
-    answers = [written(_summed_parts(_ask(dealt, [], 2, 0, parts), how.least), "answers")]
+    answers = [written(_summed_parts(_ask(dealt, [], [(WINDOWS, 1), (WINDOWS, 2)], None, how, parts), how.least, how.gain), "answers", "zstd")]
     found = answers[0].agg(*(F.sum(c).alias(c) for c in ("different", "tokens", "one", "two"))).first()
     tokens, different = (found.tokens or 0) + texts, (found.different or 0) + bool(texts)
     discount = min(0.95, max(0.05, (found.one or 0) / max(1, (found.one or 0) + 2 * (found.two or 0))))
     start = Root(texts, tokens, different, discount * different / tokens if tokens else 1.0, discount)
-    least, floor = _bounds(start, how)
-    for n in range(3, how.depth + 2):
-        answers.append(written(_summed_parts(_ask(dealt, answers, n, least, parts), floor), "answers"))
-    windows = written(_spoken(dealt, answers, start, how), "windows")
-
-    c, t, m = F.col("c"), F.col("total"), F.col("m")
-    name, above, grown = F.xxhash64("ctx", "low").alias("g"), None, []
-    for n in range(2, how.depth + 2):
-        own = windows.where(F.col("n") == n)
-        if above is not None:
-            own = written(own.drop("up").join(above, "low"), "own")
-            dropped(above)
-        gain = F.sum(c * F.log(c / t / F.col("up")))
-        sums = own.groupBy("ctx").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("s"), F.max("total").alias("t"), gain.alias("gain"))
-        rest = ((F.col("t") - F.col("s") + how.discount * m) / F.col("t")).alias("rest")
-        grown.append(written(sums.select("ctx", rest, (F.col("gain") > how.gain * (1 + m)).alias("state")), "contexts"))
-        if n <= how.depth:
-            smooth = (c - how.discount) / t + F.col("rest") * F.col("up")
-            above = written(own.join(grown[-1], "ctx").select(F.xxhash64("ctx", "low").alias("low"), smooth.alias("up")), "chances")
-        if n > 2:
-            dropped(own)
-    # All suffixes of a state are states; longest first.
-    out, longer = [], None
-    for n in range(how.depth + 1, 1, -1):
-        states = grown[n - 2].where("state").select("ctx")
-        if longer is not None:
-            states = states.unionByName(longer).distinct()
-        kept = written(grown[n - 2].join(states, "ctx", "left_semi").select(F.col("ctx").alias("g"), "rest"), "states")
-        if n > 2:
-            longer = windows.where(F.col("n") == n - 1).select(name, F.col("low").alias("ctx")).join(kept, "g", "left_semi").select("ctx")
-        out.append(kept)
-    states = written(reduce(DataFrame.unionByName, out), "rests")
-    dropped(*out, *grown)
-    return start, answers, windows, states
+    # Contexts of two and more symbols are most of what is asked, so the disk holds them without windows.
+    steps = [[(WINDOWS, 3), (CONTEXTS, 1)] if how.depth > 1 else [(CONTEXTS, 1)]]
+    for n in range(2, how.depth + 1):
+        steps += [[(CONTEXTS, n)], [(WINDOWS, n + 2)] if n < how.depth else [(MARKS, n)]]
+    for kinds in steps:
+        asked = _ask(dealt, answers, kinds, start, how, parts)
+        answers.append(written(_summed_parts(asked, _bounds(start, how)[1], how.gain), "answers", "zstd"))
+    return start, answers
 
 
 class Model:
@@ -514,13 +617,14 @@ class Model:
 def learn(rows: DataFrame, words: DataFrame, how: Tree) -> Model:
     """The whole tree of a small corpus ``rows(held_out, text)``, whose words' counts are ``words(h, c)``."""
     dealt, _ = dealt_out(rows.select(F.lit(0).cast("long").alias("doc_id"), "held_out", F.coalesce("text", F.lit("")).alias("text")))
-    start, answers, windows, states = tree(dealt, how)
+    start, answers = tree(dealt, how)
+    windows, states = _spoken(dealt, answers, start, how), _states(dealt, answers, start, how)
     edges = np.array([START, END], dtype=_U)
     found, held, own = windows.toArrow(), words.where("c > 0").toArrow(), states.toArrow()
     integers = lambda table, c: table.column(c).to_numpy().astype(np.int64)
     names = [integers(held, "h").view(_U), edges, named(integers(found, "ctx").view(_U), integers(found, "low").view(_U))]
     counts = [integers(held, "c"), np.full(2, start.texts), integers(found, "c")]
-    dropped(*answers, windows, states)
+    dropped(*answers)
     return Model(start, (np.concatenate(names), np.concatenate(counts)), (integers(own, "g").view(_U), own.column("rest").to_numpy()), how)
 
 
@@ -540,50 +644,13 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), unseen_fold(F.col("doc_id")).alias("held_out"), text.alias("text"))
     dealt, most = dealt_out(rows)
-    start, answers, windows, states = tree(dealt, how)
-    dropped(windows)
-    least, longest = _bounds(start, how)[0], how.depth + 1
+    start, answers = tree(dealt, how)
+    longest = how.depth + 1
     tokens, divisor = start.tokens, float(start.tokens + start.different + 1)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
 
-    def contexts(rows: pa.Table, told: dict[int, np.ndarray]) -> pa.Table:
-        block, number = Block(rows.column("text"), told, least, longest), rows.column("block")[0].as_py()
-        kept = []
-        for n in range(1, longest):
-            known = np.zeros(len(block.names[n]), dtype=bool)
-            known[block.place[n]] = block.c[n][block.at[n]] > 0
-            kept.append(block.names[n][known])
-        names = np.sort(np.concatenate(kept))
-        part, cuts = _parted(names, parts)
-        return pa.table({"part": pa.array(part), "block": pa.array(np.full(len(cuts), number, dtype=np.int64)), "names": _binary(names, cuts)})
-
-    def rests(asked: pa.Table, known: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "names": pa.array([], pa.binary()), "rest": pa.array([], pa.binary())})
-        states, rest = known.column("g").to_numpy().astype(np.int64).view(_U), known.column("rest").to_numpy()
-        order = np.argsort(states)
-        states, rest = np.append(states[order], _U(0)), np.append(rest[order], np.nan)
-        names, sizes = _joined(asked.column("names"), _U), _sizes(asked.column("names")) // 8
-        at = np.searchsorted(states[:-1], names)
-        found = np.flatnonzero(states[at] == names)
-        found = found[at[found] < len(states) - 1]
-        own = np.repeat(np.arange(len(sizes)), sizes)[found]
-        cuts = np.searchsorted(own, np.arange(len(sizes)))
-        return pa.table({"part": asked.column("part"), "block": asked.column("block"), "names": _binary(names[found], cuts), "rest": _binary(rest[at[found]], cuts)})
-
-    def score(rows: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(rows.column("text"), _answers(told.filter(pa.compute.is_valid(told.column("totals")))), least, longest)
-        mine = told.filter(pa.compute.is_valid(told.column("names"))).sort_by("part")
-        names, found = (_joined(mine.column(c), k) for c, k in (("names", _U), ("rest", np.float64)))
-        names, found = np.append(names, _U(0)), np.append(found, np.nan)
-        rest = [np.zeros(0)]
-        for n in range(1, longest):
-            at = np.searchsorted(names[:-1], block.names[n])
-            own = np.where(names[at] == block.names[n], found[at], np.nan)
-            rest.append(np.full(len(block.flat), np.nan))
-            rest[n][block.at[n]] = own[block.place[n]]
-            rest[n][block.c[n] == 0] = np.nan
+    def score(rows: pa.Table, told: Told) -> pa.Table:
+        block = Block(rows.column("text"), told, start, how, longest)
+        rest = [np.zeros(0), *(block.spread(n, block.states(n, told), np.nan) for n in range(1, longest))]
         ones = np.ones(len(block.flat))
         ones[block.starts] = 0.0
         counts = block.c[1]
@@ -598,19 +665,7 @@ def scores(docs: DataFrame, how: Tree = Tree()) -> DataFrame:  # noqa: B008
             }
         )
 
-    null, part = F.lit(None), F.shiftrightunsigned(F.shiftrightunsigned("g", 32) * F.lit(parts), 32).alias("part")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
-    out, waves = [], max(1, min(WAVES, -(-size // BLOCK_BYTES)))
-    for wave in range(waves):
-        mine = F.pmod("block", F.lit(waves)) == wave
-        told = [a.where(mine) for a in answers]
-        asked = _told(dealt.where(mine), told, contexts, "part long, block long, names binary")
-        answered = asked.groupBy("part").cogroup(states.select(part, "g", "rest").groupBy("part")).applyInArrow(rests, "part long, block long, names binary, rest binary")
-        answered = written(answered, "rests")
-        totals = reduce(DataFrame.unionByName, told).where("block >= 0").select("n", "part", "block", "totals", "large", null.cast("binary").alias("names"), null.cast("binary").alias("rest"))
-        both = totals.unionByName(answered.select(null.cast("int").alias("n"), "part", "block", null.cast("binary").alias("totals"), null.cast("binary").alias("large"), "names", "rest"))
-        out.append(written(dealt.where(mine).groupBy("block").cogroup(both.groupBy("block")).applyInArrow(score, schema), "scores"))
-        dropped(answered)
-    dropped(*answers, states)
-    found = reduce(DataFrame.unionByName, out)
+    found = written(_told(dealt, answers, longest, score, schema), "scores")
+    dropped(*answers)
     return copied(found, F.col("times"), "_copy", most > COPIES).drop("times", "_copy") if most > 1 else found.drop("times")

@@ -172,3 +172,30 @@ def test_scores_against_brute_force(spark):
         want = sorted(brute_scores(rows, how))
         got = sorted((r.doc_id, r.score) for r in lm.scores(frame(spark, rows), how).collect())
         assert all(a == b and abs(x - y) < 1e-6 * max(1, abs(y)) for (a, x), (b, y) in zip(got, want, strict=True))
+
+
+def test_no_table_of_windows(spark, monkeypatch):
+    """Names cross the network in arrays; neither windows nor contexts are rows that joins would sort."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 15)
+    rows, write = [], lm.written
+
+    def written(df, tag, *more):
+        out = write(df, tag, *more)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(lm, "written", written)
+    text = " ".join(f"w{i}" for i in range(2000))
+    got = lm.scores(spark.createDataFrame([(i, text, "", None, 0) for i in range(12)], DOCS)).count()
+    assert got == 12 and all(n < 1000 for _, n in rows), rows
+
+
+def test_order_of_hashes():
+    """As a stable sort has it, also where names differ in their last bits alone."""
+    rng = np.random.default_rng(4)
+    whole = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    for keys in (whole, whole[:0], whole[:1], whole % np.uint64(50), whole // np.uint64(1 << 53), np.append(whole, whole[:100] ^ np.uint64(1))):
+        assert (lm.ordered(keys) == np.argsort(keys, kind="stable")).all()
+        names, place, first = lm.distinct(keys)
+        want, ahead, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        assert (names == want).all() and (place == inverse).all() and (first == ahead).all()
